@@ -27,8 +27,29 @@ def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, manifest)
 
 
+def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracefold.llm.piece_codec import piece_digests
+
+    return piece_digests(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracefold.llm.source_mix import mix_sources
+
+    return mix_sources(documents(spark, sf_dir))[0]
+
+
+def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracefold.llm.token_count import token_counts
+
+    return token_counts(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_binary": op1_token_binary,
+    "op5_piece_codec": op5_piece_codec,
+    "op8_source_mix": op8_source_mix,
+    "op9_token_count": op9_token_count,
 }
 
 ORACLE: dict[str, str] = {}
