@@ -33,6 +33,12 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracefold.llm.quality_rules import judge_quality
+
+    return judge_quality(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracefold.llm.source_mix import mix_sources
 
@@ -48,6 +54,7 @@ def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_binary": op1_token_binary,
     "op5_piece_codec": op5_piece_codec,
+    "op7_quality_rules": op7_quality_rules,
     "op8_source_mix": op8_source_mix,
     "op9_token_count": op9_token_count,
 }
