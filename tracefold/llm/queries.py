@@ -27,6 +27,12 @@ def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, manifest)
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracefold.llm.fingerprints import fingerprint_documents
+
+    return fingerprint_documents(documents(spark, sf_dir))
+
+
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracefold.llm.piece_codec import piece_digests
 
@@ -53,6 +59,7 @@ def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_binary": op1_token_binary,
+    "op3_fingerprints": op3_fingerprints,
     "op5_piece_codec": op5_piece_codec,
     "op7_quality_rules": op7_quality_rules,
     "op8_source_mix": op8_source_mix,
