@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.llm.common import small_batches, text_or_empty
-from tracefold.llm.shingles import distinct, mix, shingles, word_hashes
+from tracefold.llm.shingles import mix, shingles, word_hashes
 
 SAMPLES = 64
 #: Quantiles of Gamma(2, 1) that draws are taken from, and rows of (term, sample) that are held at once.
-QUANTILES, BLOCK = 1 << 16, 1 << 14
+QUANTILES, BLOCK, HELD = 1 << 16, 1 << 13, 1 << 17
 EMPTY = np.uint16(0)
 
 
@@ -46,47 +46,58 @@ def _gamma2() -> np.ndarray:
 
 _R = _gamma2().astype(np.float32)
 _LOG_C = np.log(_gamma2()).astype(np.float32)
-_SEEDS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_LOW, _HIGH = np.uint64(QUANTILES - 1), np.uint64(16)
+_B = ((np.arange(QUANTILES) + 0.5) / QUANTILES).astype(np.float32)
+_SEEDS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_NONE = np.iinfo(np.int64).max
 
 
 def _samples(term: np.ndarray, log_w: np.ndarray) -> np.ndarray:
     """[term, sample]: in the upper half the value to minimise in sortable form, in the lower a digest of (term, t)."""
-    h = mix(term[:, None] ^ _SEEDS[None, :])
-    r = _R[(h & _LOW).astype(np.intp)]
-    c = _LOG_C[((h >> _HIGH) & _LOW).astype(np.intp)]
-    b = (h >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
+    h = term[:, None] * _SEEDS[None, :]
+    h ^= h >> np.uint64(32)
+    h *= _SPREAD
+    lanes = h.view(np.uint16).reshape(*h.shape, 4)
+    r = _R.take(lanes[:, :, 3])
+    b = _B.take(lanes[:, :, 1])
     t = np.floor(log_w[:, None] / r + b)
-    a = c - r * (t - b) - r
-    bits = a.view(np.uint32)
-    key = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31)).astype(np.uint64) << np.uint64(32)
-    digest = (term[:, None] + (t.astype(np.int64) + 4096).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
-    return key | (digest >> np.uint64(32))
+    a = _LOG_C.take(lanes[:, :, 2])
+    a -= r * (t - b + np.float32(1))
+    bits = a.view(np.int32)
+    key = (bits ^ ((bits >> 31) & np.int32(0x7FFFFFFF))).astype(np.int64) << 32
+    digest = (term[:, None] >> np.uint64(32)).astype(np.uint32) + t.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1)
+    return key | digest.astype(np.int64)
 
 
 def signatures(texts: list[str]) -> np.ndarray:
-    """[text, sample] of 16 bits each."""
+    """[text, sample] of 16 bits each. Texts that share terms are best given together."""
     h, of, size = word_hashes(texts)
-    s, owner = shingles(h, of, len(texts), 2)
-    # bytes of a term: of both words; shingles() gives runs of two in order, then single words
-    pair = np.flatnonzero(of[:-1] == of[1:]) if len(of) else of
-    single = np.flatnonzero(np.bincount(of, minlength=len(texts)) == 1) if len(of) else of
-    first = np.searchsorted(of, single)
-    chars = np.concatenate([size[pair] + size[pair + 1], size[first]]) if len(of) else of
-    lengths = pd.Series(chars).groupby([owner, s]).sum() if len(s) else None
-    out = np.full((len(texts), SAMPLES), np.iinfo(np.uint64).max, np.uint64)
-    if lengths is not None:
-        owner, s = (lengths.index.get_level_values(k).to_numpy() for k in (0, 1))
-        log_w = np.log(lengths.to_numpy()).astype(np.float32)
+    out = np.full((len(texts), SAMPLES), _NONE, np.int64)
+    if len(h):
+        s, owner = shingles(h, of, len(texts), 2)
+        # bytes of a term: of both words; shingles() gives runs of two in order, then single words
+        pair = np.flatnonzero(of[:-1] == of[1:])
+        single = np.flatnonzero(np.bincount(of, minlength=len(texts)) == 1)
+        first = np.searchsorted(of, single)
+        chars = np.concatenate([size[pair] + size[pair + 1], size[first]])
+        order = np.lexsort((s, owner))
+        s, owner, chars = s[order], owner[order], chars[order]
+        new = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])]))
+        s, owner, weight = s[new], owner[new], np.add.reduceat(chars, new)
+        log_w = np.log(weight).astype(np.float32)
+        _, at, back = np.unique(s ^ (weight.astype(np.uint64) * _SPREAD), return_index=True, return_inverse=True)
+        known = None
+        if len(at) <= HELD:  # terms met again with the same weight are drawn once
+            known = np.concatenate([_samples(s[at[low : low + BLOCK]], log_w[at[low : low + BLOCK]]) for low in range(0, len(at), BLOCK)])
         for low in range(0, len(s), BLOCK):
-            term, doc, w = s[low : low + BLOCK], owner[low : low + BLOCK], log_w[low : low + BLOCK]
-            seen, back = np.unique(np.rec.fromarrays([term, w]), return_inverse=True)
-            got = _samples(np.ascontiguousarray(seen["f0"]), np.ascontiguousarray(seen["f1"]))[back]
+            part = slice(low, low + BLOCK)
+            got = known[back[part]] if known is not None else _samples(s[part], log_w[part])
+            doc = owner[part]
             starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
             out[doc[starts]] = np.minimum(out[doc[starts]], np.minimum.reduceat(got, starts, axis=0))
-    sig = (mix(out & np.uint64(0xFFFFFFFF)) >> np.uint64(48)).astype(np.uint16)
+    sig = (mix((out & 0xFFFFFFFF).astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
     sig = np.where(sig == EMPTY, np.uint16(1), sig)
-    sig[out[:, 0] == np.iinfo(np.uint64).max] = EMPTY
+    sig[out[:, 0] == _NONE] = EMPTY
     return sig
 
 
@@ -109,7 +120,8 @@ def _answer(ids: list, texts: list[str]) -> pa.RecordBatch:
     """Rows for all texts but the last, which is only the successor of the one before."""
     n = len(texts) - 1
     edited = [edited_text(a, b) for a, b in zip(texts, texts[1:], strict=False)]
-    own, new = signatures(texts), signatures(edited)
+    both = signatures([*texts, *edited])
+    own, new = both[: n + 1], both[n + 1 :]
     return pa.RecordBatch.from_pydict({
         "doc_id": pa.array(ids[:n], pa.int64()),
         "n_chars": pa.array([len(t) for t in texts[:n]], pa.int64()),
