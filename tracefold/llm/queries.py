@@ -27,6 +27,12 @@ def op1_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, manifest)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracefold.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(documents(spark, sf_dir))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracefold.llm.fingerprints import fingerprint_documents
 
@@ -59,6 +65,7 @@ def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_binary": op1_token_binary,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_fingerprints": op3_fingerprints,
     "op5_piece_codec": op5_piece_codec,
     "op7_quality_rules": op7_quality_rules,

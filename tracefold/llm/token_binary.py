@@ -34,7 +34,7 @@ from tracefold.llm.common import small_batches, text_or_empty
 
 NULL_ID = -(2**63)
 #: Units longer than this are not kept, and the cache starts anew beyond so many units.
-KEEP_CHARS, KEEP_UNITS = 32, 400_000
+KEEP_CHARS, KEEP_UNITS, SEEN = 32, 600_000, 1 << 23
 #: Fixed value: the published splitting pattern of byte-level BPE.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -52,6 +52,8 @@ class UnitEncoder:
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        #: Marks of what has been missed once: only what comes again is kept.
+        self.missed = bytearray(SEEN)
         self.piece = regex.compile(BYTE_LEVEL)
         self.spaced = self._checks_out()
 
@@ -78,24 +80,34 @@ class UnitEncoder:
             last_open = p == "" or p[-1].isspace()
         return out
 
+    def _keep(self, cache: dict[str, bytes], fresh: dict[str, bytes]) -> None:
+        """Only what is missed a second time enters a cache, so words met once don't crowd it."""
+        missed = self.missed
+        for name, code in fresh.items():
+            at = hash(name) & (SEEN - 1)
+            if missed[at]:
+                if len(name) <= KEEP_CHARS:
+                    cache[name] = code
+            else:
+                missed[at] = 1
+
     def _from_pieces(self, units: list[str]) -> list[bytes]:
         """Encode units by the pre-tokenizer's own pieces, each looked up or encoded by the library once.
         Characters whose class may differ between Unicode versions leave the unit to the library whole."""
         split = [self.piece.findall(u) if u and max(u) < "\u0250" else [u] for u in units]
         missing = [p for p in dict.fromkeys(p for pieces in split for p in pieces) if p not in self.pieces]
         fresh = dict(zip(missing, self._lib(missing), strict=True))
-        for p, code in fresh.items():
-            if len(p) <= KEEP_CHARS:
-                self.pieces[p] = code
+        self._keep(self.pieces, fresh)
         return [b"".join([fresh[p] if p in fresh else self.pieces[p] for p in pieces]) for pieces in split]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian bytes of ``dtype``."""
         if not self.spaced:
             return self._lib(texts)
-        for kept in (self.cache, self.pieces):
-            if len(kept) > KEEP_UNITS:
-                kept.clear()
+        for cache in (self.cache, self.pieces):
+            if len(cache) > KEEP_UNITS:
+                cache.clear()
+                self.missed = bytearray(SEEN)
         # a space stands before a text's first unit and two before one kept out of the cache, so that an
         # empty part or one with white space at an end is never found under its own name
         get, plans, missing = self.cache.get, [], {}
@@ -118,9 +130,7 @@ class UnitEncoder:
                 missing.update((n, n[1:] if n[0] == " " else " " + n) for n in lost)
             plans.append(names)
         fresh = dict(zip(missing, self._from_pieces(list(missing.values())), strict=True))
-        for n, code in fresh.items():
-            if len(n) <= KEEP_CHARS and n[:2] != "  " and "\n" not in n:
-                self.cache[n] = code
+        self._keep(self.cache, {n: code for n, code in fresh.items() if n[:2] != "  " and "\n" not in n})
         return [p if isinstance(p, bytes) else b"".join([fresh[n] if n in fresh else get(n) for n in p]) for p in plans]
 
 
