@@ -39,6 +39,17 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(documents(spark, sf_dir))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tracefold.llm.toxicity import fit, held_out, score_documents
+
+    docs = documents(spark, sf_dir)
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out(F.col("doc_id")))
+    scored = score_documents(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracefold.llm.piece_codec import piece_digests
 
@@ -67,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_binary": op1_token_binary,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_fingerprints": op3_fingerprints,
+    "op4_toxicity": op4_toxicity,
     "op5_piece_codec": op5_piece_codec,
     "op7_quality_rules": op7_quality_rules,
     "op8_source_mix": op8_source_mix,
