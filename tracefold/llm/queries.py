@@ -56,6 +56,12 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracefold.llm.secret_scan import scan_documents
+
+    return scan_documents(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "__scan.*")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracefold.llm.quality_rules import judge_quality
 
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
     "op4_toxicity": op4_toxicity,
     "op5_piece_codec": op5_piece_codec,
+    "op6_secret_scan": op6_secret_scan,
     "op7_quality_rules": op7_quality_rules,
     "op8_source_mix": op8_source_mix,
     "op9_token_count": op9_token_count,
