@@ -27,7 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracefold.llm.common import materialise, small_batches, text_or_empty
@@ -371,3 +371,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     full = table.where("n > 0").join(own, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
     empty = table.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return full.unionByName(empty)
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id. Texts without words link with
+    nothing and all stay; a null doc_id is stood in for by a hash of the text."""
+    key = F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.xxhash64("text") % F.lit(1 << 62)) - 1)
+    keyed = docs.withColumn("__key", key)
+    parts = jaccard_components(keyed.select(F.col("__key").alias("doc_id"), "text"))
+    chosen = parts.where("n_shingles > 0 AND doc_id = component_id").select(F.col("doc_id").alias("__key")).distinct()
+    wordy = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    same = Window.partitionBy("__key").orderBy("text")
+    rows = keyed.where(wordy).join(chosen, "__key", "left_semi").withColumn("__row", F.row_number().over(same)).where("__row = 1")
+    return rows.select(*docs.columns).unionByName(docs.where(~wordy))

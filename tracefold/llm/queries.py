@@ -80,6 +80,12 @@ def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracefold.llm.pii import find_personal_data
+
+    return find_personal_data(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_binary": op1_token_binary,
     "op2_jaccard_join": op2_jaccard_join,
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_source_mix": op8_source_mix,
     "op9_token_count": op9_token_count,
+    "op10_pii": op10_pii,
 }
 
 ORACLE: dict[str, str] = {}

@@ -28,6 +28,7 @@ BUCKETS = 4096
 MAX_COPIES = 3
 #: Broadcast the pattern table only up to so many patterns; beyond, Spark joins it by key.
 SMALL_PATTERNS = 20_000
+_OWN = ("size", "source_size", "target", "taken", "pattern", "place", "bucket", "full", "rest", "last", "before", "at")
 WEIGHTS = (5.0, 2.0, 1.0)
 
 
@@ -121,17 +122,17 @@ def mix_sources(docs: DataFrame, seed: int = 7, members=None, keep: tuple[str, .
     """
     spark = docs.sparkSession
     members = F.array(F.col("source")) if members is None else members
-    extra = [c for c in keep if c not in ("doc_id", "size", "source_size", "target", "taken")]
-    sized = materialise(
-        docs.select(
-            "doc_id",
-            *extra,
+    extra = [c for c in keep if c not in ("doc_id", *_OWN)]
+
+    def keyed(*columns: str) -> DataFrame:
+        return docs.select(
+            *columns,
             F.to_json(F.struct(F.array_sort(F.array_distinct(members)).alias("m")), {"ignoreNullFields": "false"}).alias("pattern"),
             n_words(F.col("text")).alias("size"),
             F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("place"),
-        ).withColumn("bucket", F.pmod(F.col("place"), F.lit(BUCKETS)).cast("int")),
-        "sized",
-    )
+        ).withColumn("bucket", F.pmod(F.col("place"), F.lit(BUCKETS)).cast("int"))
+
+    sized = materialise(keyed("doc_id"), "sized")
     by_bucket = sized.groupBy("pattern", "bucket").agg(F.sum("size").alias("words"))
     found = by_bucket.groupBy("pattern").agg(F.sum("words").alias("words")).collect()  # one row per pattern
     patterns = {r.pattern: (tuple(json.loads(r.pattern)["m"]), r.words) for r in found}
@@ -161,7 +162,8 @@ def mix_sources(docs: DataFrame, seed: int = 7, members=None, keep: tuple[str, .
         .select("pattern", F.col("bucket").alias("last"), "before")
     )
     cut = materialise(plan.join(ends, "pattern", "left"), "cuts")
-    rows_in = sized.join(side(cut), "pattern").withColumn("last", F.coalesce(F.col("last"), F.lit(-1)))
+    # columns to carry along come from the documents themselves, so that no text is written in between
+    rows_in = (keyed("doc_id", *extra) if extra else sized).join(side(cut), "pattern").withColumn("last", F.coalesce(F.col("last"), F.lit(-1)))
     shown = ["doc_id", *extra, "size", "source_size", "target"]
     whole = rows_in.where(F.col("bucket") != F.col("last")).select(*shown, (F.col("size") * (F.col("full") + (F.col("bucket") < F.col("last")).cast("long"))).alias("taken"))
     run = Window.partitionBy("pattern").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -171,3 +173,13 @@ def mix_sources(docs: DataFrame, seed: int = 7, members=None, keep: tuple[str, .
         .select(*shown, (F.col("size") * (F.col("full") + (F.col("at") + F.col("size") / 2 < F.col("rest")).cast("long"))).alias("taken"))
     )
     return whole.unionByName(split), flow
+
+
+def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """The mix itself: the columns of ``docs``, each row as often as the mix takes it. Columns named as this
+    operator's own are put aside under other names meanwhile."""
+    aside = {c: f"__{k}_{c}" for k, c in enumerate(docs.columns) if c in _OWN}
+    named = docs.withColumnsRenamed(aside)
+    taken, _ = mix_sources(named, seed, keep=tuple(named.columns))
+    rows = taken.where("taken > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))))
+    return rows.select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns))
