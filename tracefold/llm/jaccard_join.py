@@ -8,7 +8,9 @@ set of that segment less one shingle), and probes only some: v = 0 skips a segme
 one, 2 for one with at most one shingle more or less. The allocation is by cost: segments whose shingles
 are all common (or that are empty) are skipped first, paid for by spare segments and then by v = 2
 elsewhere. The list of common shingles steers only the cost; results don't depend on it. Sets probe
-their own size band and, where partners may be larger, the next.
+their own size band and, where partners may be larger, the next. Spare segments that needn't be skipped
+are probed too: then a partner must be met in segments with sum of v(i) - H at least, and a set whose
+shared signatures altogether don't come to that has no partner there and stops probing.
 
 Candidates are groups that share a signature. They are never expanded into all pairs: rounds compare each
 member with one leader of its group, links found join components, and only groups that still hold
@@ -36,12 +38,14 @@ from tracefold.llm.shingles import distinct, mix, shingles, word_hashes
 WIDTH = 5
 #: Similarity at least NUM / DEN.
 NUM, DEN = 4, 5
-BAND_RATIO, SPARE = 1.5, 1.15
+BAND_RATIO, SPARE = 1.5, 1.2
 #: One segment of so many also has its one-deletion neighbourhood indexed.
 DELETED = 16
 #: Entries a map task holds before it writes them out; bits of a packed entry for its document and flags.
-HOLD, DOC_BITS = 3_000_000, 22
-INDEX, PROBE = 1, 2
+HOLD, DOC_BITS = 3_000_000, 20
+INDEX, PROBE, DOUBLE, NEXT = 1, 2, 4, 8
+#: Sets whose documents are found by a broadcast of their ids; more are joined by shuffling.
+FEW_SETS = 300_000
 #: A shingle counts as common in this share of documents; so many of the commonest are sent to all tasks.
 COMMON_SHARE, COMMON_LEAST, COMMON_MOST = 1 / 2000, 16, 200_000
 STAR_ROUNDS = 2
@@ -80,7 +84,7 @@ def text_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def _segments(s: np.ndarray, o: np.ndarray, band: np.ndarray, rare: np.ndarray):
-    """For sets laid out in segments of their band: first place of each set, element's place, sums, rare elements."""
+    """For sets laid out in segments of their band: first place of each set, element's place, sums, rare elements and all elements of each segment."""
     m = bands()[2][band]
     base = np.concatenate([[0], np.cumsum(m)])
     b = band[o].astype(np.uint64)
@@ -89,15 +93,16 @@ def _segments(s: np.ndarray, o: np.ndarray, band: np.ndarray, rare: np.ndarray):
     sums = np.zeros(base[-1], np.uint64)
     np.add.at(sums, place, element)
     count = np.bincount(place[rare], minlength=base[-1])
-    return base, place, element, sums, count
+    return base, place, element, sums, count, np.bincount(place, minlength=base[-1])
 
 
 def _name(sums: np.ndarray, segment: np.ndarray, band: np.ndarray, kind: int = 0) -> np.ndarray:
     return mix(sums + segment.astype(np.uint64) * _SEGMENT + band.astype(np.uint64) * _BAND + np.uint64(kind) * _GONE)
 
 
-def entries(s: np.ndarray, o: np.ndarray, sizes: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, set number, flags) of all sets given; every size must be at least 1."""
+def entries(s: np.ndarray, o: np.ndarray, sizes: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, set number, flags) of all sets given, and for each set and step (own band, next) the sum of
+    v(i) that a partner must be met in; every size must be at least 1."""
     first, last, _ = bands()
     rare = np.ones(len(s), bool)
     if len(common):
@@ -105,6 +110,7 @@ def entries(s: np.ndarray, o: np.ndarray, sizes: np.ndarray, common: np.ndarray)
     own = np.searchsorted(first, sizes, side="right") - 1
     most = sizes * DEN // NUM
     out = [[], [], []]
+    must = np.zeros((2, len(sizes)), np.int64)
 
     def put(sig, doc, flags):
         out[0].append(sig)
@@ -120,15 +126,15 @@ def entries(s: np.ndarray, o: np.ndarray, sizes: np.ndarray, common: np.ndarray)
         inside = number[o] >= 0
         es, eo, er = s[inside], number[o[inside]], rare[inside]
         band = own[members] + step
-        base, place, element, sums, count = _segments(es, eo, band, er)
+        base, place, element, sums, count, held = _segments(es, eo, band, er)
         doc = np.repeat(np.arange(len(members)), np.diff(base))
         segment = np.arange(base[-1]) - base[doc]
         need = differing(sizes[members], np.minimum(most[members], last[band])) + 1
-        # cheapest segments first: those with the most rare shingles
-        order = np.lexsort((segment, -count, doc))
+        # cheapest segments first: those with the most rare shingles, then with the most of any; empty ones last
+        order = np.lexsort((segment, -held, -count, doc))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order)) - base[doc[order]]
-        chosen = rank < need[doc]
+        chosen = (rank < need[doc]) | (count > 0)
         doubled = np.zeros(len(doc), bool)
         neighbours = segment % DELETED == DELETED - 1
         dear = chosen & (count == 0)
@@ -139,21 +145,23 @@ def entries(s: np.ndarray, o: np.ndarray, sizes: np.ndarray, common: np.ndarray)
             k = min(len(swap), len(drop))
             doubled[swap[:k]] = True
             chosen[drop[:k]] = False
+        must[step, members] = np.bincount(doc, weights=chosen.astype(float) + doubled, minlength=len(members)).astype(np.int64) - need + 1
         sig = _name(sums, segment, band[doc])
+        probe = PROBE | NEXT * step
         if step == 0:
-            put(sig, members[doc], np.where(chosen, INDEX | PROBE, INDEX).astype(np.uint8))
+            put(sig, members[doc], np.where(doubled, INDEX | PROBE | DOUBLE, np.where(chosen, INDEX | PROBE, INDEX)).astype(np.uint8))
             gone = neighbours[place]
             at = place[gone]
             put(_name(sums[at] - element[gone], segment[at], band[doc[at]], 1), members[doc[at]], INDEX)
         else:
-            put(sig[chosen], members[doc[chosen]], PROBE)
+            put(sig[chosen], members[doc[chosen]], np.where(doubled[chosen], probe | DOUBLE, probe).astype(np.uint8))
         if doubled.any():
             at = np.flatnonzero(doubled)  # the other side has one more ...
-            put(_name(sums[at], segment[at], band[doc[at]], 1), members[doc[at]], PROBE)
+            put(_name(sums[at], segment[at], band[doc[at]], 1), members[doc[at]], probe | DOUBLE)
             less = doubled[place]  # ... or one less
             at = place[less]
-            put(_name(sums[at] - element[less], segment[at], band[doc[at]]), members[doc[at]], PROBE)
-    return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.uint64, np.int64, np.uint8), strict=True))
+            put(_name(sums[at] - element[less], segment[at], band[doc[at]]), members[doc[at]], probe | DOUBLE)
+    return (*(np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.uint64, np.int64, np.uint8), strict=True)), must)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,11 +194,11 @@ def _emit(common_sent, buckets: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = common_sent.value
         met: set[int] = set()
-        held, nodes, sizes, n_docs, n_held = [], [], [], 0, 0
+        held, nodes, sizes, musts, n_docs, n_held = [], [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
             sig, doc, flags = (np.concatenate([h[k] for h in held]) for k in range(3))
-            node, size = np.concatenate(nodes), np.concatenate(sizes)
+            node, size, must = np.concatenate(nodes), np.concatenate(sizes), np.concatenate(musts, axis=1).astype(np.uint64)
             bucket = ((sig & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int64)
             packed = (sig & ~np.uint64(0xFFFFFF)) | (flags.astype(np.uint64) << np.uint64(DOC_BITS)) | doc.astype(np.uint64)
             order = np.argsort(bucket, kind="stable")
@@ -204,7 +212,7 @@ def _emit(common_sent, buckets: int):
                     rows["bucket"].append(b)
                     rows["entries"].append(((own & ~low) | local.astype(np.uint64)).tobytes())
                     used = used.astype(np.int64)
-                    rows["nodes"].append(np.stack([node[used], size[used].astype(np.uint64)]).tobytes())
+                    rows["nodes"].append(np.stack([node[used], size[used].astype(np.uint64), must[0, used] | (must[1, used] << np.uint64(32))]).tobytes())
             return pa.RecordBatch.from_pydict({"bucket": pa.array(rows["bucket"], pa.int64()), "entries": pa.array(rows["entries"], pa.binary()), "nodes": pa.array(rows["nodes"], pa.binary())})
 
         for batch in batches:
@@ -218,7 +226,8 @@ def _emit(common_sent, buckets: int):
                 continue
             number = np.cumsum(fresh) - 1
             inside = fresh[o]
-            sig, doc, flags = entries(s[inside], number[o[inside]], n[fresh], common)
+            sig, doc, flags, must = entries(s[inside], number[o[inside]], n[fresh], common)
+            musts.append(must)
             held.append((sig, doc + n_docs, flags))
             nodes.append(names[fresh])
             sizes.append(n[fresh])
@@ -226,7 +235,7 @@ def _emit(common_sent, buckets: int):
             n_held += len(sig)
             if n_held > HOLD:
                 yield flush()
-                held, nodes, sizes, n_docs, n_held = [], [], [], 0, 0
+                held, nodes, sizes, musts, n_docs, n_held = [], [], [], [], 0, 0
         if held:
             yield flush()
 
@@ -241,12 +250,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts.setdefault(b, []).append((e, t))
     low, shift = np.uint64((1 << DOC_BITS) - 1), np.uint64(DOC_BITS)
     for b in sorted(parts):
-        keys, flags, node, size = [], [], [], []
+        keys, flags, node, size, must = [], [], [], [], []
         for e, t in parts.pop(b):
-            e, t = np.frombuffer(e, np.uint64), np.frombuffer(t, np.uint64).reshape(2, -1)
+            e, t = np.frombuffer(e, np.uint64), np.frombuffer(t, np.uint64).reshape(3, -1)
             at = (e & low).astype(np.int64)
             keys.append(e & ~np.uint64(0xFFFFFF))
-            flags.append(((e >> shift) & np.uint64(3)).astype(np.uint8))
+            flag = ((e >> shift) & np.uint64(15)).astype(np.uint8)
+            flags.append(flag)
+            must.append(((t[2][at] >> np.where(flag & NEXT, np.uint64(32), np.uint64(0))) & np.uint64(0xFFFFFFFF)).astype(np.int64))
             node.append(t[0][at])
             size.append(t[1][at].astype(np.int64))
         key = np.concatenate(keys)
@@ -257,12 +268,12 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = order[many[np.cumsum(new) - 1]]
         if not len(order):
             continue
-        key, flag, n, z = (x[order] for x in (key, np.concatenate(flags), np.concatenate(node), np.concatenate(size)))
+        key, flag, n, z, v = (x[order] for x in (key, np.concatenate(flags), np.concatenate(node), np.concatenate(size), np.concatenate(must)))
         order = np.lexsort((n, key))
-        key, flag, n, z = key[order], flag[order], n[order], z[order]
+        key, flag, n, z, v = key[order], flag[order], n[order], z[order], v[order]
         at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (n[1:] != n[:-1])]))
         flag = np.bitwise_or.reduceat(flag, at)  # one entry for each set and signature
-        key, n, z = key[at], n[at], z[at]
+        key, n, z, v = key[at], n[at], z[at], v[at]
         new = np.concatenate([[True], key[1:] != key[:-1]])
         starts = np.flatnonzero(new)
         sets = np.diff(np.concatenate([starts, [len(key)]]))
@@ -271,14 +282,36 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig = (key[keep] | np.uint64(b)).view(np.int64)
         for at in range(0, len(sig), 1 << 16):
             part = slice(at, at + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(sig[part]), pa.array(n[keep][part].view(np.int64)), pa.array(z[keep][part]), pa.array(flag[keep][part].astype(np.int64))], ["sig", "node", "n", "flags"])
+            yield pa.RecordBatch.from_arrays([pa.array(sig[part]), pa.array(n[keep][part].view(np.int64)), pa.array(z[keep][part]), pa.array(flag[keep][part].astype(np.int64)), pa.array(v[keep][part])], ["sig", "node", "n", "flags", "must"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of each wanted node, once: other texts may stand under the same doc_id."""
+    met: set[int] = set()
     for batch in batches:
         s, o, _, names = text_sets(batch.column("text").to_pylist())
-        offsets = np.concatenate([[0], np.cumsum(np.bincount(o, minlength=len(names)))])
-        yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(s.view(np.int64)))], ["node", "shingles"])
+        cuts = np.searchsorted(o, np.arange(len(names) + 1))
+        rows = []
+        for k, (name, wanted) in enumerate(zip(names.view(np.int64).tolist(), batch.column("node").to_pylist(), strict=True)):
+            if name == wanted and name not in met:
+                met.add(name)
+                rows.append(k)
+        values = [pa.array(s[cuts[k] : cuts[k + 1]].view(np.int64)) for k in rows]
+        offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])])
+        flat = pa.concat_arrays(values) if values else pa.array([], pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)[rows]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], ["node", "shingles"])
+
+
+def able_entries(shared: DataFrame) -> DataFrame:
+    """The entries without probes of sets that can't have a partner, and without groups that have no probe left."""
+    probes = shared.where(F.col("flags").bitwiseAND(PROBE) > 0).withColumn("step", F.col("flags").bitwiseAND(NEXT))
+    met = probes.groupBy("node", "step").agg(F.sum(F.when(F.col("flags").bitwiseAND(DOUBLE) > 0, 2).otherwise(1)).alias("met"), F.max("must").alias("must"))
+    able = met.where("met >= must").select("node", "step", F.lit(True).alias("able"))
+    rows = shared.withColumn("step", F.col("flags").bitwiseAND(NEXT)).join(able, ["node", "step"], "left")
+    flags = F.when(F.col("able"), F.col("flags")).otherwise(F.col("flags").bitwiseAND(INDEX))
+    rows = materialise(rows.select("sig", "node", "n", flags.alias("flags")).where("flags > 0"), "able")
+    live = rows.groupBy("sig").agg(F.bit_or("flags").alias("any"), F.count(F.lit(1)).alias("sets")).where((F.col("any").bitwiseAND(PROBE) > 0) & (F.col("sets") > 1))
+    return materialise(rows.join(live.select("sig"), "sig", "left_semi"), "live")
 
 
 def _valid(a: str, b: str) -> str:
@@ -328,13 +361,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast(np.sort(common))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select("text").mapInArrow(_emit(sent, buckets), "bucket long, entries binary, nodes binary").repartition(buckets, "bucket")
-    shared = materialise(dealt.mapInArrow(_shared, "sig long, node long, n long, flags long"), "shared")
+    shared = materialise(dealt.mapInArrow(_shared, "sig long, node long, n long, flags long, must long"), "shared")
+    shared = able_entries(shared)
     names = table.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     none = spark.createDataFrame([], "a long, b long")
     links, tested, comp = none, none, None
     if not shared.isEmpty():
-        wanted = names.join(shared.select("node").distinct(), "node", "left_semi")
-        sets = materialise(rows.join(wanted.select(F.col("least").alias("doc_id")), "doc_id", "left_semi").select("text").mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+        wanted = materialise(names.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("least").alias("doc_id")), "wanted")
+        few = F.broadcast(wanted) if wanted.count() <= FEW_SETS else wanted
+        sets = materialise(rows.join(few, "doc_id").select("text", "node").mapInArrow(_sets, "node long, shingles array<long>"), "sets")
         for turn in range(STAR_ROUNDS + 1):
             if comp is None:
                 open_ = shared.withColumn("comp", F.col("node"))
