@@ -31,7 +31,7 @@ from tracefold.llm.shingles import mix, shingles, word_hashes
 
 SAMPLES = 64
 #: Quantiles of Gamma(2, 1) that draws are taken from, and rows of (term, sample) that are held at once.
-QUANTILES, BLOCK, HELD = 1 << 16, 1 << 13, 1 << 17
+QUANTILES, BLOCK, HELD = 1 << 16, 1 << 12, 1 << 16
 EMPTY = np.uint16(0)
 
 
@@ -147,7 +147,7 @@ def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts.append(text)
             size += len(text)
             done = bool(head)
-            if len(texts) > 1 and (done or size > 1 << 18):
+            if len(texts) > 1 and (done or size > 1 << 16):
                 yield _answer(ids, texts)
                 ids, texts, size = ids[-1:], texts[-1:], len(texts[-1])
 
@@ -158,9 +158,9 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = 4 * parts
+    cuts = 2 * parts
     # as many numbers as buckets come back, each an existing doc_id
-    got = rows.agg(F.percentile_approx("doc_id", [k / cuts for k in range(1, cuts)], 100 * cuts).alias("cut"), F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    got = rows.agg(F.percentile_approx("doc_id", [k / cuts for k in range(1, cuts)], 20_000).alias("cut"), F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
     bounds = np.array(sorted(set(got.cut or [])), np.int64)
     least, nulls, last = got.least, got.nulls, len(bounds)
 
