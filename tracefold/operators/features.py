@@ -94,3 +94,45 @@ def rank_features(runs: DataFrame, min_runs: int = 10, seed: str = "0", least_si
     test = lambda t: sign_test(F.col(f"p_{t}"), F.col(f"m_{t}"))
     ranked = agg.select("feature", "delta_pp", "n_tasks", test("all").alias("p_value"), (F.coalesce(test("h0") < 0.05, F.lit(False)) & F.coalesce(test("h1") < 0.05, F.lit(False))).alias("holds_in_halves"))
     return adjusted(ranked).orderBy(F.desc(F.abs("delta_pp")), "feature")
+
+
+def experiment_columns() -> dict[str, Column]:
+    """Further per-run features: counts and shares of kinds of steps, loops of failing tests, files touched."""
+    n = F.size("names")
+    share = lambda *starts: F.when(n > 0, F.size(F.filter("names", lambda x: _any(x, starts))) / n)
+    tests = F.filter(F.transform("names", lambda x, i: F.when(x.startswith("test("), i)), lambda i: i.isNotNull())
+    # failing tests in a row of any length between them, broken only by an edit
+    loop = F.aggregate("names", F.struct(F.lit(0).alias("run"), F.lit(0).alias("most")), lambda a, x: F.struct(
+        F.when(x.startswith("edit"), 0).when(x == "test(fail)", a["run"] + 1).otherwise(a["run"]).alias("run"),
+        F.greatest(a["most"], F.when(x == "test(fail)", a["run"] + 1).otherwise(0)).alias("most")), lambda a: a["most"])
+    files = lambda name: F.size(F.array_distinct(F.filter(F.transform(F.filter("steps", lambda s: s["name"] == name), lambda s: s["file_path"]), lambda p: F.coalesce(p, F.lit("")) != ""))).cast("long")
+    return {
+        "n_labels": n.cast("long"),
+        "exploration_ratio": share("read", "search"),
+        "edit_density": share("edit", "write"),
+        "bash_ratio": share("bash"),
+        "late_test_ratio": F.when(F.size(tests) > 0, F.size(F.filter(tests, lambda i: i >= F.floor(n / 2))) / F.size(tests)),
+        "test_fail_loop": loop >= 3,
+        "files_read": files("read"),
+        "files_edited": files("edit"),
+    }
+
+
+def _any(x: Column, starts: tuple[str, ...]) -> Column:
+    found = x.startswith(starts[0])
+    for s in starts[1:]:
+        found = found | x.startswith(s)
+    return found
+
+
+def experiment_features(runs: DataFrame) -> DataFrame:
+    return runs.select("run_id", "task_id", "success", *(c.alias(k) for k, c in experiment_columns().items()))
+
+
+def exemplar_tasks(features: DataFrame, name: str, least: int = 5, delta: float = 0.05, k: int = 1) -> DataFrame:
+    """Tasks in which passing and failing runs, ``least`` of each, differ most in a feature's mean."""
+    mean = lambda s: F.avg(F.when(F.col("success") == s, F.col(name)))
+    have = lambda s: F.count(F.when(F.col("success") == s, F.col(name)))
+    got = features.groupBy("task_id").agg(mean(True).alias("pass_mean"), mean(False).alias("fail_mean"), have(True).alias("n_pass"), have(False).alias("n_fail"))
+    got = got.where((F.col("n_pass") >= least) & (F.col("n_fail") >= least)).withColumn("gap", F.abs(F.col("pass_mean") - F.col("fail_mean")))
+    return got.where(F.col("gap") >= delta).orderBy(F.desc("gap"), "task_id").limit(k)

@@ -120,7 +120,17 @@ def _ranked() -> str:
     return _with(f"SELECT feature, round(delta_pp, 6) AS delta_pp, n_tasks, round(p_value, 6) AS p_value, holds_in_halves, round(q_value, 6) AS q_value FROM {_adjust(rows)}", _FEATS + ", " + _DELTAS)
 
 
+_EXPERIMENT = """
+ef AS (SELECT l.run_id, any_value(r.task_id) AS task_id, any_value(r.success) AS success, count(*) AS n_labels, any_value(r.n) AS nn, count_if(label LIKE 'read%' OR label LIKE 'search%')::DOUBLE / count(*) AS exploration_ratio, count_if(label LIKE 'edit%')::DOUBLE / count(*) AS edit_density,
+  count_if(label LIKE 'bash%')::DOUBLE / count(*) AS bash_ratio, CASE WHEN count_if(label LIKE 'test(%') > 0 THEN count_if(label LIKE 'test(%' AND pos >= r.n // 2)::DOUBLE / count_if(label LIKE 'test(%') END AS late_test_ratio,
+  count(DISTINCT CASE WHEN name = 'read' THEN (CASE WHEN k % 4 = 3 THEN -1 ELSE k END) END) AS files_read, count(DISTINCT CASE WHEN name = 'edit' THEN (CASE WHEN k % 4 = 3 THEN -1 ELSE k END) END) AS files_edited
+  FROM lab l JOIN runs r USING (run_id) GROUP BY l.run_id),
+seg AS (SELECT run_id, label, sum((label LIKE 'edit%')::INT) OVER (PARTITION BY run_id ORDER BY pos) AS g FROM lab),
+lp AS (SELECT run_id, max(c) >= 3 AS test_fail_loop FROM (SELECT run_id, g, count_if(label = 'test(fail)') AS c FROM seg GROUP BY ALL) GROUP BY run_id)"""
+
 ORACLE: dict[str, str] = {
+    "experiment_features": _with("SELECT run_id, n_labels, round(exploration_ratio, 6) AS exploration_ratio, round(edit_density, 6) AS edit_density, round(bash_ratio, 6) AS bash_ratio, round(late_test_ratio, 6) AS late_test_ratio, test_fail_loop, files_read, files_edited FROM ef JOIN lp USING (run_id)", _EXPERIMENT),
+    "exemplar_tasks": _with("SELECT task_id, round(a, 6) AS pass_mean, round(b, 6) AS fail_mean, n_pass, n_fail, round(abs(a - b), 6) AS gap FROM (SELECT task_id, avg(exploration_ratio) FILTER (WHERE success) AS a, avg(exploration_ratio) FILTER (WHERE NOT success) AS b, count_if(success) AS n_pass, count_if(NOT success) AS n_fail FROM ef GROUP BY task_id) WHERE n_pass >= 3 AND n_fail >= 3 AND abs(a - b) >= 0.05 ORDER BY abs(a - b) DESC, task_id LIMIT 10", _EXPERIMENT),
     "enriched_steps": _with("SELECT run_id, pos, label, phase, status FROM lab"),
     "compressed_runs": _with("SELECT run_id, a.t AS steps, b.t AS phases FROM rle_label a JOIN rle_phase b USING (run_id)", _RLE.format(c="label") + ", " + _RLE.format(c="phase").replace("isl ", "isl2 ").replace("FROM isl G", "FROM isl2 G")),
     "run_signatures": _with("SELECT run_id, signature, n AS n_steps, success FROM sig JOIN runs USING (run_id)", _SIG),

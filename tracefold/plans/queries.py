@@ -86,6 +86,14 @@ def run_features(spark, d):
     return _round(f, "test_position_centroid", "symmetry_index", "edit_dispersion")
 
 
+def experiment_features(spark, d):
+    return _round(features.experiment_features(_runs(spark, d)).drop("task_id", "success"), "exploration_ratio", "edit_density", "bash_ratio", "late_test_ratio")
+
+
+def exemplar_tasks(spark, d):
+    return _round(features.exemplar_tasks(features.experiment_features(_runs(spark, d)), "exploration_ratio", 3, k=10), "pass_mean", "fail_mean", "gap")
+
+
 def feature_deltas(spark, d):
     runs = _runs(spark, d)
     tasks = cohorts.task_groups(runs).where("skip_reason IS NULL")
@@ -210,7 +218,7 @@ def motif_permutation_fdr(spark, d):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     rank_features, enriched_steps, compressed_runs, run_signatures, run_summary, top_signatures, phase_counts, task_groups, mixed_tasks_unknown_fails, filtered_runs, first_runs,
-    run_features, feature_deltas, cohort_behaviours, variant_shifts, task_breakdown, cause_scores, exclusive_signatures, contiguous_motifs, stratified_motifs, gapped_pairs,
+    run_features, experiment_features, exemplar_tasks, feature_deltas, cohort_behaviours, variant_shifts, task_breakdown, cause_scores, exclusive_signatures, contiguous_motifs, stratified_motifs, gapped_pairs,
     gapped_triples, transition_signals, divergence_points, position_consensus, column_activity, adjusted_p, reasoning_density, preference_candidates, preference_pairs,
     preference_jsonl, preference_topics, alignment_distances, multiple_alignment, aligned_divergence, run_clusters, cluster_splits, run_concordance, motif_permutation_fdr,
 )}
