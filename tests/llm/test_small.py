@@ -82,10 +82,12 @@ def test_kernel_matches_enumeration():
     def features_of(w, decay=0.65):
         out = {}
         for i, j, k in combinations(range(len(w)), 3):
+            if k - i >= 7:
+                continue
             out[w[i] + w[j] + w[k]] = out.get(w[i] + w[j] + w[k], 0) + decay ** (k - i + 1)
         return out
 
-    words = ["idiot", "banana", "aaaa", "trash", "stash", "xyzzy"]
+    words = ["idiot", "banana", "aaaa", "trash", "stash", "xyzzy", "abcabcabcabc"]
     for w in words:
         assert np.isclose(self_kernel([w])[0], sum(v * v for v in features_of(w).values()))
     rows = Landmarks(["idiot", "trash"]).rows(["trash", "stash", "idxiot", "no"])

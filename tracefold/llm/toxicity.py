@@ -1,7 +1,7 @@
 """Toxicity (operator 4): subsequence string-kernel SVM with Nystroem landmarks.
 
-Two words are alike by their common subsequences of three characters, each weighed by DECAY to the power
-of the stretch it spans in either word (normalised to 1 for equal words), so gaps and inserted characters
+Two words are alike by their common subsequences of three characters within SPAN, each weighed by DECAY to the
+power of the stretch it spans in either word (normalised to 1 for equal words), so gaps and inserted characters
 cost some likeness but don't break it. A word with other characters between its letters is also looked at without
 them, and letters written apart ("a b c d") as the word they spell. Likenesses count from FLOOR up. The
 support vector machine is linear in the Nystroem features of these likenesses, K(word, landmarks) times
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -33,7 +34,7 @@ from tracefold.llm.common import small_batches
 
 #: At most so many labelled documents of each label are trained on, and so many words of either kind.
 MAX_LABELLED, MAX_WORDS = 2000, 3000
-DECAY, FLOOR, WINDOW = 0.65, 0.35, 20
+DECAY, FLOOR, WINDOW, SPAN = 0.65, 0.35, 20, 7
 INSULTS, PLAIN, DIVERSE = 72, 6, 0.85
 LEAST_DOCS, LEAST_ODDS = 3, 3.0
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|@+-_=/\\~`…«»¡¿„“”‚‘’"
@@ -44,26 +45,25 @@ def word_of(token: str) -> str:
     return token.strip(EDGE)
 
 
+@lru_cache(64)
+def triples(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all three characters, in order, within SPAN of each other in a word of ``n``; their weights."""
+    at = np.array([t for t in combinations(range(n), 3) if t[2] - t[0] < SPAN], np.int32).reshape(-1, 3)
+    return at, (DECAY ** (at[:, 2] - at[:, 0] + 1)).astype(np.float32)
+
+
 def self_kernel(words: list[str]) -> np.ndarray:
     """Unnormalised kernel of each word with itself; all words must have the same length."""
-    n = len(words[0])
-    codes = np.array([[ord(c) for c in w] for w in words])
-    same = codes[:, :, None] == codes[:, None, :]
-    # inner[i][j]: weight of common subsequences of the length so far within the first i and j characters, carried to their ends
-    inner = np.ones((len(words), n + 1, n + 1))
-    total = np.zeros(len(words))
-    for length in (1, 2, 3):
-        if length == 3:
-            total = (same * inner[:, :n, :n]).sum((1, 2)) * DECAY**2
-            break
-        fresh = np.zeros_like(inner)
-        for i in range(1, n + 1):
-            run = np.zeros(len(words))
-            for j in range(1, n + 1):
-                run = DECAY * (run + np.where(same[:, i - 1, j - 1], DECAY * inner[:, i - 1, j - 1], 0))
-                fresh[:, i, j] = DECAY * fresh[:, i - 1, j] + run
-        inner = fresh
-    return total
+    at, weight = triples(len(words[0]))
+    codes = np.array([[ord(c) for c in w] for w in words], np.int64)
+    key = (codes[:, at[:, 0]] << 42) | (codes[:, at[:, 1]] << 21) | codes[:, at[:, 2]]
+    order = np.argsort(key, axis=1)
+    key, w = np.take_along_axis(key, order, 1), weight[order].astype(float)
+    new = np.ones(key.shape, bool)
+    new[:, 1:] = key[:, 1:] != key[:, :-1]
+    starts = np.flatnonzero(new)
+    square = np.add.reduceat(w.ravel(), starts) ** 2  # equal subsequences add up before they are squared
+    return np.add.reduceat(square, np.searchsorted(starts, np.arange(len(words)) * key.shape[1]))
 
 
 class Landmarks:
@@ -76,7 +76,7 @@ class Landmarks:
         found: dict[int, dict[int, float]] = {}
         for m, w in enumerate(words):
             codes = [self.chars[c] for c in w]
-            for i, j, k in combinations(range(len(w)), 3):
+            for i, j, k in triples(len(w))[0].tolist():
                 at = (codes[i] * self.base + codes[j]) * self.base + codes[k]
                 own = found.setdefault(at, {})
                 own[m] = own.get(m, 0.0) + DECAY ** (k - i + 1)
@@ -87,13 +87,6 @@ class Landmarks:
             for m, x in own.items():
                 self.weight[n + 1, m] = x
         self.norm = np.sqrt([self_kernel([w])[0] for w in words]).astype(np.float32) if words else np.zeros(0, np.float32)
-        self._triples: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def triples(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n not in self._triples:
-            at = np.array(list(combinations(range(n), 3)), np.int64)
-            self._triples[n] = at, (DECAY ** (at[:, 2] - at[:, 0] + 1)).astype(np.float32)
-        return self._triples[n]
 
     def rows(self, words: list[str]) -> np.ndarray:
         """Normalised kernel [word, landmark], 0 below FLOOR. A long word takes the greatest over its windows."""
@@ -106,13 +99,13 @@ class Landmarks:
                     by_length.setdefault(len(part), []).append((k, part))
         get = self.chars.get
         for n, parts in by_length.items():
-            at, span = self.triples(n)
+            at, span = triples(n)
             step = max(1, 400_000 // len(at))
             for low in range(0, len(parts), step):
                 some = parts[low : low + step]
-                codes = np.array([[get(c, 0) for c in w] for _, w in some], np.int64)
-                a, b, c = codes[:, at[:, 0]], codes[:, at[:, 1]], codes[:, at[:, 2]]
-                slot = self.slot[(a * self.base + b) * self.base + c] * ((a > 0) & (b > 0) & (c > 0))
+                # characters of no landmark are 0, and no slot is set under a 0
+                codes = np.array([[get(c, 0) for c in w] for _, w in some], np.int32)
+                slot = self.slot[(codes[:, at[:, 0]] * self.base + codes[:, at[:, 1]]) * self.base + codes[:, at[:, 2]]]
                 word, triple = np.nonzero(slot)
                 if not len(word):
                     continue
@@ -147,7 +140,7 @@ class ToxicityModel:
 def kernel_rows(marks: Landmarks, tokens: list[str]) -> np.ndarray:
     """Kernel of each token, as written and without what isn't a letter or digit: the greater of both."""
     words = [word_of(t) for t in tokens]
-    plain = ["".join(c for c in w if c.isalnum()) for w in words]
+    plain = [w if w.isalnum() else "".join(c for c in w if c.isalnum()) for w in words]
     rows = marks.rows(words)
     other = [k for k, (w, p) in enumerate(zip(words, plain, strict=True)) if w != p]
     if other:
