@@ -7,7 +7,7 @@ import pytest
 
 tokenizers = pytest.importorskip("public_tokenizers")
 
-from tracefold.llm.jaccard_join import INDEX, PROBE, differing, entries, text_sets  # noqa: E402
+from tracefold.llm.jaccard_join import DOUBLE, INDEX, NEXT, PROBE, differing, entries, most_differing, text_sets  # noqa: E402
 from tracefold.llm.piece_codec import PieceCodec  # noqa: E402
 from tracefold.llm.secret_scan import features, find_secrets, forest, labelled_findings, masked  # noqa: E402
 from tracefold.llm.source_mix import min_cost_flow, target_sizes  # noqa: E402
@@ -76,6 +76,29 @@ def test_any_linked_sets_share_a_probed_signature():
         assert own >= must[0, p] or (must[1, p] and later >= must[1, p])
 
 
+def test_all_size_pairs_at_the_limit_are_met_often_enough():
+    r, sets, pairs = np.random.default_rng(3), [], []
+    for a in range(1, 46):
+        for b in range(a, a * 5 // 4 + 1):
+            assert all(differing(a, x) <= most_differing(a, a, b) for x in range(a, b + 1)) and any(differing(a, x) == most_differing(a, a, b) for x in range(a, b + 1))
+            both = -(-4 * (a + b) // 9)
+            for _ in range(12 if both <= a else 0):
+                x = r.integers(1, 2**63, a + b - both, dtype=np.uint64)
+                sets += [np.sort(x[:a]), np.sort(np.concatenate([x[:both], x[a:]]))]
+                pairs.append((a, b))
+    sizes = np.array([len(x) for x in sets])
+    sig, doc, flags, must = entries(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), sizes, np.zeros(0, np.uint64))
+    index, probes = [set() for _ in sets], [{} for _ in sets]
+    for v, d, f in zip(sig.tolist(), doc.tolist(), flags.tolist(), strict=True):
+        if f & INDEX:
+            index[d].add(v)
+        if f & PROBE:
+            probes[d][v] = f
+    for k, pair in enumerate(pairs):
+        met = [sum(2 if f & DOUBLE else 1 for v, f in probes[2 * k].items() if v in index[2 * k + 1] and bool(f & NEXT) == step) for step in (False, True)]
+        assert any(met[step] and met[step] >= must[step, 2 * k] for step in (0, 1)), pair
+
+
 def test_kernel_matches_enumeration():
     from itertools import combinations
 

@@ -71,6 +71,12 @@ def differing(a, b):
     return a + b - 2 * share
 
 
+def most_differing(a, low, high):
+    """The most shingles in which a set of size a differs from linked ones of sizes low to high: ``differing`` steps back by
+    one between sums, so the largest size need not have it."""
+    return np.maximum(differing(a, high), differing(a, np.maximum(low, high - 1)))
+
+
 def text_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(shingle, text number) sorted; sizes; a 64-bit name of each text's set."""
     h, of, _ = word_hashes(texts)
@@ -129,7 +135,7 @@ def entries(s: np.ndarray, o: np.ndarray, sizes: np.ndarray, common: np.ndarray)
         base, place, element, sums, count, held = _segments(es, eo, band, er)
         doc = np.repeat(np.arange(len(members)), np.diff(base))
         segment = np.arange(base[-1]) - base[doc]
-        need = differing(sizes[members], np.minimum(most[members], last[band])) + 1
+        need = most_differing(sizes[members], np.maximum(sizes[members], first[band]), np.minimum(most[members], last[band])) + 1
         # cheapest segments first: those with the most rare shingles, then with the most of any; empty ones last
         order = np.lexsort((segment, -held, -count, doc))
         rank = np.empty(len(order), np.int64)
