@@ -93,6 +93,28 @@ def test_jaccard_components(docs, none):
     assert set(ids) == {i for i, (n, c) in want.items() if n == 0 or c == i} and max(ids.values()) == 1
 
 
+def links_of(table):
+    """Per row the number of other rows that are similar enough, by comparing all pairs."""
+    words = [t.encode().lower().split() for _, t in table]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    close = lambda a, b: a and b and 100 * len(a & b) >= 80 * len(a | b)
+    return [(table[k][0], sum(bool(close(a, b)) for j, b in enumerate(sets) if j != k)) for k, a in enumerate(sets)]
+
+
+def test_every_link_is_counted(spark):
+    r = random.Random(8)
+    table = []
+    for base in ([word(r) for _ in range(n)] for n in (100, 40, 24, 15)):
+        for _ in range(40):
+            w = list(base)
+            for _ in range(r.randint(0, max(1, len(base) // 25))):
+                w[r.randrange(len(w))] = word(r)
+            table += [" ".join(w)] * r.choice([1, 1, 3])
+    table = [(k // 2, t) for k, t in enumerate([*table, "", "alone here"])]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.n_links) for x in got) == sorted(links_of(table))
+
+
 def test_one_large_group_of_near_copies(spark):
     r = random.Random(4)
     base = [word(r) for _ in range(120)]

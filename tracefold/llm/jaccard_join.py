@@ -12,10 +12,9 @@ their own size band and, where partners may be larger, the next. Spare segments
 are probed too: then a partner must be met in segments with sum of v(i) - H at least, and a set whose
 shared signatures altogether don't come to that has no partner there and stops probing.
 
-Candidates are groups that share a signature. They are never expanded into all pairs: rounds compare each
-member with one leader of its group, links found join components, and only groups that still hold
-several components go on; the last round compares exactly those pairs across components that no round
-has compared. Equal sets are one node throughout. Pairs are verified on whole sets of 64-bit hashes.
+Candidates are all pairs of a probing and an indexed set that share signatures with sum of v(i) - H at least.
+Every one is verified on whole sets of 64-bit hashes, so that each document's links can be counted; their
+number grows with the square of a group of near copies. Equal sets are one node throughout, with its copies.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; a text of fewer than
 five words is one shingle; repeated rows and equal doc_ids are rows each; an empty table gives no rows;
@@ -48,7 +47,6 @@ INDEX, PROBE, DOUBLE, NEXT = 1, 2, 4, 8
 FEW_SETS = 300_000
 #: A shingle counts as common in this share of documents; so many of the commonest are sent to all tasks.
 COMMON_SHARE, COMMON_LEAST, COMMON_MOST = 1 / 2000, 16, 200_000
-STAR_ROUNDS = 2
 
 _BAND, _SEGMENT, _ELEMENT, _GONE, _SET = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F))
 
@@ -315,14 +313,19 @@ def able_entries(shared: DataFrame) -> DataFrame:
     able = met.where("met >= must").select("node", "step", F.lit(True).alias("able"))
     rows = shared.withColumn("step", F.col("flags").bitwiseAND(NEXT)).join(able, ["node", "step"], "left")
     flags = F.when(F.col("able"), F.col("flags")).otherwise(F.col("flags").bitwiseAND(INDEX))
-    rows = materialise(rows.select("sig", "node", "n", flags.alias("flags")).where("flags > 0"), "able")
+    rows = materialise(rows.select("sig", "node", "n", flags.alias("flags"), "must").where("flags > 0"), "able")
     live = rows.groupBy("sig").agg(F.bit_or("flags").alias("any"), F.count(F.lit(1)).alias("sets")).where((F.col("any").bitwiseAND(PROBE) > 0) & (F.col("sets") > 1))
     return materialise(rows.join(live.select("sig"), "sig", "left_semi"), "live")
 
 
-def _valid(a: str, b: str) -> str:
-    """Whether the side ``a`` probes may link with the indexed side ``b``."""
-    return f"({a}_flags & {PROBE} > 0 AND {b}_flags & {INDEX} > 0 AND {a}_n <= {b}_n AND {NUM} * {b}_n <= {DEN} * {a}_n)"
+def candidates(entries: DataFrame) -> DataFrame:
+    """Pairs (a, b), once each, of which the smaller set probes and meets the other in as much as linked sets do."""
+    bit = lambda flag: F.col("flags").bitwiseAND(flag)
+    probing = entries.where(bit(PROBE) > 0).select("sig", F.col("node").alias("x"), F.col("n").alias("x_n"), bit(NEXT).alias("step"), F.when(bit(DOUBLE) > 0, 2).otherwise(1).alias("v"), "must")
+    indexed = entries.where(bit(INDEX) > 0).select("sig", F.col("node").alias("y"), F.col("n").alias("y_n"))
+    met = probing.join(indexed, "sig").where(f"x <> y AND x_n <= y_n AND {NUM} * y_n <= {DEN} * x_n")
+    enough = met.groupBy("x", "y", "step").agg(F.sum("v").alias("met"), F.max("must").alias("must")).where("met >= must")
+    return materialise(enough.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
 
 
 def linked_components(links: DataFrame) -> DataFrame:
@@ -354,7 +357,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable over links), n_links.
 
-    n_links counts the links found to documents of other texts; within a component not all pairs are compared.
+    n_links counts all other documents that are similar enough, each copy of a text by itself.
     """
     spark: SparkSession = docs.sparkSession
     small_batches(spark, 200)
@@ -369,46 +372,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     dealt = rows.select("text").mapInArrow(_emit(sent, buckets), "bucket long, entries binary, nodes binary").repartition(buckets, "bucket")
     shared = materialise(dealt.mapInArrow(_shared, "sig long, node long, n long, flags long, must long"), "shared")
     shared = able_entries(shared)
-    names = table.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    none = spark.createDataFrame([], "a long, b long")
-    links, tested, comp = none, none, None
+    names = table.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    links, comp = None, None
     if not shared.isEmpty():
         wanted = materialise(names.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("least").alias("doc_id")), "wanted")
         few = F.broadcast(wanted) if wanted.count() <= FEW_SETS else wanted
         sets = materialise(rows.join(few, "doc_id").select("text", "node").mapInArrow(_sets, "node long, shingles array<long>"), "sets")
-        for turn in range(STAR_ROUNDS + 1):
-            if comp is None:
-                open_ = shared.withColumn("comp", F.col("node"))
-            else:
-                known = shared.join(comp, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-                several = known.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-                open_ = known.join(several, "sig", "left_semi")
-            side = lambda p, d: d.select("sig", *(F.col(c).alias(f"{p}_{c}") for c in ("node", "n", "flags", "comp")))
-            if turn < STAR_ROUNDS:
-                # first one order of leaders for all groups, so that few pairs come of many; then another for each group
-                rank = F.xxhash64(F.col("node")) if turn == 0 else F.xxhash64(F.col("sig"), F.col("node"), F.lit(turn))
-                leader = open_.groupBy("sig").agg(F.min_by(F.struct("node", "n", "flags", "comp"), rank).alias("l")).select("sig", *(F.col(f"l.{c}").alias(f"x_{c}") for c in ("node", "n", "flags", "comp")))
-            else:
-                leader = side("x", open_)
-            met = leader.join(side("y", open_), "sig").where("x_comp <> y_comp").where(f"{_valid('x', 'y')} OR {_valid('y', 'x')}")
-            pairs = met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-            pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-            if pairs.isEmpty():
-                if turn >= 1:
-                    break
-                continue
-            found = materialise(verified(pairs, sets), "links")
-            tested, links = tested.unionByName(pairs), links.unionByName(found)
-            if not links.isEmpty():
-                comp = materialise(linked_components(links), "components")
-    own = names
+        links = materialise(verified(candidates(shared), sets), "links")
+        if not links.isEmpty():
+            comp = materialise(linked_components(links), "components")
     if comp is not None:
         lowest = comp.join(names, "node").groupBy("root").agg(F.min("least").alias("lowest"))
-        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-        of = comp.join(lowest, "root").join(degree, "node", "left").select("node", "lowest", "n_links")
-        own = names.join(of, "node", "left").select("node", F.coalesce("lowest", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        degree = ends.join(names.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
+        of = comp.join(lowest, "root").join(degree, "node", "left").select("node", "lowest", "others")
+        own = names.join(of, "node", "left").select("node", F.coalesce("lowest", "least").alias("component_id"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     else:
-        own = names.select("node", F.col("least").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+        own = names.select("node", F.col("least").alias("component_id"), (F.col("copies") - 1).alias("n_links"))
     full = table.where("n > 0").join(own, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
     empty = table.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return full.unionByName(empty)
