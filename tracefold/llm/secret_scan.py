@@ -7,9 +7,9 @@ letter pairs and words cover, whether it looks like a path, address, identifier
 beside it. It is trained on labelled findings: kinds of true and false ones written as rules below and
 filled from a seeded generator, since the tables have no labels for secrets.
 
-Defined cases: null and empty texts have no candidates; overlapping candidates count once, the surer one;
-whole texts are scanned; repeated rows each get their row; an empty table gives no rows; other columns
-are kept as they are.
+Defined cases: null and empty texts have no candidates; overlapping secrets are one, from the
+first's start to the last's end; values are taken whole, however long; whole texts are scanned; repeated
+rows each get their row; an empty table gives no rows; other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -30,11 +30,13 @@ from tracefold.llm.common import small_batches
 SEED, FINDINGS, TREES, DEPTH, LEAST_LEAF, AT_LEAST = 11, 2400, 40, 9, 3, 0.5
 MASK = "[SECRET]"
 NEAR = 40
+#: Values longer than any labelled finding are secrets if they or so many first characters look like one.
+HEAD = {"assigned": 200, "form": 72}
 
 NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key|client[_-]?secret)"
-ASSIGNED = re.compile(rf"(?i){NAMES}[\"']?\s{{0,3}}(?:[:=]|=>|:=)\s{{0,3}}[\"']?([^\s\"',;<>]{{6,200}})")
+ASSIGNED = re.compile(rf"(?i){NAMES}[\"']?\s{{0,3}}(?:[:=]|=>|:=)\s{{0,3}}[\"']?([^\s\"',;<>]{{6,}}+)")
 #: Published forms of provider keys, and private-key headers.
-FORMS = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,72}|sk_live_[A-Za-z0-9]{16,64}|AIza[A-Za-z0-9_-]{35}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")
+FORMS = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}+|sk_live_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{35}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")
 RUN = re.compile(r"[A-Za-z0-9+/_=.\-]{16,}")
 HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential")
 TELLING = re.compile(rf"(?i){NAMES}|key|login|signin")
@@ -216,20 +218,31 @@ def forest() -> Forest:
 
 def find_secrets(texts: list[str], at_least: float = AT_LEAST) -> tuple[list[int], list[list[tuple[int, int, float]]]]:
     """Candidates of each text, and its secrets as (start, end, probability) in order."""
-    model, rows, owner = forest(), [], []
+    model, rows, seen, owner, long = forest(), [], [], [], []
     for k, t in enumerate(texts):
         for s in spans(t):
             rows.append((k, *s))
-            owner.append(features(t, *s))
+            owner.append(k)
+            seen.append(features(t, *s))
+            if s[1] - s[0] > HEAD.get(s[2], s[1]):
+                long.append((len(rows) - 1, features(t, s[0], s[0] + HEAD[s[2]], s[2])))
     counts, out = [0] * len(texts), [[] for _ in texts]
     if rows:
-        p = model.probability(np.array(owner))
-        for i in np.lexsort(([r[1] for r in rows], -p)):
+        p = model.probability(np.array(seen))
+        if long:
+            at = [i for i, _ in long]
+            p[at] = np.maximum(p[at], model.probability(np.array([f for _, f in long])))
+        for i in np.lexsort(([r[1] for r in rows], owner)):
             k, start, end, _ = rows[i]
             counts[k] += 1
-            if p[i] >= at_least and all(end <= a or start >= b for a, b, _ in out[k]):
+            if p[i] < at_least:
+                continue
+            if out[k] and start < out[k][-1][1]:
+                a, b, q = out[k].pop()
+                out[k].append((a, max(b, end), max(q, float(p[i]))))
+            else:
                 out[k].append((start, end, float(p[i])))
-    return counts, [sorted(x) for x in out]
+    return counts, out
 
 
 def masked(text: str, found: list[tuple[int, int, float]]) -> str:
