@@ -173,3 +173,13 @@ def test_queries_match_sql(spark):
         assert sorted(a.columns) == sorted(b.columns)
         key = lambda df: sorted((tuple(map(plain, r)) for r in df[sorted(df.columns)].itertuples(index=False)), key=str)
         assert key(a) == key(b), name
+
+
+def test_large_groups_are_clustered_whole(spark):
+    table = [("t", f"r{k:03}", k % 3 == 0, list("abcd") if k % 2 else list("wxyz") + ["e"] * (k % 5)) for k in range(90)]
+    runs = spark.createDataFrame(table, "task_id string, run_id string, success boolean, names array<string>")
+    got = {r.run_id: r.cluster_id for r in align.clusters(runs, threshold=0.5).collect()}
+    assert len(got) == 90 and len({got[f"r{k:03}"] for k in range(1, 90, 2)}) == 1 and got["r000"] != got["r001"]
+    assert align.pairwise_distances(runs).count() == 90 * 89 // 2 and align.splits(runs).count() == 89
+    assert align.aligned_cells(runs).select("run_id").distinct().count() == 90
+    assert align.concordance(runs).first().n_runs == 90

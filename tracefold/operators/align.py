@@ -1,8 +1,7 @@
 """Alignment, distances, clusters and concordance of runs.
 
 These are not relational, so they run as Arrow-batched functions: pairs row by row, multiple alignment and
-linkage by group. Groups are presampled to ``MAX_GROUP`` runs by a seeded hash (the operator's own cap), and
-equal label sequences are aligned once.
+linkage by group, with all runs of a group. Equal label sequences are aligned once.
 """
 
 from __future__ import annotations
@@ -11,10 +10,9 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_GROUP = 60
 GAP = None
 
 
@@ -61,15 +59,9 @@ def distance_column(a: Column, b: Column) -> Column:
     return distances(a, b)
 
 
-def presampled(runs: DataFrame, group: str = "task_id", most: int = MAX_GROUP, seed: int = 42) -> DataFrame:
-    """At most ``most`` runs of each group, by a seeded hash."""
-    order = Window.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), F.col("run_id")), "run_id")
-    return runs.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= most).drop("__r")
-
-
 def pairwise_distances(runs: DataFrame, group: str = "task_id") -> DataFrame:
-    """(group_id, run_a, run_b, distance) of the pairs within each presampled group; equal sequences are aligned once."""
-    few = presampled(runs, group).select(F.col(group).alias("group_id"), "run_id", "names")
+    """(group_id, run_a, run_b, distance) of all pairs within each group; equal sequences are aligned once."""
+    few = runs.select(F.col(group).alias("group_id"), "run_id", "names")
     pairs = few.alias("a").join(few.alias("b"), "group_id").where("a.run_id < b.run_id").select("group_id", F.col("a.run_id").alias("run_a"), F.col("b.run_id").alias("run_b"), F.col("a.names").alias("x"), F.col("b.names").alias("y"))
     # distance is symmetric: one order for each pair of sequences
     ordered = pairs.withColumn("p", F.when(F.col("x") <= F.col("y"), F.col("x")).otherwise(F.col("y"))).withColumn("q", F.when(F.col("x") <= F.col("y"), F.col("y")).otherwise(F.col("x")))
@@ -176,13 +168,13 @@ def _square(sequences: list[list]) -> np.ndarray:
 
 
 def _by_group(runs: DataFrame, group: str, work, schema: str) -> DataFrame:
-    few = presampled(runs, group).select(F.col(group).alias("group_id"), "run_id", "success", "names")
+    rows = runs.select(F.col(group).alias("group_id"), "run_id", "success", "names")
 
     def apply(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("run_id", ignore_index=True)
         return work(rows, [list(s) for s in rows["names"]])
 
-    return few.groupBy("group_id").applyInPandas(apply, schema)
+    return rows.groupBy("group_id").applyInPandas(apply, schema)
 
 
 def aligned_cells(runs: DataFrame, group: str = "task_id") -> DataFrame:
