@@ -99,6 +99,20 @@ def test_all_size_pairs_at_the_limit_are_met_often_enough():
         assert any(met[step] and met[step] >= must[step, 2 * k] for step in (0, 1)), pair
 
 
+def test_document_numbers_stay_within_their_bits(monkeypatch):
+    import types
+
+    import pyarrow as pa
+
+    from tracefold.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "DOC_BITS", 4)
+    batches = [pa.RecordBatch.from_pydict({"text": [f"word{k} number{j}" for j in range(10)]}) for k in range(3)]
+    out = list(jaccard_join._emit(types.SimpleNamespace(value=np.zeros(0, np.uint64)), 1)(iter(batches)))
+    held = [len(x) // 24 for b in out for x in b.column("nodes").to_pylist()]
+    assert sum(held) == 30 and max(held) <= 16
+
+
 def test_kernel_matches_enumeration():
     from itertools import combinations
 

@@ -228,6 +228,9 @@ def _emit(common_sent, buckets: int):
                     fresh[k] = True
             if not fresh.any():
                 continue
+            if held and n_docs + int(fresh.sum()) > 1 << DOC_BITS:
+                yield flush()
+                held, nodes, sizes, musts, n_docs, n_held = [], [], [], [], 0, 0
             number = np.cumsum(fresh) - 1
             inside = fresh[o]
             sig, doc, flags, must = entries(s[inside], number[o[inside]], n[fresh], common)
