@@ -115,6 +115,12 @@ def test_every_link_is_counted(spark):
     assert sorted((x.doc_id, x.n_links) for x in got) == sorted(links_of(table))
 
 
+def test_unlinked_texts_of_one_doc_id_both_stay(spark):
+    table = [(1, "one two three four five six"), (1, "other words of quite another kind here"), (2, "one two three four five six"), (1, "one two three four five six")]
+    kept = jaccard_join.without_near_duplicates(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == sorted(table[:2])
+
+
 def test_one_large_group_of_near_copies(spark):
     r = random.Random(4)
     base = [word(r) for _ in range(120)]

@@ -27,8 +27,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracefold.llm.common import materialise, small_batches, text_or_empty
@@ -357,10 +358,11 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return two.where(DEN * both >= NUM * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def jaccard_components(docs: DataFrame, with_nodes: bool = False) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable over links), n_links.
 
     n_links counts all other documents that are similar enough, each copy of a text by itself.
+    ``with_nodes`` adds the node of its text and the root node of its component.
     """
     spark: SparkSession = docs.sparkSession
     small_batches(spark, 200)
@@ -388,23 +390,34 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         lowest = comp.join(names, "node").groupBy("root").agg(F.min("least").alias("lowest"))
         ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         degree = ends.join(names.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
-        of = comp.join(lowest, "root").join(degree, "node", "left").select("node", "lowest", "others")
-        own = names.join(of, "node", "left").select("node", F.coalesce("lowest", "least").alias("component_id"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        of = comp.join(lowest, "root").join(degree, "node", "left").select("node", "root", "lowest", "others")
+        own = names.join(of, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("lowest", "least").alias("component_id"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     else:
-        own = names.select("node", F.col("least").alias("component_id"), (F.col("copies") - 1).alias("n_links"))
-    full = table.where("n > 0").join(own, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
-    empty = table.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return full.unionByName(empty)
+        own = names.select("node", F.col("node").alias("root"), F.col("least").alias("component_id"), (F.col("copies") - 1).alias("n_links"))
+    full = table.where("n > 0").join(own, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links", "node", "root")
+    empty = table.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), "node", F.col("node").alias("root"))
+    both = full.unionByName(empty)
+    return both if with_nodes else both.drop("node", "root")
+
+
+def _node_of(text: str) -> Column:
+    @F.pandas_udf("long")
+    def nodes(texts: pd.Series) -> pd.Series:
+        return pd.Series(text_sets([t or "" for t in texts])[3].view(np.int64))
+
+    return nodes(F.col(text))
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id. Texts without words link with
+    """``docs`` with one row of each component: that of the smallest doc_id; different
+    texts under one doc_id are apart unless linked. Texts without words link with
     nothing and all stay; a null doc_id is stood in for by a hash of the text."""
     key = F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.xxhash64("text") % F.lit(1 << 62)) - 1)
     keyed = docs.withColumn("__key", key)
-    parts = jaccard_components(keyed.select(F.col("__key").alias("doc_id"), "text"))
-    chosen = parts.where("n_shingles > 0 AND doc_id = component_id").select(F.col("doc_id").alias("__key")).distinct()
+    parts = jaccard_components(keyed.select(F.col("__key").alias("doc_id"), "text"), True)
+    least = parts.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("c"))
+    chosen = least.select(F.col("c.doc_id").alias("__key"), F.col("c.node").alias("__node"))
     wordy = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    same = Window.partitionBy("__key").orderBy("text")
-    rows = keyed.where(wordy).join(chosen, "__key", "left_semi").withColumn("__row", F.row_number().over(same)).where("__row = 1")
+    same = Window.partitionBy("__key", "__node").orderBy("text")
+    rows = keyed.where(wordy).withColumn("__node", _node_of("text")).join(chosen, ["__key", "__node"], "left_semi").withColumn("__row", F.row_number().over(same)).where("__row = 1")
     return rows.select(*docs.columns).unionByName(docs.where(~wordy))
