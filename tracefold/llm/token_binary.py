@@ -6,13 +6,14 @@ more than documents) and the document ids (``.doc``, 64 bits), plus ``manifest.j
 shard's base: the ids of all shards before it, by prefix sum. A document's global start is base +
 offset, so no file is rewritten once bases are known, and readers memory-map what they need.
 
-Defined cases: a null text is empty (it still gets the end id); a null doc_id sorts first and is
-written as the smallest 64-bit integer, read back as null; repeated rows and equal doc_ids stay, in
-order of text; an empty table gives an empty manifest and no rows; other columns are ignored.
-
-A text's pieces are encoded by the tokenizers library once per worker and then looked up: this
-vocabulary's pre-tokenizer never joins what stands before a single space between two visible
-characters with what follows, so such units encode alike in any text.
+Defined cases: a null text is empty (it still gets the end id); null doc_ids sort first, their number is
+in the manifest and they are read back as null; repeated rows and equal doc_ids stay, in order of a hash
+of the text; very long texts are encoded whole, one at a time; an empty table gives an empty manifest and
+no rows; other columns are ignored.
+
+A text's units are encoded by the tokenizers library, distinct ones of a batch in one call, and looked up
+if met before: this vocabulary's pre-tokenizer never joins what stands before a single space or line feed
+between two visible characters with what follows, so such units encode alike in any text.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -32,15 +33,19 @@ from pyspark.sql import functions as F
 
 from tracefold.llm.common import small_batches, text_or_empty
 
-NULL_ID = -(2**63)
 #: Units longer than this are not kept, and the cache starts anew beyond so many units.
 KEEP_CHARS, KEEP_UNITS, SEEN = 32, 600_000, 1 << 23
-#: Fixed value: the published splitting pattern of byte-level BPE.
-BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Texts whose distinct units are encoded together, unless their characters come to more first.
+BATCH_TEXTS, BATCH_CHARS = 400, 1 << 22
 
 
 class UnitEncoder:
-    """Encodes whole texts through the library, unit by unit."""
+    """Encodes whole texts through the library, each distinct unit of a batch once.
+
+    Names in the cache: ``w`` is the unit " w" inside a text, `` w`` the unit "w" at its start or after a
+    line feed. Names that are empty or have white space at an end are never kept, so a text that has one
+    is always told by what it misses, and is cut into longer units.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,10 +56,8 @@ class UnitEncoder:
         self.dtype = np.dtype("<u2" if self.vocab_size <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
         #: Marks of what has been missed once: only what comes again is kept.
         self.missed = bytearray(SEEN)
-        self.piece = regex.compile(BYTE_LEVEL)
         self.spaced = self._checks_out()
 
     def _checks_out(self) -> bool:
@@ -64,7 +67,8 @@ class UnitEncoder:
         return pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not rules.get("normalizer")
 
     def _lib(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        code = "H" if self.dtype.itemsize == 2 else "I"
+        return [array(code, e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
     def units(parts: list[str]) -> list[str]:
@@ -80,58 +84,62 @@ class UnitEncoder:
             last_open = p == "" or p[-1].isspace()
         return out
 
-    def _keep(self, cache: dict[str, bytes], fresh: dict[str, bytes]) -> None:
-        """Only what is missed a second time enters a cache, so words met once don't crowd it."""
-        missed = self.missed
-        for name, code in fresh.items():
-            at = hash(name) & (SEEN - 1)
-            if missed[at]:
-                if len(name) <= KEEP_CHARS:
-                    cache[name] = code
-            else:
-                missed[at] = 1
+    @staticmethod
+    def _odd(name: str) -> bool:
+        return name == "" or name == " " or name[-1].isspace() or name[name[0] == " "].isspace()
 
-    def _from_pieces(self, units: list[str]) -> list[bytes]:
-        """Encode units by the pre-tokenizer's own pieces, each looked up or encoded by the library once.
-        Characters whose class may differ between Unicode versions leave the unit to the library whole."""
-        split = [self.piece.findall(u) if u and max(u) < "\u0250" else [u] for u in units]
-        missing = [p for p in dict.fromkeys(p for pieces in split for p in pieces) if p not in self.pieces]
-        fresh = dict(zip(missing, self._lib(missing), strict=True))
-        self._keep(self.pieces, fresh)
-        return [b"".join([fresh[p] if p in fresh else self.pieces[p] for p in pieces]) for pieces in split]
+    def _lines(self, name: str) -> list[str] | None:
+        """Names of what stands between single line feeds of a unit, if nothing else but they is white space there."""
+        first, *rest = name.split("\n")
+        names = [first, *(" " + r for r in rest)]
+        return None if any(map(self._odd, names)) else names
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian bytes of ``dtype``."""
         if not self.spaced:
             return self._lib(texts)
-        for cache in (self.cache, self.pieces):
-            if len(cache) > KEEP_UNITS:
-                cache.clear()
-                self.missed = bytearray(SEEN)
-        # a space stands before a text's first unit and two before one kept out of the cache, so that an
-        # empty part or one with white space at an end is never found under its own name
-        get, plans, missing = self.cache.get, [], {}
+        cache = self.cache
+        if len(cache) > KEEP_UNITS:
+            cache.clear()
+            self.missed = bytearray(SEEN)
+        plans: list[list[str] | None] = []
         for text in texts:
             if any(s in text for s in self.special):
-                plans.append(self._lib([text])[0])
-                continue
-            parts = text.split(" ")
-            names = [" " + parts[0], *parts[1:]]
-            codes = [get(n) for n in names]
-            if None not in codes:
-                plans.append(b"".join(codes))
-                continue
-            lost = [n for n, code in zip(names, codes, strict=True) if code is None]
-            if any(n == "" or n == " " or n[-1].isspace() or n[n[0] == " "].isspace() for n in lost):
-                units = self.units(parts)
-                names = ["  " + u for u in units]
-                missing.update(zip(names, units, strict=True))
+                plans.append(None)
             else:
-                missing.update((n, n[1:] if n[0] == " " else " " + n) for n in lost)
-            plans.append(names)
-        fresh = dict(zip(missing, self._from_pieces(list(missing.values())), strict=True))
-        self._keep(self.cache, {n: code for n, code in fresh.items() if n[:2] != "  " and "\n" not in n})
-        return [p if isinstance(p, bytes) else b"".join([fresh[n] if n in fresh else get(n) for n in p]) for p in plans]
+                first, *rest = text.split(" ")
+                plans.append([" " + first, *rest])
+        missing = set().union(*filter(None, plans)).difference(cache)
+        odd = {n for n in missing if self._odd(n)}
+        missing -= odd
+        lines = {n: parts for n in missing if "\n" in n and (parts := self._lines(n))}
+        missing.difference_update(lines)
+        for parts in lines.values():
+            missing.update(p for p in parts if p not in cache)
+        spell = {n: n[1:] if n[0] == " " else " " + n for n in missing}
+        for k, names in enumerate(plans):
+            if names and odd and not odd.isdisjoint(names):
+                units = self.units([names[0][1:], *names[1:]])
+                plans[k] = ["  " + u for u in units]  # two spaces: never the name of a kept unit
+                spell.update((n, u) for n, u in zip(plans[k], units, strict=True) if n not in spell)
+        cache.update(zip(spell, self._lib(list(spell.values())), strict=True))
+        if lines:
+            feed = self._lib(["\n"])[0]
+            cache.update([(n, feed.join([cache[p] for p in parts])) for n, parts in lines.items()])
+        own = iter(self._lib([t for t, names in zip(texts, plans, strict=True) if names is None]))
+        get = cache.__getitem__
+        out = [next(own) if names is None else b"".join(map(get, names)) for names in plans]
+        for n in lines:
+            del cache[n]
+        missed = self.missed
+        for n in spell:  # only what is missed a second time stays, so that units met once don't crowd the cache
+            at = hash(n) & (SEEN - 1)
+            if not missed[at]:
+                missed[at] = 1
+                del cache[n]
+            elif len(n) > KEEP_CHARS or n[:2] == "  " or "\n" in n:
+                del cache[n]
+        return out
 
 
 _encoders: dict[str, UnitEncoder] = {}
@@ -143,22 +151,36 @@ def encoder(path: str) -> UnitEncoder:
     return _encoders[path]
 
 
+def bounded(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in order, in parts of bounded number and length; a longer text is a part by itself."""
+    part, size = [], 0
+    for text in texts:
+        if part and (len(part) >= BATCH_TEXTS or size + len(text) > BATCH_CHARS):
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text)
+    if part:
+        yield part
+
+
 def _writer(path: str, out: str, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, store = encoder(path), pafs.FileSystem.from_uri(out)
         shard, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         folder = f"{store[1]}/shard-{shard:07d}"
         temp, end = f"{folder}.tmp-{attempt}", np.array([end_id], code.dtype).tobytes()
-        lengths, ids, sink = [], [], None
+        lengths, ids, nulls, sink = [], [], 0, None
         for batch in batches:
             if sink is None:
                 sink = store[0].open_output_stream(f"{temp}.bin")
             texts = batch.column("text").to_pylist()
-            for at in range(0, len(texts), 128):
-                for data in code.encode(texts[at : at + 128]):
+            for part in bounded(texts):
+                for data in code.encode(part):
                     sink.write(data + end)
                     lengths.append(len(data) // code.dtype.itemsize + 1)
-            ids.append(batch.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False))
+            nulls += batch.column("doc_id").null_count
+            ids.append(batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False))
         if sink is None:
             return
         sink.close()
@@ -168,7 +190,7 @@ def _writer(path: str, out: str, end_id: int):
                 f.write(data.tobytes())
         for kind in ("bin", "idx", "doc"):  # a repeated attempt replaces equal files
             store[0].move(f"{temp}.{kind}", f"{folder}.{kind}")
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [len(lengths)], "n_tokens": [int(offsets[-1])], "width": [code.dtype.itemsize]})
+        yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [len(lengths)], "n_tokens": [int(offsets[-1])], "width": [code.dtype.itemsize], "n_null": [nulls]})
 
     return write
 
@@ -186,10 +208,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, end_id: in
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-    shards = dealt.mapInArrow(_writer(tokenizer_path, out, end_id), "shard long, n_docs long, n_tokens long, width long").collect()
+    shards = dealt.mapInArrow(_writer(tokenizer_path, out, end_id), "shard long, n_docs long, n_tokens long, width long, n_null long").collect()
     base, listed = 0, []
     for s in sorted(shards, key=lambda s: s.shard):
-        listed.append({"shard": s.shard, "base": base, "n_docs": s.n_docs, "n_tokens": s.n_tokens, "width": s.width})
+        listed.append({"shard": s.shard, "base": base, "n_docs": s.n_docs, "n_tokens": s.n_tokens, "width": s.width, "n_null": s.n_null})
         base += s.n_tokens
     manifest = {"path": out, "end_id": end_id, "n_tokens": base, "shards": listed}
     with place[0].open_output_stream(f"{place[1]}/manifest.json") as f:
@@ -197,11 +219,15 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, end_id: in
     return manifest
 
 
-def _load(store, path: str, dtype: str) -> np.ndarray:
+def _span(store, path: str, dtype: str, low: int, high: int) -> np.ndarray:
+    """Items [low, high) of a file: through a memory map on local disks, by a ranged read elsewhere."""
+    width = np.dtype(dtype).itemsize
+    if low >= high:
+        return np.zeros(0, dtype)
     if isinstance(store, pafs.LocalFileSystem):
-        return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
+        return np.memmap(path, dtype, "r", low * width, (high - low,))
     with store.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+        return np.frombuffer(f.read_at((high - low) * width, low * width), dtype)
 
 
 def _reader(out: str):
@@ -210,20 +236,21 @@ def _reader(out: str):
         for batch in batches:
             for row in batch.to_pylist():
                 name = f"{root}/shard-{row['shard']:07d}"
-                ids, offsets, docs = _load(store, f"{name}.bin", f"<u{row['width']}"), _load(store, f"{name}.idx", "<u8"), _load(store, f"{name}.doc", "<i8")
-                for low in range(0, len(docs), 4096):
-                    part = range(low, min(low + 4096, len(docs)))
-                    at = offsets[low : part.stop + 1].astype(np.int64)
-                    crc = [zlib.crc32(ids[at[k] : at[k + 1]].astype("<u4").tobytes()) for k in range(len(part))]
-                    doc = docs[low : part.stop]
-                    yield pa.RecordBatch.from_arrays([pa.array(doc, mask=doc == NULL_ID), pa.array(at[:-1] + row["base"]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                for low in range(0, row["n_docs"], 1024):
+                    high = min(low + 1024, row["n_docs"])
+                    at, doc = _span(store, f"{name}.idx", "<u8", low, high + 1).astype(np.int64), _span(store, f"{name}.doc", "<i8", low, high)
+                    ids = _span(store, f"{name}.bin", f"<u{row['width']}", int(at[0]), int(at[-1]))
+                    cuts = (at - at[0]).tolist()
+                    crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
+                    null = np.arange(low, high) < row["n_null"]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.asarray(doc), mask=null), pa.array(at[:-1] + row["base"]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return read
 
 
 def read_token_files(spark: SparkSession, manifest: dict) -> DataFrame:
     """Per document, from the files alone: doc_id, start, n_tokens, ids_crc32."""
-    shards = spark.createDataFrame([(s["shard"], s["base"], s["width"]) for s in manifest["shards"]], "shard long, base long, width long")
+    shards = spark.createDataFrame([(s["shard"], s["base"], s["width"], s["n_docs"], s["n_null"]) for s in manifest["shards"]], "shard long, base long, width long, n_docs long, n_null long")
     return shards.repartition(max(1, len(manifest["shards"]))).mapInArrow(_reader(manifest["path"]), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
@@ -234,6 +261,5 @@ def token_slice(manifest: dict, start: int, stop: int) -> np.ndarray:
     for s in manifest["shards"]:
         low, high = max(start, s["base"]), min(stop, s["base"] + s["n_tokens"])
         if low < high:
-            ids = _load(store, f"{root}/shard-{s['shard']:07d}.bin", f"<u{s['width']}")
-            parts.append(np.asarray(ids[low - s["base"] : high - s["base"]]))
+            parts.append(np.asarray(_span(store, f"{root}/shard-{s['shard']:07d}.bin", f"<u{s['width']}", low - s["base"], high - s["base"])))
     return np.concatenate(parts) if parts else np.zeros(0, "<u4")
