@@ -150,6 +150,23 @@ def test_fingerprints(docs, none):
     assert fingerprints.fingerprint_documents(none).count() == 0
 
 
+def test_fingerprints_meet_exact_successors(spark):
+    """Ids that doubles can't hold, negative ones, many nulls and equal ids, repeated rows: every row, and its successor."""
+    r = random.Random(3)
+    table = [(2**60 + k, word(r) + " " + word(r)) for k in range(300)] + [(-(2**60) - k, word(r) * 3) for k in range(50)]
+    table += [(None, word(r) + str(k)) for k in range(120)] + [(7, word(r) + str(k)) for k in range(120)] + [(7, "same again")] * 30 + [(None, None)] * 20
+    frame = spark.createDataFrame(table, "doc_id long, text string").repartition(7)
+    got = fingerprints.fingerprint_documents(frame).collect()
+    assert len(got) == len(table)
+    code = {r.text: r.h for r in frame.selectExpr("coalesce(text, '') text", "xxhash64(coalesce(text, '')) h").collect()}
+    order = sorted(((i is not None, i or 0, code[t or ""], t or "") for i, t in table))
+    want = collections.Counter()
+    for k, (known, i, _, t) in enumerate(order):
+        n, after = len(t) // 2, order[(k + 1) % len(order)][3]
+        want[(i if known else None, len(t), hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest())] += 1
+    assert collections.Counter((x.doc_id, x.n_chars, x.edited_sha256) for x in got) == want
+
+
 def test_collision_rate_is_generalised_jaccard():
     r = random.Random(8)
     a = [" ".join(word(r) for _ in range(150)) for _ in range(80)]

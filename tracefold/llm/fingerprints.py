@@ -6,18 +6,22 @@ draws from Gamma(2, 1) and b from [0, 1), fixed by (x, k); with t = floor(ln w /
 the term of least ln c - r (t - b) - r, together with its t. Two documents share a sample with
 the probability of their generalised Jaccard similarity: sum of lesser weights over sum of greater.
 
-Documents meet their successors without a global sort: boundaries are existing doc_ids, each bucket is
-sorted by itself, and the first document of a bucket is also sent to the bucket before it (the very first
-one to the last bucket).
+Documents meet their successors without a global sort. Their order is (doc_id, hash of the text), so that
+many documents of one doc_id are split too. Cuts come from a hash-chosen sample of some SAMPLED keys a
+bucket; any cuts give right results, they only steer the balance. One aggregation finds each bucket's
+first key exactly; documents with that key also go to the bucket before it that has rows (the very first
+key to the last bucket), and each bucket is sorted and read by itself.
 
 Defined cases: a null text is empty; texts without words have one fixed fingerprint, like each other (1)
-and unlike any other (0); null doc_ids sort first; equal doc_ids are ordered by text; a single document
-is its own successor; an empty table gives no rows; other columns are ignored.
+and unlike any other (0); null doc_ids sort first; equal doc_ids are ordered by a hash of the text; repeated
+rows follow each other; very long texts are one part by themselves; a single document is its own
+successor; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +37,8 @@ SAMPLES = 64
 #: Quantiles of Gamma(2, 1) that draws are taken from, and rows of (term, sample) that are held at once.
 QUANTILES, BLOCK, HELD = 1 << 16, 1 << 12, 1 << 16
 EMPTY = np.uint16(0)
+#: Keys sampled for each bucket.
+SAMPLED = 48
 
 
 def _gamma2() -> np.ndarray:
@@ -137,11 +143,10 @@ def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by (bucket, head, order); a bucket's own rows end with the successor of its last one."""
     bucket, ids, texts, size, done = None, [], [], 0, False
     for batch in batches:
-        for place, doc, text in zip(*(batch.column(c).to_pylist() for c in ("place", "doc_id", "text")), strict=True):
-            own, head = place >> 1, place & 1
+        for own, head, doc, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "head", "doc_id", "text")), strict=True):
             if own != bucket:
                 bucket, ids, texts, size, done = own, [], [], 0, False
-            if done or (head and not texts):
+            if done:
                 continue
             ids.append(doc)
             texts.append(text)
@@ -152,35 +157,53 @@ def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids, texts, size = ids[-1:], texts[-1:], len(texts[-1])
 
 
+def bucket_heads(keys: DataFrame, parts: int) -> tuple[list[tuple], list[int | None], list[tuple | None]]:
+    """Cuts between buckets; each bucket's first key (known, doc_id, hash), None without rows; the bucket its head also goes to."""
+    n_rows = keys.count()
+    every = max(1, n_rows // (SAMPLED * parts))
+    # some SAMPLED distinct keys a bucket, whatever the table's size
+    sample = sorted(tuple(r) for r in keys.where(F.pmod(F.xxhash64("doc_id", "hash", F.lit(7)), F.lit(every)) == 0).distinct().collect())
+    cuts = sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
+    found = keys.withColumn("bucket", bucket_of(cuts)("known", "doc_id", "hash")).groupBy("bucket").agg(F.min(F.struct("known", "doc_id", "hash")).alias("first"))
+    heads: list[tuple | None] = [None] * (len(cuts) + 1)
+    for r in found.collect():  # a row a bucket
+        heads[r.bucket] = tuple(r.first)
+    full = [k for k, h in enumerate(heads) if h is not None]
+    before: list[int | None] = [None] * len(heads)
+    for at, k in enumerate(full):
+        before[k] = full[at - 1]
+    return cuts, before, heads
+
+
+def bucket_of(cuts: list[tuple]):
+    @F.pandas_udf("int")
+    def place(known: pd.Series, doc: pd.Series, code: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(cuts, key) for key in zip(known.tolist(), doc.tolist(), code.tolist(), strict=True)], dtype="int32")
+
+    return place
+
+
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Per document: n_chars, its fingerprint, that of the edited text, and both likenesses."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("given"), text_or_empty().alias("text"))
+    # never a null in Python: a batch of ids that has one would be read as floating point
+    rows = rows.select(F.col("given").isNotNull().cast("int").alias("known"), F.coalesce("given", F.lit(0)).alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = 2 * parts
-    # as many numbers as buckets come back, each an existing doc_id
-    got = rows.agg(F.percentile_approx("doc_id", [k / cuts for k in range(1, cuts)], 20_000).alias("cut"), F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
-    bounds = np.array(sorted(set(got.cut or [])), np.int64)
-    least, nulls, last = got.least, got.nulls, len(bounds)
-
-    @F.pandas_udf("array<long>")
-    def places(ids: pd.Series) -> pd.Series:
-        none = ids.isna().to_numpy()
-        known = ids.fillna(0).to_numpy().astype(np.int64)
-        own = np.where(none, 0, np.searchsorted(bounds, known, side="right"))
+    cuts, before, heads = bucket_heads(rows.drop("text"), parts)
+
+    @F.pandas_udf("array<int>")
+    def places(known: pd.Series, doc: pd.Series, code: pd.Series) -> pd.Series:
         out = []
-        for k, (j, v, lost) in enumerate(zip(own.tolist(), known.tolist(), none.tolist(), strict=True)):
-            to = [2 * j]
-            if not lost and j > 0 and bounds[j - 1] == v:
-                to.append(2 * (j - 1) + 1)
-            if lost if nulls else (v == least):
-                to.append(2 * last + 1)
-            out.append(to)
+        for key in zip(known.tolist(), doc.tolist(), code.tolist(), strict=True):
+            own = bisect_right(cuts, key)
+            out.append([2 * own, 2 * before[own] + 1] if key == heads[own] else [2 * own])
         return pd.Series(out, dtype=object)
 
-    dealt = rows.withColumn("place", F.explode(places("doc_id"))).withColumn("bucket", F.shiftright("place", 1))
-    ordered = dealt.repartition(parts, "bucket").sortWithinPartitions("place", F.col("doc_id").asc_nulls_first(), "text")
-    return ordered.select("place", "doc_id", "text").mapInArrow(
+    dealt = rows.withColumn("place", F.explode(places("known", "doc_id", "hash"))).withColumn("bucket", F.shiftright("place", 1))
+    ordered = dealt.repartitionById(parts, "bucket").sortWithinPartitions("place", "known", "doc_id", "hash")
+    given = F.when(F.col("known") == 1, F.col("doc_id")).alias("doc_id")
+    return ordered.select("bucket", F.col("place").bitwiseAND(1).alias("head"), given, "text").mapInArrow(
         _follow, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
