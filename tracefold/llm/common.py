@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,14 +19,21 @@ BATCH_ROWS = 400
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder URI under ``spark.checkpoint.dir``; where that is unset (tests), a temporary one."""
+    """A fresh folder URI under ``spark.checkpoint.dir``; where that is unset (tests), a temporary one, in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tracefold-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not (spark.sparkContext.master or "").startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = _test_dir()
     return f"{base.rstrip('/')}/tracefold/{name}-{uuid.uuid4().hex}"
 
 
+@lru_cache(1)
+def _test_dir() -> str:
+    """Only for a single local process, as in tests."""
+    return "file://" + tempfile.mkdtemp(prefix="tracefold-")
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends at files that outlive executors."""
     path = shared_dir(df.sparkSession, name)
@@ -33,6 +41,35 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables of one operator, each written to the shared folder and deleted when it isn't needed any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.paths = spark, name, {}
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written and read again; a former table of this name goes once the new one is there."""
+        path = shared_dir(self.spark, f"{self.name}-{name}")
+        df.write.parquet(path)
+        old, self.paths[name] = self.paths.get(name), path
+        if old:
+            drop_path(self.spark, old)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self.paths:
+                drop_path(self.spark, self.paths.pop(name))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop_path(spark: SparkSession, uri: str) -> None:
     """Delete a finished intermediate folder through Hadoop's file system API."""
     jvm = spark.sparkContext._jvm

@@ -12,13 +12,18 @@ their own size band and, where partners may be larger, the next. Spare segments
 are probed too: then a partner must be met in segments with sum of v(i) - H at least, and a set whose
 shared signatures altogether don't come to that has no partner there and stops probing.
 
-Candidates are all pairs of a probing and an indexed set that share signatures with sum of v(i) - H at least.
-Every one is verified on whole sets of 64-bit hashes, so that each document's links can be counted; their
-number grows with the square of a group of near copies. Equal sets are one node throughout, with its copies.
+Candidates are met by blocks. A set's block is its most shared signature that at most BLOCK_SETS sets (of
+BLOCK_SHINGLES shingles together) have, or a salted part of its rarest one if all are more shared; so a
+group of near copies is a few blocks. Two blocks meet if a set of the one probes a signature that a set of
+the other has indexed, with sizes that can link, and if what they share comes to sum of v(i) - H for any
+of the probing sets. For each such pair of blocks, all pairs of their sets are verified on whole sets of
+64-bit hashes, through a product of incidence matrices; out come each set's number of links and a
+spanning forest, never the pairs. Equal sets are one node throughout, with its copies.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; a text of fewer than
-five words is one shingle; repeated rows and equal doc_ids are rows each; an empty table gives no rows;
-other columns are ignored.
+five words is one shingle; repeated rows and equal doc_ids are rows each; a null doc_id is a row with
+links like any other, and the component_id of a group is its smallest known doc_id (null if none is
+known); very long texts are compared whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +34,10 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import materialise, small_batches, text_or_empty
+from tracefold.llm.common import Scratch, small_batches, text_or_empty, unused
 from tracefold.llm.shingles import distinct, mix, shingles, word_hashes
 
 WIDTH = 5
@@ -44,8 +49,8 @@ DELETED = 16
 #: Entries a map task holds before it writes them out; bits of a packed entry for its document and flags.
 HOLD, DOC_BITS = 3_000_000, 20
 INDEX, PROBE, DOUBLE, NEXT = 1, 2, 4, 8
-#: Sets whose documents are found by a broadcast of their ids; more are joined by shuffling.
-FEW_SETS = 300_000
+#: Sets and shingles of a block; pairs of sets that are merged by sorting rather than by a matrix; columns of a matrix at once.
+BLOCK_SETS, BLOCK_SHINGLES, FEW_PAIRS, COLUMNS = 384, 1 << 20, 6, 2048
 #: A shingle counts as common in this share of documents; so many of the commonest are sent to all tasks.
 COMMON_SHARE, COMMON_LEAST, COMMON_MOST = 1 / 2000, 16, 200_000
 
@@ -180,10 +185,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen.append(np.unique(s, return_counts=True))
         if sum(len(x[0]) for x in seen) > HOLD:
             seen = [_heavy(seen, max(2, docs // 4000))]
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(texts), np.int64)), batch.column("doc_id"), pa.array(sizes), pa.array(nodes.view(np.int64))], ["kind", "doc_id", "n", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(texts), np.int64)), batch.column("lost"), batch.column("key"), pa.array(sizes), pa.array(nodes.view(np.int64))], ["kind", "lost", "key", "n", "node"])
     if seen:
         s, c = _heavy(seen, max(4, docs // 1000))
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(s), np.int64)), pa.nulls(len(s), pa.int64()), pa.array(c.astype(np.int64)), pa.array(s.view(np.int64))], ["kind", "doc_id", "n", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(s), np.int64)), pa.nulls(len(s), pa.bool_()), pa.nulls(len(s), pa.int64()), pa.array(c.astype(np.int64)), pa.array(s.view(np.int64))], ["kind", "lost", "key", "n", "node"])
 
 
 def _heavy(seen: list, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -250,16 +255,26 @@ def _emit(common_sent, buckets: int):
     return work
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket's entries, those whose signature another set has too, where one side probes and the other is indexed."""
-    parts: dict[int, list] = {}
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
+    """Rows come bucket by bucket; only one bucket is held."""
+    own, rows = None, []
     for batch in batches:
         for b, e, t in zip(*(batch.column(c).to_pylist() for c in ("bucket", "entries", "nodes")), strict=True):
-            parts.setdefault(b, []).append((e, t))
+            if b != own and rows:
+                yield own, rows
+                rows = []
+            own = b
+            rows.append((e, t))
+    if rows:
+        yield own, rows
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each bucket's entries, those whose signature another set has too, where one side probes and the other is indexed."""
     low, shift = np.uint64((1 << DOC_BITS) - 1), np.uint64(DOC_BITS)
-    for b in sorted(parts):
+    for b, rows in _buckets(batches):
         keys, flags, node, size, must = [], [], [], [], []
-        for e, t in parts.pop(b):
+        for e, t in rows:
             e, t = np.frombuffer(e, np.uint64), np.frombuffer(t, np.uint64).reshape(3, -1)
             at = (e & low).astype(np.int64)
             keys.append(e & ~np.uint64(0xFFFFFF))
@@ -307,7 +322,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = [pa.array(s[cuts[k] : cuts[k + 1]].view(np.int64)) for k in rows]
         offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])])
         flat = pa.concat_arrays(values) if values else pa.array([], pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)[rows]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], ["node", "shingles"])
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("node").take(at), batch.column("block").take(at), batch.column("copies").take(at), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], ["node", "block", "copies", "shingles"])
 
 
 def able_entries(shared: DataFrame) -> DataFrame:
@@ -317,25 +333,178 @@ def able_entries(shared: DataFrame) -> DataFrame:
     able = met.where("met >= must").select("node", "step", F.lit(True).alias("able"))
     rows = shared.withColumn("step", F.col("flags").bitwiseAND(NEXT)).join(able, ["node", "step"], "left")
     flags = F.when(F.col("able"), F.col("flags")).otherwise(F.col("flags").bitwiseAND(INDEX))
-    rows = materialise(rows.select("sig", "node", "n", flags.alias("flags"), "must").where("flags > 0"), "able")
-    live = rows.groupBy("sig").agg(F.bit_or("flags").alias("any"), F.count(F.lit(1)).alias("sets")).where((F.col("any").bitwiseAND(PROBE) > 0) & (F.col("sets") > 1))
-    return materialise(rows.join(live.select("sig"), "sig", "left_semi"), "live")
+    return rows.select("sig", "node", "n", flags.alias("flags"), "must").where("flags > 0")
 
 
-def candidates(entries: DataFrame) -> DataFrame:
-    """Pairs (a, b), once each, of which the smaller set probes and meets the other in as much as linked sets do."""
-    bit = lambda flag: F.col("flags").bitwiseAND(flag)
-    probing = entries.where(bit(PROBE) > 0).select("sig", F.col("node").alias("x"), F.col("n").alias("x_n"), bit(NEXT).alias("step"), F.when(bit(DOUBLE) > 0, 2).otherwise(1).alias("v"), "must")
-    indexed = entries.where(bit(INDEX) > 0).select("sig", F.col("node").alias("y"), F.col("n").alias("y_n"))
-    met = probing.join(indexed, "sig").where(f"x <> y AND x_n <= y_n AND {NUM} * y_n <= {DEN} * x_n")
-    enough = met.groupBy("x", "y", "step").agg(F.sum("v").alias("met"), F.max("must").alias("must")).where("met >= must")
-    return materialise(enough.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+def block_of(groups: DataFrame) -> DataFrame:
+    """(node, block) from entries with their group's ``sets`` and ``total`` shingles."""
+    group = F.struct("sets", "total", "sig")
+    fits = (F.col("sets") <= BLOCK_SETS) & (F.col("total") <= BLOCK_SHINGLES)
+    best = groups.groupBy("node").agg(F.max(F.when(fits, group)).alias("most"), F.min(group).alias("rarest"))
+    parts = F.ceil(F.greatest(F.col("rarest.sets") / BLOCK_SETS, F.col("rarest.total") / BLOCK_SHINGLES)).cast("long")
+    salt = F.when(F.col("most").isNull(), F.pmod(F.xxhash64("node"), parts)).otherwise(F.lit(0).cast("long"))
+    return best.select("node", F.xxhash64(F.coalesce("most.sig", "rarest.sig"), salt).alias("block"))
 
 
-def linked_components(links: DataFrame) -> DataFrame:
+def block_pairs(entries: DataFrame) -> DataFrame:
+    """Pairs (a, b) of blocks, once each, that can hold linked sets."""
+    bit = lambda flag: F.col("flags").bitwiseAND(flag)
+    held = entries.groupBy("sig", "block").agg(
+        F.count(F.lit(1)).alias("members"),
+        F.min(F.when(bit(INDEX) > 0, F.col("n"))).alias("y_least"), F.max(F.when(bit(INDEX) > 0, F.col("n"))).alias("y_most"),
+        *(f(F.when((bit(PROBE) > 0) & (bit(NEXT) == NEXT * step), c)).alias(f"{name}_{step}") for step in (0, 1)
+          for name, f, c in (("x_least", F.min, F.col("n")), ("x_most", F.max, F.col("n")), ("must", F.min, F.col("must")), ("v", F.max, F.when(bit(DOUBLE) > 0, 2).otherwise(1)))),
+    )
+    one = F.explode(F.array(*(F.struct(F.lit(step).alias("step"), *(F.col(f"{c}_{step}").alias(c) for c in ("x_least", "x_most", "must", "v"))) for step in (0, 1))))
+    probing = held.select("sig", F.col("block").alias("x"), one.alias("p")).where("p.v IS NOT NULL").select("sig", "x", "p.*")
+    indexed = held.where("y_least IS NOT NULL").select("sig", F.col("block").alias("y"), "members", "y_least", "y_most")
+    met = probing.join(indexed, "sig").where(f"(x <> y OR members > 1) AND x_least <= y_most AND {NUM} * y_least <= {DEN} * x_most")
+    enough = met.groupBy("x", "y", "step").agg(F.sum("v").alias("met"), F.min("must").alias("must")).where("met >= must")
+    return enough.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _together(s: np.ndarray, owner: np.ndarray, n_left: int, n_right: int, same: bool) -> np.ndarray:
+    """Sizes of all intersections of left with right sets; owners are numbered left first, then right (none if ``same``)."""
+    order = np.argsort(s, kind="stable")
+    s, owner = s[order], owner[order]
+    starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    times = np.diff(np.concatenate([starts, [len(s)]]))
+    starts, times = starts[times > 1], times[times > 1]
+    out = np.zeros((n_left, n_left if same else n_right))
+    if not len(starts):
+        return out
+    # shingles that the same sets have are one column, weighed by their number
+    lanes = mix(np.arange(1, n_left + n_right + 1, dtype=np.uint64) * _SET)
+    run = np.concatenate([[np.uint64(0)], np.cumsum(lanes[owner])])
+    _, first, weight = np.unique(run[starts + times] - run[starts], return_index=True, return_counts=True)
+    starts, times = starts[first], times[first]
+    for low in range(0, len(starts), COLUMNS):
+        at, many = starts[low : low + COLUMNS], times[low : low + COLUMNS]
+        column = np.repeat(np.arange(len(at)), many)
+        row = owner[np.repeat(at - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())]
+        held = np.zeros((n_left + n_right, len(at)))
+        held[row, column] = 1
+        right = held[:n_left] if same else held[n_left:]
+        out += (held[:n_left] * weight[low : low + COLUMNS]) @ right.T
+    return out
+
+
+def _linked(n: np.ndarray, m: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes n and m that have ``both`` shingles in common are similar enough."""
+    return DEN * both >= NUM * (n + m - both)
+
+
+def _forest(link: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a symmetric matrix."""
+    left, out = np.ones(len(link), bool), []
+    for start in range(len(link)):
+        if not left[start]:
+            continue
+        left[start] = False
+        queue = [start]
+        while queue:
+            at = queue.pop()
+            fresh = np.flatnonzero(link[at] & left)
+            left[fresh] = False
+            out += [(at, k) for k in fresh.tolist()]
+            queue += fresh.tolist()
+    return out
+
+
+class _Found:
+    """Links found in a task: numbers for each node, and edges that join what they join."""
+
+    def __init__(self):
+        self.few: list = []
+        self.held = 0
+        self.rows: list[list] = [[], [], []]
+
+    def put(self, node, other, links):
+        for own, x in zip(self.rows, (node, other, links), strict=True):
+            own.append(x)
+
+    def pair(self, left: list, right: list, same: bool) -> None:
+        """left, right: (node, copies, shingles) of both blocks, ``right`` empty if they are one."""
+        couples = [(x, y) for k, x in enumerate(left) for y in (left[k + 1 :] if same else right)] if len(left) * max(len(left) if same else len(right), 1) <= 2 * FEW_PAIRS else None
+        if couples is not None and len(couples) <= FEW_PAIRS:
+            for x, y in couples:
+                a, b = sorted((len(x[2]), len(y[2])))
+                if NUM * b <= DEN * a:
+                    self.few.append((x, y))
+                    self.held += a + b
+            if self.held > 1 << 20:
+                self.merge()
+            return
+        sets = [x[2] for x in (*left, *right)]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        nodes, copies = (np.array([x[k] for x in (*left, *right)], np.int64) for k in (0, 1))
+        m = len(left)
+        both = _together(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), m, len(right), same)
+        link = _linked(sizes[:m, None], (sizes[:m] if same else sizes[m:])[None, :], both)
+        if same:
+            np.fill_diagonal(link, False)
+            whole, counts = link, link @ copies
+        else:
+            whole = np.zeros((len(sets), len(sets)), bool)
+            whole[:m, m:], whole[m:, :m] = link, link.T
+            counts = whole @ copies
+        some = np.flatnonzero(counts)
+        self.put(nodes[some], np.full(len(some), -1), counts[some])
+        edges = np.array(_forest(whole), np.int64).reshape(-1, 2)
+        self.put(nodes[edges[:, 0]], nodes[edges[:, 1]], np.zeros(len(edges), np.int64))
+
+    def merge(self) -> None:
+        """All pairs kept so far at once: shingles of both sets sorted, equal neighbours counted."""
+        if not self.few:
+            return
+        n, m = (np.array([len(p[k][2]) for p in self.few], np.int64) for k in (0, 1))
+        s = np.concatenate([x for p in self.few for x in (p[0][2], p[1][2])])
+        of = np.repeat(np.arange(len(self.few)), n + m)
+        order = np.lexsort((s, of))
+        s, of = s[order], of[order]
+        both = np.bincount(of[1:][(s[1:] == s[:-1]) & (of[1:] == of[:-1])], minlength=len(self.few))
+        for k in np.flatnonzero(_linked(n, m, both)).tolist():
+            (x, x_copies, _), (y, y_copies, _) = self.few[k]
+            self.put([x, y, x], [-1, -1, y], [y_copies, x_copies, 0])
+        self.few, self.held = [], 0
+
+    def batch(self) -> pa.RecordBatch:
+        node, other, links = (np.concatenate([np.asarray(x, np.int64) for x in own]) if own else np.zeros(0, np.int64) for own in self.rows)
+        self.rows = [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(other, mask=links > 0), pa.array(links)], ["node", "other", "links"])
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by pair of blocks (a, b), left block first. Out come rows (node, links) and edges (node, other, 0)."""
+    found, own, sides = _Found(), None, ([], [])
+    for batch in batches:
+        a, b, side, node, copies = (batch.column(c).to_pylist() for c in ("a", "b", "side", "node", "copies"))
+        lists = batch.column("shingles")
+        flat, cuts = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        for k in range(len(a)):
+            if (a[k], b[k]) != own:
+                if own:
+                    found.pair(*sides, own[0] == own[1])
+                own, sides = (a[k], b[k]), ([], [])
+            sides[side[k]].append((node[k], copies[k], flat[cuts[k] : cuts[k + 1]]))
+        if len(found.rows[0]) > 256:
+            yield found.batch()
+    if own:
+        found.pair(*sides, own[0] == own[1])
+    found.merge()
+    yield found.batch()
+
+
+def compared(pairs: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """Numbers of links and a forest of edges, of all pairs of blocks."""
+    ends = pairs.select("a", "b", F.col("a").alias("block"), F.lit(0).alias("side")).unionByName(pairs.where("a <> b").select("a", "b", F.col("b").alias("block"), F.lit(1).alias("side")))
+    met = ends.join(sets, "block").select("a", "b", "side", "node", "copies", "shingles")
+    return met.repartition(parts, "a", "b").sortWithinPartitions("a", "b", "side").mapInArrow(_compare, "node long, other long, links long")
+
+
+def linked_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b): alternating large-star and small-star until nothing changes."""
-    spark = links.sparkSession
-    edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    edges = scratch.table(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -343,61 +512,69 @@ def linked_components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = materialise(small, "edges")
+        edges = scratch.table(small, "edges")
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if tuple(now) == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         mark = tuple(now)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose whole sets are similar enough."""
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    two = one.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return two.where(DEN * both >= NUM * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """(lost, key, text): the doc_id, or for a null one a hash of its text."""
+    given = F.col("doc_id").cast("long")
+    return docs.select(given.isNull().alias("lost"), F.coalesce(given, F.xxhash64(text_or_empty())).alias("key"), text_or_empty().alias("text"))
 
-def jaccard_components(docs: DataFrame, with_nodes: bool = False) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable over links), n_links.
 
-    n_links counts all other documents that are similar enough, each copy of a text by itself.
-    ``with_nodes`` adds the node of its text and the root node of its component.
-    """
+def component_rows(docs: DataFrame) -> DataFrame:
+    """Per document: lost, key, n, node, root, copies, lowest (the component's smallest known doc_id) and others (linked documents)."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark, 200)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    scanned = materialise(rows.mapInArrow(_scan, "kind long, doc_id long, n long, node long"), "scan")
-    table = scanned.where("kind = 0").select("doc_id", "n", "node")
+    scratch, parts = Scratch(spark, "jaccard"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = keyed_texts(docs)
+    scanned = scratch.table(rows.mapInArrow(_scan, "kind long, lost boolean, key long, n long, node long"), "scan")
+    table = scanned.where("kind = 0").select("lost", "key", "n", "node")
     n_docs = table.count()
     heavy = scanned.where("kind = 1").groupBy("node").agg(F.sum("n").alias("c")).where(F.col("c") >= max(COMMON_LEAST, n_docs * COMMON_SHARE))
     common = np.array([r.node for r in heavy.orderBy(F.desc("c")).limit(COMMON_MOST).select("node").collect()], np.int64).view(np.uint64)
     sent = spark.sparkContext.broadcast(np.sort(common))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("text").mapInArrow(_emit(sent, buckets), "bucket long, entries binary, nodes binary").repartition(buckets, "bucket")
-    shared = materialise(dealt.mapInArrow(_shared, "sig long, node long, n long, flags long, must long"), "shared")
-    shared = able_entries(shared)
-    names = table.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    links, comp = None, None
-    if not shared.isEmpty():
-        wanted = materialise(names.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("least").alias("doc_id")), "wanted")
-        few = F.broadcast(wanted) if wanted.count() <= FEW_SETS else wanted
-        sets = materialise(rows.join(few, "doc_id").select("text", "node").mapInArrow(_sets, "node long, shingles array<long>"), "sets")
-        links = materialise(verified(candidates(shared), sets), "links")
-        if not links.isEmpty():
-            comp = materialise(linked_components(links), "components")
-    if comp is not None:
-        lowest = comp.join(names, "node").groupBy("root").agg(F.min("least").alias("lowest"))
-        ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        degree = ends.join(names.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
-        of = comp.join(lowest, "root").join(degree, "node", "left").select("node", "root", "lowest", "others")
-        own = names.join(of, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("lowest", "least").alias("component_id"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    else:
-        own = names.select("node", F.col("node").alias("root"), F.col("least").alias("component_id"), (F.col("copies") - 1).alias("n_links"))
-    full = table.where("n > 0").join(own, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links", "node", "root")
-    empty = table.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), "node", F.col("node").alias("root"))
-    both = full.unionByName(empty)
-    return both if with_nodes else both.drop("node", "root")
+    dealt = rows.select("text").mapInArrow(_emit(sent, parts), "bucket long, entries binary, nodes binary").repartitionById(parts, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
+    shared = scratch.table(dealt.mapInArrow(_shared, "sig long, node long, n long, flags long, must long"), "shared")
+    able = scratch.table(able_entries(shared), "able")
+    scratch.drop("shared")
+    of_node = F.struct("lost", "key")
+    names = table.where("n > 0").groupBy("node").agg(F.min(F.when(~F.col("lost"), F.col("key"))).alias("least"), F.min(of_node).alias("at"), F.count(F.lit(1)).alias("copies"))
+    groups = able.groupBy("sig").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total"), F.bit_or("flags").alias("any")).where((F.col("any").bitwiseAND(PROBE) > 0) & (F.col("sets") > 1))
+    live = able.join(groups.drop("any"), "sig")
+    blocks = scratch.table(block_of(live).join(names.select("node", "at", "copies"), "node"), "blocks")
+    entries = able.join(groups.select("sig"), "sig", "left_semi").join(blocks.select("node", "block"), "node")
+    pairs = scratch.table(block_pairs(entries), "pairs")
+    scratch.drop("able")
+    if pairs.isEmpty():
+        return table.join(names.select("node", "copies", F.col("least").alias("lowest")), "node", "left").select("lost", "key", "n", "node", F.col("node").alias("root"), "copies", "lowest", F.lit(0).cast("long").alias("others"))
+    met = pairs.select(F.col("a").alias("block")).unionByName(pairs.select(F.col("b").alias("block"))).distinct()
+    wanted = blocks.join(met, "block", "left_semi").select("node", "block", "copies", "at.lost", "at.key")
+    sets = scratch.table(rows.join(wanted, ["lost", "key"]).select("text", "node", "block", "copies").mapInArrow(_sets, "node long, block long, copies long, shingles array<long>"), "sets")
+    links = scratch.table(compared(pairs, sets, parts), "links")
+    scratch.drop("sets", "pairs", "blocks")
+    others = links.where("other IS NULL").groupBy("node").agg(F.sum("links").alias("others"))
+    comp = linked_components(links.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")), scratch)
+    rooted = scratch.table(names.join(comp, "node", "left").join(others, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least", "copies", F.coalesce("others", F.lit(0)).alias("others")), "rooted")
+    scratch.drop("links", "edges")
+    lowest = rooted.groupBy("root").agg(F.min("least").alias("lowest"))
+    return table.join(rooted.join(lowest, "root").drop("least"), "node", "left").select("lost", "key", "n", "node", F.coalesce("root", "node").alias("root"), "copies", "lowest", "others")
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable over links), n_links.
+
+    n_links counts all other documents that are similar enough, each copy of a text by itself.
+    """
+    given = F.when(~F.col("lost"), F.col("key"))
+    wordy = F.col("n") > 0
+    return component_rows(docs).select(
+        given.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(wordy, F.col("lowest")).otherwise(given).alias("component_id"),
+        F.when(wordy, F.col("others") + F.col("copies") - 1).otherwise(F.lit(0)).cast("long").alias("n_links"),
+    )
 
 
 def _node_of(text: str) -> Column:
@@ -409,15 +586,20 @@ def _node_of(text: str) -> Column:
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id; different
-    texts under one doc_id are apart unless linked. Texts without words link with
-    nothing and all stay; a null doc_id is stood in for by a hash of the text."""
-    key = F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.xxhash64("text") % F.lit(1 << 62)) - 1)
-    keyed = docs.withColumn("__key", key)
-    parts = jaccard_components(keyed.select(F.col("__key").alias("doc_id"), "text"), True)
-    least = parts.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("c"))
-    chosen = least.select(F.col("c.doc_id").alias("__key"), F.col("c.node").alias("__node"))
+    """``docs`` with one row of each component: that of the smallest doc_id (null last), then of the least
+    text; different texts under one doc_id are apart unless linked. Texts without words link with nothing
+    and all stay."""
+    lost, key, node, only = (unused(docs, name) for name in ("lost", "key", "node", "only"))
+    parts = component_rows(docs).where("n > 0")
+    least = parts.groupBy("root").agg(F.min(F.struct("lost", "key", "node")).alias("c")).select("c.*")
+    rows_of = parts.groupBy("lost", "key").agg((F.count(F.lit(1)) == 1).alias("only"))
+    chosen = least.join(rows_of, ["lost", "key"]).select(F.col("lost").alias(lost), F.col("key").alias(key), F.col("node").alias(node), F.col("only").alias(only))
+    chosen = Scratch(docs.sparkSession, "jaccard").table(chosen, "chosen")
+    given = F.col("doc_id").cast("long")
+    keyed = docs.withColumn(lost, given.isNull()).withColumn(key, F.coalesce(given, F.xxhash64(text_or_empty())))
     wordy = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    same = Window.partitionBy("__key", "__node").orderBy("text")
-    rows = keyed.where(wordy).withColumn("__node", _node_of("text")).join(chosen, ["__key", "__node"], "left_semi").withColumn("__row", F.row_number().over(same)).where("__row = 1")
-    return rows.select(*docs.columns).unionByName(docs.where(~wordy))
+    alone = keyed.where(wordy).join(chosen.where(F.col(only)).select(lost, key), [lost, key], "left_semi").select(*docs.columns)
+    # several rows of one doc_id: the one with the chosen set, and one of equal ones
+    several = keyed.where(wordy).join(chosen.where(~F.col(only)).select(lost, key, F.col(node).alias(node + "_")), [lost, key]).where(_node_of("text") == F.col(node + "_"))
+    one = several.groupBy(lost, key, node + "_").agg(F.min_by(F.struct(*docs.columns), F.struct("text", F.to_json(F.struct(*docs.columns)))).alias(node)).select(f"{node}.*")
+    return alone.unionByName(one).unionByName(docs.where(~wordy))
