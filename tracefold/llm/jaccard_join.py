@@ -13,8 +13,8 @@ are probed too: then a partner must be met in segments with sum of v(i) - H at l
 shared signatures altogether don't come to that has no partner there and stops probing.
 
 Candidates are met by blocks. A set's block is its most shared signature that at most BLOCK_SETS sets (of
-BLOCK_SHINGLES shingles together) have, or a salted part of its rarest one if all are more shared; so a
-group of near copies is a few blocks. Two blocks meet if a set of the one probes a signature that a set of
+BLOCK_SHINGLES shingles together) have, or, if most of its signatures are more shared than that, a salted
+part of the most shared one; so a group of near copies is a few blocks. Two blocks meet if a set of the one probes a signature that a set of
 the other has indexed, with sizes that can link, and if what they share comes to sum of v(i) - H for any
 of the probing sets. For each such pair of blocks, all pairs of their sets are verified on whole sets of
 64-bit hashes, through a product of incidence matrices; out come each set's number of links and a
@@ -337,13 +337,14 @@ def able_entries(shared: DataFrame) -> DataFrame:
 
 
 def block_of(groups: DataFrame) -> DataFrame:
-    """(node, block) from entries with their group's ``sets`` and ``total`` shingles."""
+    """(node, block) from entries with their group's ``sets`` and ``total`` shingles. Sets most of whose groups
+    are larger than a block are near copies of many: their blocks are parts of their largest group."""
     group = F.struct("sets", "total", "sig")
     fits = (F.col("sets") <= BLOCK_SETS) & (F.col("total") <= BLOCK_SHINGLES)
-    best = groups.groupBy("node").agg(F.max(F.when(fits, group)).alias("most"), F.min(group).alias("rarest"))
-    parts = F.ceil(F.greatest(F.col("rarest.sets") / BLOCK_SETS, F.col("rarest.total") / BLOCK_SHINGLES)).cast("long")
-    salt = F.when(F.col("most").isNull(), F.pmod(F.xxhash64("node"), parts)).otherwise(F.lit(0).cast("long"))
-    return best.select("node", F.xxhash64(F.coalesce("most.sig", "rarest.sig"), salt).alias("block"))
+    best = groups.groupBy("node").agg(F.max(F.when(fits, group)).alias("fit"), F.max(group).alias("largest"), F.count_if(fits).alias("small"), F.count(F.lit(1)).alias("all"))
+    parts = F.ceil(F.greatest(F.col("largest.sets") / BLOCK_SETS, F.col("largest.total") / BLOCK_SHINGLES)).cast("long")
+    part = F.xxhash64("largest.sig", F.pmod(F.xxhash64(F.coalesce("fit.sig", "node")), parts))
+    return best.select("node", F.when(2 * F.col("small") > F.col("all"), F.xxhash64("fit.sig", F.lit(-1).cast("long"))).otherwise(part).alias("block"))
 
 
 def block_pairs(entries: DataFrame) -> DataFrame:
