@@ -13,8 +13,9 @@ are probed too: then a partner must be met in segments with sum of v(i) - H at l
 shared signatures altogether don't come to that has no partner there and stops probing.
 
 Candidates are met by blocks. A set's block is its most shared signature that at most BLOCK_SETS sets (of
-BLOCK_SHINGLES shingles together) have, or, if most of its signatures are more shared than that, a salted
-part of the most shared one; so a group of near copies is a few blocks. Two blocks meet if a set of the one probes a signature that a set of
+BLOCK_SHINGLES shingles together) have, or, if one in DENSE of its signatures is more shared than that, a salted
+part of the most shared one; blocks that meet many others are merged up to that size, so a group of near
+copies is a few blocks. Two blocks meet if a set of the one probes a signature that a set of
 the other has indexed, with sizes that can link, and if what they share comes to sum of v(i) - H for any
 of the probing sets. For each such pair of blocks, all pairs of their sets are verified on whole sets of
 64-bit hashes, through a product of incidence matrices; out come each set's number of links and a
@@ -50,7 +51,10 @@ DELETED = 16
 HOLD, DOC_BITS = 3_000_000, 20
 INDEX, PROBE, DOUBLE, NEXT = 1, 2, 4, 8
 #: Sets and shingles of a block; pairs of sets that are merged by sorting rather than by a matrix; columns of a matrix at once.
-BLOCK_SETS, BLOCK_SHINGLES, FEW_PAIRS, COLUMNS = 384, 1 << 20, 6, 2048
+BLOCK_SETS, BLOCK_SHINGLES, FEW_PAIRS, COLUMNS = 512, 1 << 20, 6, 2048
+#: A set one of whose so many groups are larger than a block takes a part of the largest one as its block; blocks that
+#: meet so many others are merged with them to fewer.
+DENSE, MANY = 5, 8
 #: A shingle counts as common in this share of documents; so many of the commonest are sent to all tasks.
 COMMON_SHARE, COMMON_LEAST, COMMON_MOST = 1 / 2000, 16, 200_000
 
@@ -337,14 +341,14 @@ def able_entries(shared: DataFrame) -> DataFrame:
 
 
 def block_of(groups: DataFrame) -> DataFrame:
-    """(node, block) from entries with their group's ``sets`` and ``total`` shingles. Sets most of whose groups
-    are larger than a block are near copies of many: their blocks are parts of their largest group."""
+    """(node, block) from entries with their group's ``sets`` and ``total`` shingles. Sets of which one group in
+    DENSE at least is larger than a block are near copies of many: their blocks are parts of their largest group."""
     group = F.struct("sets", "total", "sig")
     fits = (F.col("sets") <= BLOCK_SETS) & (F.col("total") <= BLOCK_SHINGLES)
     best = groups.groupBy("node").agg(F.max(F.when(fits, group)).alias("fit"), F.max(group).alias("largest"), F.count_if(fits).alias("small"), F.count(F.lit(1)).alias("all"))
     parts = F.ceil(F.greatest(F.col("largest.sets") / BLOCK_SETS, F.col("largest.total") / BLOCK_SHINGLES)).cast("long")
     part = F.xxhash64("largest.sig", F.pmod(F.xxhash64(F.coalesce("fit.sig", "node")), parts))
-    return best.select("node", F.when(2 * F.col("small") > F.col("all"), F.xxhash64("fit.sig", F.lit(-1).cast("long"))).otherwise(part).alias("block"))
+    return best.select("node", F.when(DENSE * (F.col("all") - F.col("small")) < F.col("all"), F.xxhash64("fit.sig", F.lit(-1).cast("long"))).otherwise(part).alias("block"))
 
 
 def block_pairs(entries: DataFrame) -> DataFrame:
@@ -364,6 +368,19 @@ def block_pairs(entries: DataFrame) -> DataFrame:
     return enough.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def merged_blocks(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(block, into): blocks that meet at least MANY are dealt to parts, of the size of a block, of what gathers
+    around the most met block they meet; others stay."""
+    ends = pairs.select("a", "b").unionByName(pairs.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = ends.groupBy("a").agg(F.count(F.lit(1)).alias("met"))
+    hub = ends.join(degree.select(F.col("a").alias("b"), F.col("met").alias("d")), "b").groupBy("a").agg(F.max(F.struct("d", "b")).alias("hub"))
+    many = degree.where(F.col("met") >= MANY).join(hub, "a").select(F.col("a").alias("block"), F.col("hub.b").alias("hub"))
+    sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total"))
+    sized = many.join(sizes, "block")
+    parts = sized.groupBy("hub").agg(F.ceil(F.greatest(F.sum("sets") / BLOCK_SETS, F.sum("total") / BLOCK_SHINGLES)).cast("long").alias("parts"))
+    return sized.join(parts, "hub").select("block", F.xxhash64("hub", F.pmod(F.xxhash64("block"), F.col("parts")), F.lit(1)).alias("into"))
+
+
 def _together(s: np.ndarray, owner: np.ndarray, n_left: int, n_right: int, same: bool) -> np.ndarray:
     """Sizes of all intersections of left with right sets; owners are numbered left first, then right (none if ``same``)."""
     order = np.argsort(s, kind="stable")
@@ -543,23 +560,28 @@ def component_rows(docs: DataFrame) -> DataFrame:
     able = scratch.table(able_entries(shared), "able")
     scratch.drop("shared")
     of_node = F.struct("lost", "key")
-    names = table.where("n > 0").groupBy("node").agg(F.min(F.when(~F.col("lost"), F.col("key"))).alias("least"), F.min(of_node).alias("at"), F.count(F.lit(1)).alias("copies"))
+    names = table.where("n > 0").groupBy("node").agg(F.min(F.when(~F.col("lost"), F.col("key"))).alias("least"), F.min(of_node).alias("at"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     groups = able.groupBy("sig").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("total"), F.bit_or("flags").alias("any")).where((F.col("any").bitwiseAND(PROBE) > 0) & (F.col("sets") > 1))
     live = able.join(groups.drop("any"), "sig")
-    blocks = scratch.table(block_of(live).join(names.select("node", "at", "copies"), "node"), "blocks")
+    blocks = scratch.table(block_of(live).join(names.select("node", "at", "n", "copies"), "node"), "blocks")
     entries = able.join(groups.select("sig"), "sig", "left_semi").join(blocks.select("node", "block"), "node")
     pairs = scratch.table(block_pairs(entries), "pairs")
     scratch.drop("able")
+    into = scratch.table(merged_blocks(pairs, blocks), "into")
+    one = pairs.join(into.select(F.col("block").alias("a"), F.col("into").alias("x")), "a", "left").join(into.select(F.col("block").alias("b"), F.col("into").alias("y")), "b", "left")
+    one = one.select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
+    pairs = scratch.table(one.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+    blocks = blocks.join(into, "block", "left").withColumn("block", F.coalesce("into", "block")).drop("into")
     if pairs.isEmpty():
         return table.join(names.select("node", "copies", F.col("least").alias("lowest")), "node", "left").select("lost", "key", "n", "node", F.col("node").alias("root"), "copies", "lowest", F.lit(0).cast("long").alias("others"))
     met = pairs.select(F.col("a").alias("block")).unionByName(pairs.select(F.col("b").alias("block"))).distinct()
     wanted = blocks.join(met, "block", "left_semi").select("node", "block", "copies", "at.lost", "at.key")
     sets = scratch.table(rows.join(wanted, ["lost", "key"]).select("text", "node", "block", "copies").mapInArrow(_sets, "node long, block long, copies long, shingles array<long>"), "sets")
     links = scratch.table(compared(pairs, sets, parts), "links")
-    scratch.drop("sets", "pairs", "blocks")
+    scratch.drop("sets", "pairs", "blocks", "into")
     others = links.where("other IS NULL").groupBy("node").agg(F.sum("links").alias("others"))
     comp = linked_components(links.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")), scratch)
-    rooted = scratch.table(names.join(comp, "node", "left").join(others, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least", "copies", F.coalesce("others", F.lit(0)).alias("others")), "rooted")
+    rooted = scratch.table(names.drop("n").join(comp, "node", "left").join(others, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least", "copies", F.coalesce("others", F.lit(0)).alias("others")), "rooted")
     scratch.drop("links", "edges")
     lowest = rooted.groupBy("root").agg(F.min("least").alias("lowest"))
     return table.join(rooted.join(lowest, "root").drop("least"), "node", "left").select("lost", "key", "n", "node", F.coalesce("root", "node").alias("root"), "copies", "lowest", "others")
