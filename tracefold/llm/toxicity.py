@@ -1,44 +1,57 @@
-"""Toxicity (operator 4): subsequence string-kernel SVM with Nystroem landmarks.
+"""Toxicity (operator 4): subsequence string-kernel SVM with Nystroem landmarks, trained on labelled sentences.
 
-Two words are alike by their common subsequences of three characters within SPAN, each weighed by DECAY to the
+Two words are alike by all their common subsequences of three characters, each weighed by DECAY to the
 power of the stretch it spans in either word (normalised to 1 for equal words), so gaps and inserted characters
 cost some likeness but don't break it. A word with other characters between its letters is also looked at without
-them, and letters written apart ("a b c d") as the word they spell. Likenesses count from FLOOR up. The
-support vector machine is linear in the Nystroem features of these likenesses, K(word, landmarks) times
-K(landmarks, landmarks)^-1/2, and so comes down to one weight for each landmark. A sentence is decided
-by its highest word, and a document's score is the logistic calibration of its highest sentence.
-
-Labels mark documents. Words far more frequent in toxic than in clean documents become landmarks;
-from sentences of toxic documents those words are the positive examples, from sentences of clean
-documents the words most like landmarks are the negative ones. Training takes at most MAX_LABELLED documents of each
-label, in order of a hash.
+them, and letters written apart ("a b c d") as the word they spell; words longer than WINDOW are looked at by
+windows that overlap by half, all of them. Likenesses count from FLOOR up. A sentence's likeness to a landmark
+is that of its likest word. The support vector machine is linear in the Nystroem features of sentences,
+K(sentence, landmarks) times K(landmarks, landmarks)^-1/2, and so comes down to one weight for each landmark. A
+document's score is the logistic calibration of the decision of its highest sentence.
+
+Labels mark documents, so the sentences of toxic documents are bags: training begins with the sentence of
+each that is most like words of toxic documents, and goes on with the one that the machine itself places
+highest, until that doesn't change; all sentences of clean documents are negative. Landmarks are words far more
+frequent in toxic than in clean documents, and the words of clean documents that are most like them. Training
+takes, in order of a hash, at most MAX_LABELLED documents and MAX_CHARS characters of each label, in one task.
 
 Defined cases: null and empty texts have no sentence with a known word and get the score of such texts;
-without toxic and clean labelled documents every score is 0; repeated rows and labels count each; an
-empty table gives no rows; columns named as the results are replaced, others are kept.
+without toxic and clean labelled documents every score is 0; a document that labels call both toxic and
+clean is toxic, and of several texts under one doc_id training takes the least; repeated rows each get
+their score; very long texts are scored whole; an empty table gives no rows; columns named as the
+results are replaced, others are kept.
 """
 
 from __future__ import annotations
 
+import pickle
+import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.llm.common import small_batches
 
-#: At most so many labelled documents of each label are trained on, and so many words of either kind.
-MAX_LABELLED, MAX_WORDS = 2000, 3000
-DECAY, FLOOR, WINDOW, SPAN = 0.65, 0.35, 20, 7
-INSULTS, PLAIN, DIVERSE = 72, 6, 0.85
+#: At most so many labelled documents, and characters of them, of each label are trained on.
+MAX_LABELLED, MAX_CHARS = 2000, 12_000_000
+DECAY, FLOOR, WINDOW = 0.65, 0.35, 20
+#: Landmarks from words of toxic documents, and from the words of clean ones that are most like them.
+INSULTS, ALIKE, DIVERSE = 72, 12, 0.85
 LEAST_DOCS, LEAST_ODDS = 3, 3.0
+#: Times that the sentences of toxic documents are chosen anew, and words whose kernel is taken at once.
+ROUNDS, CHUNK = 4, 20_000
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|@+-_=/\\~`…«»¡¿„“”‚‘’"
 KEEP_WORDS = 700_000
+#: Sentences end at their marks and at line ends, but not after a single letter.
+SENTENCE = re.compile(r"(?<=\S\S[.!?…])\s+|[\r\n]+")
 
 
 def word_of(token: str) -> str:
@@ -47,8 +60,8 @@ def word_of(token: str) -> str:
 
 @lru_cache(64)
 def triples(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all three characters, in order, within SPAN of each other in a word of ``n``; their weights."""
-    at = np.array([t for t in combinations(range(n), 3) if t[2] - t[0] < SPAN], np.int32).reshape(-1, 3)
+    """Places of all three characters, in order, in a word of ``n``; their weights."""
+    at = np.array(list(combinations(range(n), 3)), np.int32).reshape(-1, 3)
     return at, (DECAY ** (at[:, 2] - at[:, 0] + 1)).astype(np.float32)
 
 
@@ -87,6 +100,8 @@ class Landmarks:
             for m, x in own.items():
                 self.weight[n + 1, m] = x
         self.norm = np.sqrt([self_kernel([w])[0] for w in words]).astype(np.float32) if words else np.zeros(0, np.float32)
+        #: The most that a subsequence adds to any landmark's likeness.
+        self.peak = (self.weight / self.norm).max(axis=1) if words else np.zeros(1, np.float32)
 
     def rows(self, words: list[str]) -> np.ndarray:
         """Normalised kernel [word, landmark], 0 below FLOOR. A long word takes the greatest over its windows."""
@@ -106,14 +121,17 @@ class Landmarks:
                 # characters of no landmark are 0, and no slot is set under a 0
                 codes = np.array([[get(c, 0) for c in w] for _, w in some], np.int32)
                 slot = self.slot[(codes[:, at[:, 0]] * self.base + codes[:, at[:, 1]]) * self.base + codes[:, at[:, 2]]]
+                # repeated subsequences only raise a word's own norm: most words can't reach FLOOR
+                least = FLOOR * np.sqrt((span**2).sum())
+                able = np.flatnonzero(self.peak[slot] @ span >= 0.999 * least)
+                slot = slot[able]
                 word, triple = np.nonzero(slot)
                 if not len(word):
                     continue
                 starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
                 raw = np.add.reduceat(self.weight[slot[word, triple]] * span[triple][:, None], starts, axis=0) / self.norm
-                # repeated subsequences only raise a word's own norm: most words can't reach FLOOR
-                able = raw.max(axis=1) >= FLOOR * np.sqrt((span**2).sum())
-                hit, raw = word[starts][able], raw[able]
+                reach = raw.max(axis=1) >= least
+                hit, raw = able[word[starts][reach]], raw[reach]
                 if not len(hit):
                     continue
                 raw /= np.sqrt(self_kernel([some[h][1] for h in hit])).astype(np.float32)[:, None]
@@ -153,7 +171,7 @@ def tokens_of(text: str) -> list[str]:
     out = text.lower().split()
     run: list[str] = []
     spelled: list[str] = []
-    if any(len(t) == 1 for t in out):
+    if 1 in map(len, out):
         for t in [*out, "."]:
             w = word_of(t) if len(t) < 4 else t
             if len(w) == 1:
@@ -165,42 +183,80 @@ def tokens_of(text: str) -> list[str]:
     return out + spelled if spelled else out
 
 
+class Sentences:
+    """Kernel rows of sentences. Each word's row is computed once, and kept if it has any likeness."""
+
+    def __init__(self, landmarks: list[str]):
+        self.marks = Landmarks(landmarks)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.kept: dict[str, int] = {}
+        self.store, self.used = np.zeros((1024, len(self.marks.words)), np.float32), 1
+
+    def _learn(self, fresh: list[str]) -> None:
+        for low in range(0, len(fresh), CHUNK):
+            part = fresh[low : low + CHUNK]
+            rows = kernel_rows(self.marks, part)
+            alike = rows.any(axis=1)
+            at = np.where(alike, self.used + np.cumsum(alike) - 1, 0)
+            end = self.used + int(alike.sum())
+            while end > len(self.store):
+                self.store = np.concatenate([self.store, np.zeros_like(self.store)])
+            self.store[self.used : end] = rows[alike]
+            self.used = end
+            self.kept.update(zip(part, at.tolist(), strict=True))
+
+    def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """[sentence, landmark] of the sentences with any likeness; the number of each one's text."""
+        if len(self.kept) > KEEP_WORDS:
+            self._forget()
+        tokens, ends, text = [], [], []
+        for k, t in enumerate(texts):
+            for sentence in SENTENCE.split(t):
+                if sentence:
+                    tokens += tokens_of(sentence)
+                    ends.append(len(tokens))
+                    text.append(k)
+        self._learn(list(set(tokens).difference(self.kept)))
+        at = np.fromiter(map(self.kept.__getitem__, tokens), np.int64, len(tokens))
+        hit = np.flatnonzero(at)
+        if not len(hit):
+            return np.zeros((0, len(self.marks.words)), np.float32), np.zeros(0, np.int64)
+        sentence = np.searchsorted(np.array(ends), hit, side="right")
+        starts = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]]))
+        return np.maximum.reduceat(self.store[at[hit]], starts, axis=0), np.array(text)[sentence[starts]]
+
+
 class Scorer:
-    """Scores whole texts; each word is decided once for each worker."""
+    """Scores whole texts."""
 
     def __init__(self, model: ToxicityModel):
         self.model = model
-        self.marks = Landmarks(model.landmarks)
-        self.kept: dict[str, float] = {}
+        self.sentences = Sentences(model.landmarks)
 
-    def decisions(self, split: list[list[str]]) -> np.ndarray:
-        """The highest decision of any word, for each text."""
-        if len(self.kept) > KEEP_WORDS:
-            self.kept.clear()
-        kept = self.kept
-        fresh = list({t for tokens in split for t in tokens if t not in kept})
-        if fresh:
-            kept.update(zip(fresh, (kernel_rows(self.marks, fresh) @ self.model.alpha + self.model.bias).tolist(), strict=True))
-        return np.array([max(map(kept.__getitem__, tokens), default=self.model.bias) for tokens in split])
+    def decisions(self, texts: list[str]) -> np.ndarray:
+        """The highest decision of any sentence, for each text."""
+        rows, of = self.sentences.rows(texts)
+        out = np.full(len(texts), self.model.bias)
+        np.maximum.at(out, of, rows @ self.model.alpha + self.model.bias)
+        return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if not self.model.trained:
             return np.zeros(len(texts))
-        x = self.decisions([tokens_of(t) for t in texts])
-        return 1 / (1 + np.exp(-(self.model.slope * x + self.model.offset)))
+        return 1 / (1 + np.exp(-(self.model.slope * self.decisions(texts) + self.model.offset)))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, steps: int = 2000) -> tuple[np.ndarray, float]:
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, start: np.ndarray | None = None, ridge: float = 1e-4, steps: int = 400) -> np.ndarray:
     """Linear SVM with squared hinge loss, by gradient steps with momentum; the last feature is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, last = np.zeros(x.shape[1]), np.zeros(x.shape[1])
-    rate = 1 / (2 * np.linalg.norm(x * np.sqrt(weight)[:, None], 2) ** 2 + ridge)
+    w = last = np.zeros(x.shape[1]) if start is None else start
+    rate = 1 / (2 * np.linalg.norm((x * weight[:, None]).T @ x, 2) + ridge)
     for k in range(steps):
         look = w + (k / (k + 3)) * (w - last)
         gap = np.maximum(0, 1 - y * (x @ look))
-        slope = -2 * x.T @ (weight * y * gap) + ridge * look
-        last, w = w, look - rate * slope
-    return w[:-1], w[-1]
+        last, w = w, look - rate * (ridge * look - 2 * x.T @ (weight * y * gap))
+    return w
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -215,63 +271,108 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def train(texts: list[str], toxic: list[int]) -> ToxicityModel:
-    """Fit on whole labelled texts."""
-    y = np.array(toxic)
-    none = ToxicityModel([], np.zeros(0, np.float32), 0.0, 1.0, 0.0)
-    if not (y == 1).any() or not (y == 0).any():
-        return none
-    split = [tokens_of(t) for t in texts]
+def landmarks_of(texts: list[str], toxic: list[int]) -> tuple[list[str], int]:
+    """Words far more frequent in toxic documents, by evidence, then clean words most like them; how many are of the first kind."""
     pos, neg = Counter(), Counter()
-    for tokens, label in zip(split, toxic, strict=True):
-        (pos if label else neg).update({w for t in set(tokens) if 3 <= len(w := word_of(t)) <= WINDOW})
-    n_pos, n_neg = int((y == 1).sum()), int((y == 0).sum())
+    for text, label in zip(texts, toxic, strict=True):
+        (pos if label else neg).update({w for t in set(tokens_of(text)) if 3 <= len(w := word_of(t)) <= WINDOW})
+    n_pos, n_neg = sum(toxic), len(toxic) - sum(toxic)
     odds = {w: np.log((a + 0.5) / (n_pos + 1)) - np.log((neg[w] + 0.5) / (n_neg + 1)) for w, a in pos.items() if a >= LEAST_DOCS}
-    # by evidence: documents times log odds; words of copied documents come along with little of it
+    # documents times log odds: words of copied documents come along with little of it
     found = sorted((w for w in odds if odds[w] >= LEAST_ODDS), key=lambda w: (-pos[w] * odds[w], w))[: 6 * INSULTS]
     if not found:
-        return none
+        return [], 0
     top = pos[found[0]] * odds[found[0]]
     found = [w for w in found if pos[w] * odds[w] >= 0.02 * top]
-    alike = Landmarks(found).rows(found)
-    chosen: list[int] = []
-    for k in range(len(found)):
-        if len(chosen) < INSULTS and (not chosen or alike[k, chosen].max() < DIVERSE):
-            chosen.append(k)
-    plain = [w for w, _ in sorted(neg.items(), key=lambda x: (-x[1], x[0])) if odds.get(w, 0) < 0.5][:PLAIN]
-    words = [found[k] for k in chosen] + plain
-    marks = Landmarks(words)
-    clean = sorted({t for tokens, label in zip(split, toxic, strict=True) if not label for t in tokens})
-    x_neg = kernel_rows(marks, clean)
-    x_neg = x_neg[np.argsort(-x_neg[:, : len(chosen)].max(axis=1), kind="stable")][:MAX_WORDS]
-    times = np.array([pos[w] for w in found], float)
-    x_pos = kernel_rows(marks, found)
-    values, vectors = np.linalg.eigh(marks.rows(words).astype(np.float64))
+
+    def diverse(words: list[str], most: int) -> list[str]:
+        alike = Landmarks(words).rows(words)
+        chosen: list[int] = []
+        for k in range(len(words)):
+            if len(chosen) < most and (not chosen or alike[k, chosen].max() < DIVERSE):
+                chosen.append(k)
+        return [words[k] for k in chosen]
+
+    insults = diverse(found, INSULTS)
+    marks, near = Landmarks(insults), []
+    clean = sorted(w for w, c in neg.items() if c >= LEAST_DOCS and odds.get(w, 0) < 0.5)
+    for low in range(0, len(clean), CHUNK):
+        part = clean[low : low + CHUNK]
+        near += zip(marks.rows(part).max(axis=1).tolist(), part, strict=True)
+    near = [w for x, w in sorted(near, key=lambda p: (-p[0], p[1]))[: 6 * ALIKE] if 0 < x < DIVERSE]
+    return insults + (diverse(near, ALIKE) if near else []), len(insults)
+
+
+def train(texts: list[str], toxic: list[int]) -> ToxicityModel:
+    """Fit on the sentences of labelled texts."""
+    y = np.array(toxic)
+    none = ToxicityModel([], np.zeros(0, np.float32), 0.0, 1.0, 0.0)
+    words, n_insults = landmarks_of(texts, toxic) if (y == 1).any() and (y == 0).any() else ([], 0)
+    if not words:
+        return none
+    sentences = Sentences(words)
+    parts = [(*sentences.rows(texts[low : low + 64]), low) for low in range(0, len(texts), 64)]
+    raw, of = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] + p[2] for p in parts])
+    values, vectors = np.linalg.eigh(sentences.marks.rows(words).astype(np.float64))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    x = np.concatenate([x_pos, x_neg, np.zeros((1, len(words)))]).astype(np.float64) @ root
-    label = np.concatenate([np.ones(len(x_pos)), -np.ones(len(x_neg) + 1)])
-    weight = np.concatenate([0.5 * times / times.sum(), np.full(len(x_neg), 0.4 / max(1, len(x_neg))), [0.1]])
-    w, bias = _svm(x, label, weight)
-    model = ToxicityModel(words, (root @ w).astype(np.float32), float(bias), 1.0, 0.0)
-    model.slope, model.offset = _logistic(Scorer(model).decisions(split), y)
+    own = y[of] == 1
+    # equal sentences of clean documents are one, with their number; a sentence like no landmark is another
+    clean, times = np.unique(raw[~own], axis=0, return_counts=True) if (~own).any() else (raw[:0], np.zeros(0))
+    bags, bag = raw[own].astype(np.float64) @ root, of[own]
+    if not len(bags):
+        return none
+    negative = np.concatenate([clean.astype(np.float64) @ root, np.zeros((1, len(words)))])
+    starts = np.flatnonzero(np.concatenate([[True], bag[1:] != bag[:-1]]))
+    stops = np.concatenate([starts[1:], [len(bag)]])
+    ones = lambda x: np.hstack([x, np.ones((len(x), 1))])
+    value, w, before = raw[own][:, :n_insults].max(axis=1), None, None
+    for _ in range(ROUNDS):
+        chosen = np.array([a + int(np.argmax(value[a:b])) for a, b in zip(starts, stops, strict=True)])
+        if before is not None and (chosen == before).all():
+            break
+        before = chosen
+        x = ones(np.concatenate([bags[chosen], negative]))
+        label = np.concatenate([np.ones(len(chosen)), -np.ones(len(negative))])
+        weight = np.concatenate([np.full(len(chosen), 0.5 / len(chosen)), 0.4 * times / max(1, times.sum()), [0.1]])
+        w = _svm(x, label, weight, w)
+        value = ones(bags) @ w
+    model = ToxicityModel(words, (root @ w[:-1]).astype(np.float32), float(w[-1]), 1.0, 0.0)
+    highest = np.full(len(texts), model.bias)
+    np.maximum.at(highest, of, raw @ model.alpha + model.bias)
+    model.slope, model.offset = _logistic(highest, y)
     return model
 
 
+def _train_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts, toxic, size = [], [], Counter()
+    for batch in batches:
+        for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            size[label] += len(text)
+            if size[label] <= MAX_CHARS:
+                texts.append(text)
+                toxic.append(label)
+    yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(train(texts, toxic))], pa.binary())})
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_where: Column | None = None) -> ToxicityModel:
-    """Train on at most MAX_LABELLED documents of each label among ``labels`` (doc_id, toxic) that ``train_where`` admits."""
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1) AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    """Train on a bounded sample of the documents among ``labels`` (doc_id, toxic) that ``train_where`` admits."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1) AND doc_id IS NOT NULL")
     if train_where is not None:
         known = known.where(train_where)
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = []
     for label in (1, 0):
         picked += known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED).collect()
     if not picked:
         return train([], [])
-    # bounded: twice MAX_LABELLED ids
-    few = F.broadcast(docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in picked], "doc_id long, toxic int"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(few, "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
-    return train([r.text for r in rows], [r.toxic for r in rows])
+    # bounded: twice MAX_LABELLED ids, and as many texts in one task
+    few = F.broadcast(spark.createDataFrame([(r.doc_id, r.toxic) for r in picked], "doc_id long, toxic int"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(few, "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+    # one row: the model
+    return pickle.loads(rows.mapInArrow(_train_once, "model binary").first().model)
 
 
 _scorers: dict[int, Scorer] = {}
