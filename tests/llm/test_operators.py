@@ -82,6 +82,30 @@ def components(table):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
+def test_null_ids_link_like_others(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    table = [(None, text), (None, text + " more"), (5, text + " x"), (3, "quite another text of some words here"), (None, "alone with no id at all here"), (None, None)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    want = [(None, 56, 5, 2), (None, 57, 5, 2), (5, 57, 5, 2), (3, 3, 3, 0), (None, 3, None, 0), (None, 0, None, 0)]
+    assert collections.Counter(map(tuple, got)) == collections.Counter(want)
+    kept = jaccard_join.without_near_duplicates(spark.createDataFrame([(*r, "a", 1) for r in table], "doc_id long, text string, node string, key int")).collect()
+    assert collections.Counter(tuple(r)[:2] for r in kept) == collections.Counter(table[2:])
+
+
+def test_blocks_are_merged_and_split_without_losing_links(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 12)
+    monkeypatch.setattr(jaccard_join, "MANY", 2)
+    r = random.Random(11)
+    base, table = [word(r) for _ in range(130)], []
+    for i in range(160):
+        w = list(base)
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(len(w))] = word(r)
+        table.append((i, " ".join(w)))
+    got = jaccard_join.jaccard_components(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.n_links) for x in got) == sorted(links_of(table)) and {x.doc_id: (x.n_shingles, x.component_id) for x in got} == components(table)
+
+
 def test_jaccard_components(docs, none):
     want = components([(r[0], r[1]) for r in rows()])
     got = jaccard_join.jaccard_components(docs).collect()
@@ -134,6 +158,15 @@ def test_one_large_group_of_near_copies(spark):
     assert got == components(table)
 
 
+def test_token_files_keep_odd_ids(spark):
+    table = [(None, "a null id"), (-(2**63), "the least id"), (None, "b"), (2**63 - 1, "x " * 5000), (0, None)]
+    manifest = token_binary.write_token_files(spark.createDataFrame(table, "doc_id long, text string"), BPE, shared_dir(spark, "t"))
+    got = token_binary.read_token_files(spark, manifest).collect()
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(i for i, _ in table)
+    at = sorted((r.start, r.n_tokens) for r in got)
+    assert [a for a, _ in at] == [0, *np.cumsum([n for _, n in at])[:-1]] and at[-1][0] == next(r.start for r in got if r.doc_id == 2**63 - 1)
+
+
 def test_fingerprints(docs, none):
     got = fingerprints.fingerprint_documents(docs).collect()
     table = sorted((r[0], r[1] or "") for r in rows())
@@ -213,7 +246,10 @@ def test_piece_codec_and_counts(docs, none):
 
 
 def test_secrets(spark, none):
+    from pyspark.sql import functions as F
+
     table = spark.createDataFrame([(1, "password=84b3aeb8a0a875c8bd ok", "a", 9), (2, None, "b", None), (3, "nothing here", None, 12)], "doc_id long, text string, source string, n_chars long")
+    assert {r.scan: r.n for r in secret_scan.scan_documents(table.select("doc_id", "text", "source").withColumnRenamed("source", "__scan"), name="n").select("__scan", F.col("n.n_secrets").alias("n")).toDF("scan", "n").collect()} == {"a": 1, "b": 0, None: 0}
     got = {r.doc_id: r for r in secret_scan.mask_secrets(table).collect()}
     assert got[1].text == "password=[SECRET] ok" and got[1].n_chars == len(got[1].text) and got[2].text is None and got[3].text == "nothing here" and got[3].n_chars == 12
     assert secret_scan.scan_documents(none).count() == 0
@@ -266,7 +302,7 @@ def test_personal_data(spark, none):
 
     r = random.Random(4)
     table = ["".join(r.choice("0123456789..@@--  ()+abAB_%\n😀é") for _ in range(r.randint(0, 80))) for _ in range(800)]
-    table += ["a@b.c_x@y.z", "card 4539 1488 0343 6467.", "001.002.003.0004 256.1.1.1 1.2.3.4.5.6.7.8", "+1 (414) 555-7134", "1 " * 20000, "9" * 20000, None, "", "my phone: 414-555-7134", "+" + "1" * 20000]
+    table += ["a@" + "b." * 800 + "c", "x a@" + "b." * 30000 + ". y@z", "a@b..c a@-.- a@b.\n", "a@b.c_x@y.z", "card 4539 1488 0343 6467.", "001.002.003.0004 256.1.1.1 1.2.3.4.5.6.7.8", "+1 (414) 555-7134", "1 " * 20000, "9" * 20000, None, "", "my phone: 414-555-7134", "+" + "1" * 20000]
     got = {x.doc_id: x for x in pii.find_personal_data(spark.createDataFrame(list(enumerate(table)), "doc_id long, text string")).collect()}
     for i, t in enumerate(table):
         base = sorted((m.start(), n, k, m.end()) for n, (k, p) in enumerate(patterns.items()) for m in re.finditer(p, t or "") if ok(k, m.group()))

@@ -59,7 +59,7 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracefold.llm.secret_scan import scan_documents
 
-    return scan_documents(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "__scan.*")
+    return scan_documents(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "scan.*")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import small_batches
+from tracefold.llm.common import small_batches, unused
 
 SEED, FINDINGS, TREES, DEPTH, LEAST_LEAF, AT_LEAST = 11, 2400, 40, 9, 3, 0.5
 MASK = "[SECRET]"
@@ -253,8 +253,8 @@ def masked(text: str, found: list[tuple[int, int, float]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def scan_documents(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """Per document: n_candidates, n_secrets, spans (start:end, comma-joined) and the masked text or its digest."""
+def scan_documents(docs: DataFrame, with_text: bool = False, name: str = "scan") -> DataFrame:
+    """``docs`` with a column ``name``: n_candidates, n_secrets, spans (start:end, comma-joined) and the masked text or its digest."""
     small_batches(docs.sparkSession)
     last = "clean" if with_text else "clean_sha256"
 
@@ -268,12 +268,13 @@ def scan_documents(docs: DataFrame, with_text: bool = False) -> DataFrame:
             last: clean if with_text else [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in clean],
         })
 
-    return docs.withColumn("__scan", scan(F.col("text")))
+    return docs.select(*(c for c in docs.columns if c != name), scan(F.col("text")).alias(name))
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with secrets masked in ``text`` (a null stays null), and ``n_chars``, where there is one, counted anew."""
-    found = scan_documents(docs, True)
-    text = F.when(F.col("text").isNotNull(), F.col("__scan.clean"))
-    new = {"text": text} | ({"n_chars": F.when(F.col("__scan.n_secrets") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    name = unused(docs, "scan")
+    found = scan_documents(docs, True, name)
+    text = F.when(F.col("text").isNotNull(), F.col(f"{name}.clean"))
+    new = {"text": text} | ({"n_chars": F.when(F.col(f"{name}.n_secrets") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
     return found.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))

@@ -5,15 +5,15 @@ power of the stretch it spans in either word (normalised to 1 for equal words),
 cost some likeness but don't break it. A word with other characters between its letters is also looked at without
 them, and letters written apart ("a b c d") as the word they spell; words longer than WINDOW are looked at by
 windows that overlap by half, all of them. Likenesses count from FLOOR up. A sentence's likeness to a landmark
-is that of its likest word. The support vector machine is linear in the Nystroem features of sentences,
-K(sentence, landmarks) times K(landmarks, landmarks)^-1/2, and so comes down to one weight for each landmark. A
+is that of its likest word, to the power SHARP. The support vector machine is the Nystroem one: linear in
+K(sentence, landmarks) with K(landmarks, landmarks) as the norm of its weights, none of them negative. A
 document's score is the logistic calibration of the decision of its highest sentence.
 
 Labels mark documents, so the sentences of toxic documents are bags: training begins with the sentence of
 each that is most like words of toxic documents, and goes on with the one that the machine itself places
 highest, until that doesn't change; all sentences of clean documents are negative. Landmarks are words far more
-frequent in toxic than in clean documents, and the words of clean documents that are most like them. Training
-takes, in order of a hash, at most MAX_LABELLED documents and MAX_CHARS characters of each label, in one task.
+frequent in toxic than in clean documents, and each of those words by itself, whole and with a character
+inserted, is a positive sentence too. Training takes, in order of a hash, at most MAX_LABELLED documents and MAX_CHARS characters of each label, in one task.
 
 Defined cases: null and empty texts have no sentence with a known word and get the score of such texts;
 without toxic and clean labelled documents every score is 0; a document that labels call both toxic and
@@ -25,7 +25,9 @@ results are replaced, others are kept.
 from __future__ import annotations
 
 import pickle
+import random
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,8 +45,10 @@ from tracefold.llm.common import small_batches
 #: At most so many labelled documents, and characters of them, of each label are trained on.
 MAX_LABELLED, MAX_CHARS = 2000, 12_000_000
 DECAY, FLOOR, WINDOW = 0.65, 0.35, 20
-#: Landmarks from words of toxic documents, and from the words of clean ones that are most like them.
-INSULTS, ALIKE, DIVERSE = 72, 12, 0.85
+#: Power of a normalised likeness, weight of the norm against the loss.
+SHARP, RIDGE, SEED = 1.5, 1e-3, 4
+#: Landmarks, no two of which are more alike than that.
+INSULTS, DIVERSE = 72, 0.85
 LEAST_DOCS, LEAST_ODDS = 3, 3.0
 #: Times that the sentences of toxic documents are chosen anew, and words whose kernel is taken at once.
 ROUNDS, CHUNK = 4, 20_000
@@ -155,6 +159,10 @@ class ToxicityModel:
         return bool(self.landmarks)
 
 
+def likenesses(marks: Landmarks, words: list[str]) -> np.ndarray:
+    return marks.rows(words) ** SHARP
+
+
 def kernel_rows(marks: Landmarks, tokens: list[str]) -> np.ndarray:
     """Kernel of each token, as written and without what isn't a letter or digit: the greater of both."""
     words = [word_of(t) for t in tokens]
@@ -197,7 +205,7 @@ class Sentences:
     def _learn(self, fresh: list[str]) -> None:
         for low in range(0, len(fresh), CHUNK):
             part = fresh[low : low + CHUNK]
-            rows = kernel_rows(self.marks, part)
+            rows = kernel_rows(self.marks, part) ** SHARP
             alike = rows.any(axis=1)
             at = np.where(alike, self.used + np.cumsum(alike) - 1, 0)
             end = self.used + int(alike.sum())
@@ -245,34 +253,46 @@ class Scorer:
     def scores(self, texts: list[str]) -> np.ndarray:
         if not self.model.trained:
             return np.zeros(len(texts))
-        return 1 / (1 + np.exp(-(self.model.slope * self.decisions(texts) + self.model.offset)))
+        return 1 / (1 + np.exp(-(self.model.slope * _squashed(self.decisions(texts)) + self.model.offset)))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, start: np.ndarray | None = None, ridge: float = 1e-4, steps: int = 400) -> np.ndarray:
-    """Linear SVM with squared hinge loss, by gradient steps with momentum; the last feature is the bias."""
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, kernel: np.ndarray, start: np.ndarray | None = None, steps: int = 1500) -> np.ndarray:
+    """SVM with squared hinge loss over rows of likenesses to the landmarks, whose ``kernel`` is the norm; by projected
+    gradient steps with restarted momentum. Weights are at least 0, so no word makes a sentence less toxic. The last is the bias."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    ridge = np.zeros((x.shape[1], x.shape[1]))
+    ridge[:-1, :-1] = RIDGE * kernel
     w = last = np.zeros(x.shape[1]) if start is None else start
-    rate = 1 / (2 * np.linalg.norm((x * weight[:, None]).T @ x, 2) + ridge)
+    rate = 1 / (2 * np.linalg.norm((x * weight[:, None]).T @ x, 2) + np.linalg.norm(ridge, 2))
     for k in range(steps):
-        look = w + (k / (k + 3)) * (w - last)
+        at = k % 200
+        look = w + (at / (at + 3)) * (w - last)
         gap = np.maximum(0, 1 - y * (x @ look))
-        last, w = w, look - rate * (ridge * look - 2 * x.T @ (weight * y * gap))
+        new = look - rate * (ridge @ look - 2 * x.T @ (weight * y * gap))
+        new[:-1] = np.maximum(new[:-1], 0)
+        last, w = w, new
     return w
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _squashed(x: np.ndarray) -> np.ndarray:
+    """Decisions, in order, that grow by their logarithm beyond the margin."""
+    return np.where(np.abs(x) <= 1, x, np.sign(x) * (1 + np.log(np.maximum(np.abs(x), 1))))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the labels' odds, with prior-smoothed targets, by Newton steps."""
     n1, n0 = y.sum(), len(y) - y.sum()
     target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     z, w = np.stack([x, np.ones(len(x))], 1), np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-z @ w))
-        h = (z * (p * (1 - p))[:, None]).T @ z + 1e-4 * np.eye(2)
-        w += np.clip(np.linalg.solve(h, z.T @ (target - p) - 1e-4 * w), -5, 5)
+        h = (z * (weight * p * (1 - p))[:, None]).T @ z + 1e-4 * np.eye(2)
+        w += np.clip(np.linalg.solve(h, z.T @ (weight * (target - p)) - 1e-4 * w), -5, 5)
     return float(w[0]), float(w[1])
 
 
-def landmarks_of(texts: list[str], toxic: list[int]) -> tuple[list[str], int]:
-    """Words far more frequent in toxic documents, by evidence, then clean words most like them; how many are of the first kind."""
+def landmarks_of(texts: list[str], toxic: list[int]) -> tuple[list[str], list[str], np.ndarray]:
+    """Landmarks; words far more frequent in toxic documents, by evidence, and the number of toxic documents of each."""
     pos, neg = Counter(), Counter()
     for text, label in zip(texts, toxic, strict=True):
         (pos if label else neg).update({w for t in set(tokens_of(text)) if 3 <= len(w := word_of(t)) <= WINDOW})
@@ -281,65 +301,60 @@ def landmarks_of(texts: list[str], toxic: list[int]) -> tuple[list[str], int]:
     # documents times log odds: words of copied documents come along with little of it
     found = sorted((w for w in odds if odds[w] >= LEAST_ODDS), key=lambda w: (-pos[w] * odds[w], w))[: 6 * INSULTS]
     if not found:
-        return [], 0
+        return [], [], np.zeros(0)
     top = pos[found[0]] * odds[found[0]]
     found = [w for w in found if pos[w] * odds[w] >= 0.02 * top]
-
-    def diverse(words: list[str], most: int) -> list[str]:
-        alike = Landmarks(words).rows(words)
-        chosen: list[int] = []
-        for k in range(len(words)):
-            if len(chosen) < most and (not chosen or alike[k, chosen].max() < DIVERSE):
-                chosen.append(k)
-        return [words[k] for k in chosen]
-
-    insults = diverse(found, INSULTS)
-    marks, near = Landmarks(insults), []
-    clean = sorted(w for w, c in neg.items() if c >= LEAST_DOCS and odds.get(w, 0) < 0.5)
-    for low in range(0, len(clean), CHUNK):
-        part = clean[low : low + CHUNK]
-        near += zip(marks.rows(part).max(axis=1).tolist(), part, strict=True)
-    near = [w for x, w in sorted(near, key=lambda p: (-p[0], p[1]))[: 6 * ALIKE] if 0 < x < DIVERSE]
-    return insults + (diverse(near, ALIKE) if near else []), len(insults)
+    alike = Landmarks(found).rows(found)
+    chosen: list[int] = []
+    for k in range(len(found)):
+        if len(chosen) < INSULTS and (not chosen or alike[k, chosen].max() < DIVERSE):
+            chosen.append(k)
+    return [found[k] for k in chosen], found, np.array([pos[w] for w in found], float)
 
 
 def train(texts: list[str], toxic: list[int]) -> ToxicityModel:
     """Fit on the sentences of labelled texts."""
     y = np.array(toxic)
     none = ToxicityModel([], np.zeros(0, np.float32), 0.0, 1.0, 0.0)
-    words, n_insults = landmarks_of(texts, toxic) if (y == 1).any() and (y == 0).any() else ([], 0)
+    words, telling, times_telling = landmarks_of(texts, toxic) if (y == 1).any() and (y == 0).any() else ([], [], np.zeros(0))
     if not words:
         return none
     sentences = Sentences(words)
     parts = [(*sentences.rows(texts[low : low + 64]), low) for low in range(0, len(texts), 64)]
-    raw, of = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] + p[2] for p in parts])
-    values, vectors = np.linalg.eigh(sentences.marks.rows(words).astype(np.float64))
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
+    raw, of = np.concatenate([p[0] for p in parts]).astype(np.float64), np.concatenate([p[1] + p[2] for p in parts])
     own = y[of] == 1
     # equal sentences of clean documents are one, with their number; a sentence like no landmark is another
     clean, times = np.unique(raw[~own], axis=0, return_counts=True) if (~own).any() else (raw[:0], np.zeros(0))
-    bags, bag = raw[own].astype(np.float64) @ root, of[own]
+    bags, bag = raw[own], of[own]
     if not len(bags):
         return none
-    negative = np.concatenate([clean.astype(np.float64) @ root, np.zeros((1, len(words)))])
+    # a telling word is a sentence too, as it stands and with a character inserted
+    r = random.Random(SEED)
+    inserted = [w[:k] + r.choice(string.ascii_lowercase) + w[k:] for w in telling for k in (r.randrange(1, len(w)),)]
+    alone = likenesses(sentences.marks, telling + inserted).astype(np.float64)
+    values, vectors = np.linalg.eigh(likenesses(sentences.marks, words).astype(np.float64))
+    kernel = vectors @ np.diag(np.maximum(values, 1e-3)) @ vectors.T
     starts = np.flatnonzero(np.concatenate([[True], bag[1:] != bag[:-1]]))
     stops = np.concatenate([starts[1:], [len(bag)]])
-    ones = lambda x: np.hstack([x, np.ones((len(x), 1))])
-    value, w, before = raw[own][:, :n_insults].max(axis=1), None, None
+    evidence = np.concatenate([times_telling, times_telling])
+    value, w, before = bags.max(axis=1), None, None
     for _ in range(ROUNDS):
         chosen = np.array([a + int(np.argmax(value[a:b])) for a, b in zip(starts, stops, strict=True)])
         if before is not None and (chosen == before).all():
             break
         before = chosen
-        x = ones(np.concatenate([bags[chosen], negative]))
-        label = np.concatenate([np.ones(len(chosen)), -np.ones(len(negative))])
-        weight = np.concatenate([np.full(len(chosen), 0.5 / len(chosen)), 0.4 * times / max(1, times.sum()), [0.1]])
-        w = _svm(x, label, weight, w)
-        value = ones(bags) @ w
-    model = ToxicityModel(words, (root @ w[:-1]).astype(np.float32), float(w[-1]), 1.0, 0.0)
+        x = np.concatenate([bags[chosen], alone, clean, np.zeros((1, len(words)))])
+        label = np.concatenate([np.ones(len(chosen) + len(alone)), -np.ones(len(clean) + 1)])
+        weight = np.concatenate([np.full(len(chosen), 0.25 / len(chosen)), 0.25 * evidence / evidence.sum(), 0.4 * times / max(1, times.sum()), [0.1]])
+        w = _svm(x, label, weight, kernel, w)
+        value = bags @ w[:-1] + w[-1]
+    model = ToxicityModel(words, w[:-1].astype(np.float32), float(w[-1]), 1.0, 0.0)
     highest = np.full(len(texts), model.bias)
     np.maximum.at(highest, of, raw @ model.alpha + model.bias)
-    model.slope, model.offset = _logistic(highest, y)
+    # calibrated on documents, and for a fifth of the toxic ones' weight on the telling words alone
+    x = np.concatenate([highest, alone @ model.alpha + model.bias])
+    weight = np.concatenate([np.ones(len(y)), 0.2 * y.sum() * evidence / evidence.sum()])
+    model.slope, model.offset = _logistic(_squashed(x), np.concatenate([y, np.ones(len(alone), int)]), weight)
     return model
 
 
