@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import documents, materialise
+from tracefold.llm.common import documents, materialise, unused
 from tracefold.llm.jaccard_join import without_near_duplicates
 from tracefold.llm.piece_codec import piece_digests
 from tracefold.llm.queries import tokenizer
@@ -23,7 +23,8 @@ TOXIC_AT = 0.5
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out(F.col("doc_id")))
-    return score_documents(docs, model, "__toxic").where(F.col("__toxic") < TOXIC_AT).select(*docs.columns)
+    score = unused(docs, "score")
+    return score_documents(docs, model, score).where(F.col(score) < TOXIC_AT).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
