@@ -21,7 +21,7 @@ SF = "/root/testdata/sf0.001"
 
 def runs_of(spark, table):
     """(run_id, task_id, success, names) -> canonical runs with plain steps."""
-    rows = [(r, t, s, [(i, "tool", n, "ok", None, None, None, None) for i, n in enumerate(names)]) for r, t, s, names in table]
+    rows = [(r, t, s, [(i, "tool", n, "ok", *[None] * 6) for i, n in enumerate(names)]) for r, t, s, names in table]
     return with_sequences(spark.createDataFrame(rows, f"run_id string, task_id string, success boolean, steps array<struct<{', '.join(f.replace(' ', ':') for f in STEP.split(', '))}>>"))
 
 
@@ -126,9 +126,9 @@ def test_causes_sum_to_one_and_favour_the_evidence(spark):
 
 def test_preferences_skip_noise_steps(spark):
     runs = runs_of(spark, [("p", "t", True, ["action", "read", "test", "edit"]), ("f", "t", False, ["read", "bash", "edit"])])
-    pair = preferences.preference_pairs(runs).first()
+    pair = preferences.preference_pairs(runs, min_content=0).first()
     assert (pair.preferred, pair.dispreferred, pair.context) == ("test(pass)", "bash", "read")
-    assert json.loads(preferences.as_dpo(preferences.preference_pairs(runs)).first().value)["chosen"] == "test(pass)"
+    assert json.loads(preferences.as_dpo(preferences.preference_pairs(runs, min_content=0)).first().value)["chosen"] == "tool:test"
 
 
 def test_load_runs(spark, tmp_path):
@@ -183,3 +183,54 @@ def test_large_groups_are_clustered_whole(spark):
     assert align.pairwise_distances(runs).count() == 90 * 89 // 2 and align.splits(runs).count() == 89
     assert align.aligned_cells(runs).select("run_id").distinct().count() == 90
     assert align.concordance(runs).first().n_runs == 90
+
+
+def test_chi_squared_against_its_definition(spark):
+    tables = [[(3, 1), (2, 4), (0, 5)], [(5, 5), (5, 5), (5, 5)], [(0, 0), (4, 2), (1, 3)], [(7, 0), (0, 0), (0, 0)], [(40, 1), (2, 50), (9, 9), (1, 1)]]
+
+    def want(rows):
+        rows = [r for r in rows if sum(r)]
+        p, f = (sum(r[k] for r in rows) for k in (0, 1))
+        chi = sum((r[k] - sum(r) * t / (p + f)) ** 2 / (sum(r) * t / (p + f)) for r in rows for k, t in ((0, p), (1, f)) if t)
+        df = len(rows) - 1
+        if df <= 0 or chi <= 0:
+            return 1.0
+        return 0.5 * math.erfc(((chi / df) ** (1 / 3) - 1 + 2 / (9 * df)) / math.sqrt(2 / (9 * df)) / math.sqrt(2))
+
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(tables)], "k int, v array<struct<n_pass:long,n_fail:long>>")
+    assert [r.p for r in frame.select("k", stats.chi2_table(F.col("v")).alias("p")).orderBy("k").collect()] == [pytest.approx(want(t), rel=1e-9) for t in tables]
+    xs = [-6.0, -2.9, -0.1, 0.0, 0.5, 2.99, 3.0, 5.0, 9.0]
+    assert [r.e for r in spark.createDataFrame([(x,) for x in xs], "x double").select(stats.erfc(F.col("x")).alias("e")).collect()] == [pytest.approx(math.erfc(x), rel=1e-9) for x in xs]
+
+
+def test_dpo_text(spark):
+    step = lambda i, name, **k: (i, "tool", name, "ok", None, None, None, k.get("why"), k.get("action"), k.get("result"))
+    shape = f"run_id string, task_id string, success boolean, steps array<struct<{', '.join(f.replace(' ', ':') for f in STEP.split(', '))}>>"
+    good = [step(0, "read", why="look", result="r" * 600), step(1, "edit", why="w" * 60, action="sed", result="x" * 1200), step(2, "test")]
+    bad = [step(0, "read"), step(1, "search", why="v" * 60), step(2, "bash")]
+    runs = with_sequences(spark.createDataFrame([("p", "t", True, good), ("f", "t", False, bad), ("g", "t", False, bad[:2])], shape))
+    got = [json.loads(r.value) for r in preferences.as_dpo(preferences.preference_pairs(runs)).collect()]
+    assert len(got) == 1 and got[0]["prompt"] == "Task: t\n\nTrajectory so far:\n[Step 0: tool:read]\nThinking: look\nResult: " + "r" * 500 + "\n\nWhat should the agent do next?"
+    assert got[0]["chosen"] == f"Thinking: {'w' * 60}\nAction: sed\nResult: {'x' * 1000}" and got[0]["rejected"] == "Thinking: " + "v" * 60
+    assert got[0]["metadata"]["preferred_run_id"] == "p" and got[0]["metadata"]["p_value"] is None
+    assert preferences.preference_pairs(runs, min_content=100).count() == 0
+
+
+def test_filters(spark):
+    runs = spark.createDataFrame([("a", "m1", {"fast": "true", "k": "1"}), ("b", "m2", {"fast": "false"}), ("c", None, None)], "run_id string, model string, tags map<string,string>")
+    ids = lambda *texts: [r.run_id for r in cohorts.apply_filters(runs, list(texts)).orderBy("run_id").collect()]
+    assert ids("fast=True") == ["a"] and ids("model=m1", "model=m2") == ["b"] and ids("model=") == ["a", "b", "c"] and ids("k=1", "fast=False") == [] and ids("none=x") == []
+    assert cohorts.parse_filter("a=b=c") == ("a", "b=c")
+    with pytest.raises(ValueError):
+        cohorts.parse_filter("=x")
+    assert {tuple(r) for r in cohorts.available_values(runs, ("model", "agent")).collect()} == {("model", "m1", 1), ("model", "m2", 1)}
+
+
+def test_bootstrap_encloses_the_score(spark):
+    r = random.Random(2)
+    table = [(f"{v}{k}", "t", True, ["edit", "test"] if r.random() < share else ["edit", "read"]) for v, share in (("a", 0.9), ("b", 0.2)) for k in range(150)]
+    runs = runs_of(spark, table).withColumn("variant", F.substring("run_id", 1, 1))
+    causes = [{"id": "x", "expected_shifts": {"TEST_AFTER_EDIT_RATE": "decrease"}}, {"id": "y", "expected_shifts": {"STEP_FAILURE_RATE": "increase"}}]
+    got = {x.cause_id: x for x in cohorts.bootstrap_confidence(runs, "variant", "a", "b", causes, rounds=60).collect()}
+    assert all(x.ci_lower <= x.score <= x.ci_upper for x in got.values()) and got["x"].ci_lower > got["y"].ci_upper and got["x"].ci_upper - got["x"].ci_lower > 0.01
+    assert all(x.ci_lower is None for x in cohorts.bootstrap_confidence(runs, "variant", "a", "b", causes, rounds=10).collect())

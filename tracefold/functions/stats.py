@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +67,62 @@ def delta_interval(p1: Column, n1: Column, p2: Column, n2: Column) -> tuple[Colu
     return F.when(empty, -1.0).otherwise(p2 - p1 - half), F.when(empty, 1.0).otherwise(p2 - p1 + half)
 
 
+def effect_magnitude(h: Column) -> Column:
+    size = F.abs(h)
+    return F.when(size < 0.2, "negligible").when(size < 0.5, "small").when(size < 0.8, "medium").otherwise("large")
+
+
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def erfc(x: Column) -> Column:
+    """Complementary error function: by its series within 3, by its continued fraction beyond."""
+
+    def of(a: Column) -> Column:
+        series = F.aggregate(
+            F.sequence(F.lit(1), F.lit(60)), F.struct(a.alias("t"), a.alias("sum")),
+            lambda s, n: let(-s["t"] * a * a / n, lambda t: F.struct(t.alias("t"), (s["sum"] + t / (2 * n + 1)).alias("sum"))), lambda s: s["sum"],
+        )
+        tail = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), a, lambda f, k: a + k / 2.0 / f)
+        return F.when(a < 3, 1 - series * (2 / math.sqrt(math.pi))).otherwise(F.exp(-a * a) / math.sqrt(math.pi) / tail)
+
+    return let(x.cast("double"), lambda v: let(of(F.abs(v)), lambda half: F.when(v < 0, 2 - half).otherwise(half)))
+
+
+def chi2_survival(x: Column, df: Column) -> Column:
+    """Share of the chi-squared distribution above x, by the cube-root normal approximation; 1 at 0 and below."""
+    spread = 2 / (9 * df)
+    z = (F.pow(F.greatest(x, F.lit(0.0)) / df, F.lit(1 / 3)) - 1 + spread) / F.sqrt(spread)
+    return F.when(x <= 0, 1.0).otherwise(0.5 * erfc(z / math.sqrt(2)))
+
+
+def chi2_table(branches: Column) -> Column:
+    """p of an ARRAY<STRUCT<n_pass, n_fail>> against equal rates; branches without known outcomes don't count, and one branch alone is 1."""
+
+    def of(known: Column) -> Column:
+        total = lambda c: F.aggregate(known, F.lit(0.0), lambda a, x: a + x[c])
+
+        def part(x: Column, c: str, side: Column, all_: Column) -> Column:
+            return let((x["n_pass"] + x["n_fail"]) * side / all_, lambda e: F.when(e > 0, (x[c] - e) * (x[c] - e) / e).otherwise(0.0))
+
+        def chi(t: Column) -> Column:
+            all_ = t["p"] + t["f"]
+            return F.aggregate(known, F.lit(0.0), lambda a, x: a + part(x, "n_pass", t["p"], all_) + part(x, "n_fail", t["f"], all_))
+
+        df = F.size(known) - 1
+        found = let(F.struct(total("n_pass").alias("p"), total("n_fail").alias("f")), chi)
+        return F.when(df <= 0, 1.0).otherwise(let(found, lambda x: chi2_survival(x, df.cast("double"))))
+
+    return let(F.filter(branches, lambda x: x["n_pass"] + x["n_fail"] > 0), of)
+
+
+def phi(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Correlation of a 2x2 table; null where a margin is empty."""
+    return F.try_divide((a * d - b * c).cast("double"), F.sqrt(((a + b) * (c + d) * (a + c) * (b + d)).cast("double")))
+
+
 def entropy(counts: Column) -> Column:
     """Shannon entropy in bits of an array of counts."""
     total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefold.functions.labels import signature
-from tracefold.functions.stats import cohens_h, delta_interval
+from tracefold.functions.stats import cohens_h, delta_interval, effect_magnitude
 
 
 def filter_runs(runs: DataFrame, **fields: str) -> DataFrame:
@@ -113,19 +115,20 @@ def cohort_behaviours(runs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return wide.select(*by, "n_runs", F.explode(rows).alias("r")).select(*by, "n_runs", "r.*")
 
 
-def variant_shifts(runs: DataFrame, variant: str, baseline: str, current: str) -> DataFrame:
-    """Per behaviour: both values, shift, effect size and interval; rates by Cohen's h, the step count relative."""
-    wide = cohort_behaviours(runs.where(F.col(variant).isin(baseline, current)), (variant,)).groupBy("feature").agg(
+def shifts_of(values: DataFrame, variant: str, baseline: str, current: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per behaviour: both values, shift, effect size, its magnitude and the interval; rates by Cohen's h, the step count relative."""
+    wide = values.groupBy(*by, "feature").agg(
         *(F.coalesce(F.max(F.when(F.col(variant) == v, F.col(c))), F.lit(0)).alias(f"{c}_{s}") for s, v in (("b", baseline), ("c", current)) for c in ("value", "n_runs"))
     )
     rate = F.col("feature") != "AVG_STEP_COUNT"
     low, high = delta_interval(F.col("value_b"), F.col("n_runs_b"), F.col("value_c"), F.col("n_runs_c"))
     shift = F.col("value_c") - F.col("value_b")
-    return wide.select(
-        "feature", F.col("value_b").alias("baseline"), F.col("value_c").alias("current"), shift.alias("shift"),
-        F.when(rate, cohens_h(F.col("value_c"), F.col("value_b"))).otherwise(shift / F.greatest(F.abs("value_b"), F.abs("value_c"), F.lit(1.0))).alias("effect_size"),
-        F.when(rate, low).alias("ci_low"), F.when(rate, high).alias("ci_high"),
-    )
+    effect = F.when(rate, cohens_h(F.col("value_c"), F.col("value_b"))).otherwise(shift / F.greatest(F.abs("value_b"), F.abs("value_c"), F.lit(1.0)))
+    return wide.select(*by, "feature", F.col("value_b").alias("baseline"), F.col("value_c").alias("current"), shift.alias("shift"), effect.alias("effect_size"), effect_magnitude(effect).alias("magnitude"), F.when(rate, low).alias("ci_low"), F.when(rate, high).alias("ci_high"))
+
+
+def variant_shifts(runs: DataFrame, variant: str, baseline: str, current: str) -> DataFrame:
+    return shifts_of(cohort_behaviours(runs.where(F.col(variant).isin(baseline, current)), (variant,)), variant, baseline, current)
 
 
 def task_breakdown(runs: DataFrame, variant: str, baseline: str, current: str) -> DataFrame:
@@ -137,9 +140,10 @@ def task_breakdown(runs: DataFrame, variant: str, baseline: str, current: str) -
     ).withColumn("delta", F.col("current_rate") - F.col("baseline_rate"))
 
 
-def score_causes(shifts: DataFrame, causes: list[dict], unknown_prior: float = 0.0) -> DataFrame:
+def score_causes(shifts: DataFrame, causes: list[dict], unknown_prior: float = 0.0, by: tuple[str, ...] = ()) -> DataFrame:
     """Candidate causes (id, expected_shifts, prior) by evidence: a shift in the expected direction counts its
-    effect, one against it half of it negatively; what no cause claims goes to '_unknown'. Scores sum to 1."""
+    effect, one against it half of it negatively; what no cause claims goes to '_unknown'. Scores sum to 1, for
+    each value of ``by``."""
     spark = shifts.sparkSession
     auto = 1.0 / (len(causes) + 1)
     prior = {c["id"]: c.get("prior") or auto for c in causes} | {"_unknown": unknown_prior if unknown_prior > 0 else auto}
@@ -147,11 +151,85 @@ def score_causes(shifts: DataFrame, causes: list[dict], unknown_prior: float = 0
     claims = [(c["id"], f, d) for c in causes for f, d in c["expected_shifts"].items()]
     claimed = sorted({f for _, f, _ in claims})
     wanted = spark.createDataFrame(claims, "cause_id string, feature string, direction string")
-    priors = spark.createDataFrame([(k, v / total) for k, v in prior.items()], "cause_id string, prior double")
+    priors = F.array(*(F.struct(F.lit(k).alias("cause_id"), F.lit(v / total).alias("prior")) for k, v in prior.items()))
     size = F.abs("effect_size")
     agrees = F.when(F.col("direction") == "increase", F.col("shift") > 0).when(F.col("direction") == "decrease", F.col("shift") < 0).otherwise(False)
-    known = shifts.join(F.broadcast(wanted), "feature").select("cause_id", F.when(agrees, size).otherwise(-0.5 * size).alias("e"))  # a few rows a cause
-    other = shifts.where(~F.col("feature").isin(claimed) & (size > 0.1)).select(F.lit("_unknown").alias("cause_id"), size.alias("e"))
-    raw = known.unionByName(other).groupBy("cause_id").agg(F.sum("e").alias("evidence"))
-    weighed = F.broadcast(priors).join(raw, "cause_id", "left").withColumn("evidence", F.coalesce("evidence", F.lit(0.0))).withColumn("w", F.col("prior") * F.exp(F.least("evidence", F.lit(50.0))))
-    return weighed.crossJoin(F.broadcast(weighed.agg(F.sum("w").alias("all")))).select("cause_id", "evidence", (F.col("w") / F.col("all")).alias("score"))  # one row
+    known = shifts.join(F.broadcast(wanted), "feature").select(*by, "cause_id", F.when(agrees, size).otherwise(-0.5 * size).alias("e"))  # a few rows a cause
+    other = shifts.where(~F.col("feature").isin(claimed) & (size > 0.1)).select(*by, F.lit("_unknown").alias("cause_id"), size.alias("e"))
+    none = shifts.select(*by).distinct().select(*by, F.explode(priors).alias("p")) if by else spark.range(1).select(F.explode(priors).alias("p"))
+    listed = none.select(*by, "p.cause_id", "p.prior")
+    raw = known.unionByName(other).groupBy(*by, "cause_id").agg(F.sum("e").alias("evidence"))
+    weighed = listed.join(raw, [*by, "cause_id"], "left").withColumn("evidence", F.coalesce("evidence", F.lit(0.0))).withColumn("w", F.col("prior") * F.exp(F.least("evidence", F.lit(50.0))))
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # a row a cause
+    return weighed.select(*by, "cause_id", "evidence", (F.col("w") / F.sum("w").over(whole)).alias("score"))
+
+
+#: Shares of the Poisson distribution of mean 1 up to each whole number.
+POISSON = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12))
+
+
+def bootstrap_confidence(runs: DataFrame, variant: str, baseline: str, current: str, causes: list[dict], rounds: int = 200, seed: int = 42) -> DataFrame:
+    """Scores of causes with the 2.5 and 97.5 per cent points of resampled scores (null under 20 rounds).
+
+    A run's weight in a round is drawn from the Poisson distribution of mean 1 by a hash of run and round, so
+    resampling is one pass with map-side sums: nothing but (variant, round) totals is shuffled."""
+    own = runs.where(F.col(variant).isin(baseline, current))
+    draw = (F.pmod(F.xxhash64("run_id", "round", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    weight = sum((draw > c).cast("int") for c in POISSON)
+    pairs = behaviours()
+    per_run = own.select("run_id", variant, *(x.alias(f"{k}_{t}") for k, ab in pairs.items() for t, x in zip("ab", ab, strict=True)))
+    drawn = per_run.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("w", weight)
+    sums = drawn.groupBy(variant, "round").agg(F.sum("w").alias("n_runs"), *(F.sum(F.col("w") * F.col(f"{k}_{t}")).alias(f"{k}_{t}") for k in pairs for t in "ab"))
+    rows = F.array(*(F.struct(F.lit(k).alias("feature"), F.coalesce(F.try_divide(F.col(f"{k}_a").cast("double"), F.col(f"{k}_b").cast("double")), F.lit(0.0)).alias("value")) for k in pairs))
+    values = sums.select(variant, "round", "n_runs", F.explode(rows).alias("r")).select(variant, "round", "n_runs", "r.*")
+    scored = score_causes(shifts_of(values, variant, baseline, current, ("round",)), causes, by=("round",))
+    spread = scored.groupBy("cause_id").agg(F.sort_array(F.collect_list("score")).alias("s"))  # a value a round
+    at = lambda share: F.when(F.size("s") >= 20, F.get("s", F.floor(F.size("s") * share).cast("int")))
+    return score_causes(variant_shifts(runs, variant, baseline, current), causes).join(spread, "cause_id", "left").select("cause_id", "evidence", "score", at(0.025).alias("ci_lower"), at(0.975).alias("ci_upper"))
+
+
+# --- filters and listings -------------------------------------------------------------------------
+
+
+def parse_filter(text: str) -> tuple[str, str]:
+    """``key=value``, split at the first sign; a key must be there."""
+    key, sign, value = text.partition("=")
+    if not sign or not key.strip():
+        raise ValueError(f"not key=value: {text!r}")
+    return key.strip(), value.strip()
+
+
+def apply_filters(runs: DataFrame, texts: list[str]) -> DataFrame:
+    """Runs that match all of ``key=value``: a field of that name, else a tag; of repeated keys the last holds. Booleans of
+    tags read True and False."""
+    for key, value in dict(map(parse_filter, texts)).items():
+        if not value:
+            continue
+        if key in runs.columns and key != "tags":
+            runs = runs.where(F.col(key).cast("string") == value)
+        elif "tags" in runs.columns:
+            tag = F.col("tags")[key]
+            runs = runs.where(F.when(tag.isin("true", "false"), F.initcap(tag)).otherwise(tag) == value)
+        else:
+            runs = runs.where(F.lit(False))
+    return runs
+
+
+def available_values(runs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """(field, value, n): what a filter could ask for."""
+    rows = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields if f in runs.columns))
+    return runs.select(F.explode(rows).alias("r")).select("r.*").where("value IS NOT NULL").groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def phase_summary(runs: DataFrame, by: tuple[str, ...] = ("run_id",)) -> DataFrame:
+    """Phases of each ``by`` with counts, as text: "explore 50%, modify 30%", most frequent first."""
+    counts = runs.select(*by, F.explode("phases").alias("phase")).groupBy(*by, "phase").agg(F.count(F.lit(1)).alias("n"))
+    listed = counts.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "phase"))).alias("c"), F.sum("n").alias("n_steps"))  # a few phases
+    return listed.select(*by, "n_steps", F.array_join(F.transform("c", lambda c: F.concat(c["phase"], F.lit(" "), F.round(-100 * c["m"] / F.col("n_steps")).cast("int").cast("string"), F.lit("%"))), ", ").alias("summary"))
+
+
+def cluster_stats(runs: DataFrame, cluster: str) -> DataFrame:
+    """Per cluster: runs, success rate over known outcomes, mean length and the commonest signature (ties by text)."""
+    rows = runs.select(cluster, "success", F.size("steps").alias("n"), signature(F.col("steps")).alias("signature"))
+    by_signature = rows.groupBy(cluster, "signature").agg(F.count(F.lit(1)).alias("c"), F.count("success").alias("known"), F.count_if(F.col("success")).alias("passed"), F.sum("n").alias("n"))
+    return by_signature.groupBy(cluster).agg(F.sum("c").alias("n_runs"), F.try_divide(F.sum("passed").cast("double"), F.sum("known").cast("double")).alias("success_rate"), (F.sum("n") / F.sum("c")).alias("avg_steps"), F.min_by("signature", F.struct(-F.col("c"), "signature")).alias("prototype"))

@@ -15,7 +15,11 @@ HYPOTHESIS = (
     r"|\bthe (?:issue|problem|bug|error) (?:is|seems|appears|might be)\b|\bmy (?:hypothesis|theory|guess)\b|\bi (?:suspect|believe|hypothesize)\b"
     r"|\bthis (?:is likely|is probably|seems to be|appears to be)\b|\bthe reason (?:is|for)\b|\bwhat(?:'s| is) happening (?:is|here)\b|\bthis (?:suggests?|indicates?|means?)\b"
 )
-HEDGES = r"(?i)\b(?:maybe|perhaps|might|possibly|probably|not sure|unclear|i wonder|could be|seems)\b"
+#: Words of doubt and new attempts, of cause, of diagnosis, and references to code.
+HEDGES = r"(?i)\bmaybe\b|\bmight\b|\bpossibly\b|\bactually,|\blet me (?:try|step back|reconsider)\b|\banother approach\b"
+CAUSES = r"(?i)\bbecause\b|\bsince\b|\btherefore\b|\bthus\b|\bcaused by\b|\bdue to\b|\bresult of\b"
+DIAGNOSES = r"(?i)\bthe issue is\b|\bthe problem is\b|\broot cause\b|\bthis happens when\b|\bfails? because\b|\berror.{0,20}because\b"
+CODE = r"\.py\b|line \d+|def \w+|class \w+|import \w+"
 LEAST_SIDE = 3
 
 
@@ -51,6 +55,23 @@ def hypothesis_formation(pattern: str = HYPOTHESIS) -> Column:
     return F.try_divide(F.aggregate(r, F.lit(0), lambda a, x: a + F.regexp_count(F.lower(x), F.lit(pattern))).cast("double"), F.size(r).cast("double"))
 
 
+def reasoning_metrics(runs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Matches of each kind for a reasoning step, and characters of reasoning for any step; no row without reasoning."""
+    kinds = {"uncertainty_density": HEDGES, "causal_density": CAUSES, "diagnosis_density": DIAGNOSES, "code_ref_density": CODE}
+    r = _reasoning()
+    count = lambda f: F.aggregate("__r", F.lit(0).cast("long"), lambda a, x: a + f(x))
+    rows = runs.select(*by, F.size("steps").alias("__n"), r.alias("__r"))
+    rows = rows.select(*by, "__n", F.size("__r").alias("__k"), count(F.length).alias("__chars"), *(count(lambda x, p=p: F.regexp_count(x, F.lit(p))).alias(k) for k, p in kinds.items()))
+    sums = rows.groupBy(*by).agg(F.sum("__n").alias("__n"), F.sum("__k").alias("n_reasoning_steps"), F.sum("__chars").alias("__chars"), *(F.sum(k).alias(k) for k in kinds))
+    return sums.where("n_reasoning_steps > 0").select(*by, *((F.col(k) / F.col("n_reasoning_steps")).alias(k) for k in kinds), (F.col("__chars") / F.col("__n")).alias("reasoning_per_step"), "n_reasoning_steps")
+
+
+def test_centroid(names: str = "names") -> Column:
+    """Mean position in 0..1 of tests among labelled steps, without thresholds; null without tests."""
+    at = F.filter(F.transform(names, lambda x, i: F.when(x.startswith("test("), i / F.greatest(F.size(names) - 1, F.lit(1)))), lambda p: p.isNotNull())
+    return F.when(F.size(at) > 0, _mean(at))
+
+
 def edit_dispersion() -> Column:
     files = F.transform(F.filter(F.arrays_zip("names", "name_pos"), lambda z: z["names"].startswith("edit(")), lambda z: F.coalesce(F.get("steps", z["name_pos"])["file_path"], F.lit("")))
     return F.when(F.size(files) >= 2, F.size(F.array_distinct(files)) / F.size(files))

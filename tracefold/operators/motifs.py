@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.functions.stats import adjusted, fisher_exact
 
 
+def _exact_mean(position: Column) -> Column:
+    """Mean, to nine places, that doesn't depend on the order of summation: positions add up as decimals."""
+    return F.round(F.sum(F.round(position, 12).cast("decimal(28,12)")).cast("double") / F.count(F.lit(1)), 9)
+
+
 def grams(runs: DataFrame, least: int = 3, most: int = 5) -> DataFrame:
-    """(run_id, success, pattern, position) of every run of ``least`` to ``most`` labels; position in 0..1."""
+    """Every row of ``runs`` with each distinct pattern of ``least`` to ``most`` labels and the position, in 0..1, where it
+    comes first. Patterns of a run are listed within its row, so nothing is shuffled."""
     n = F.size("names")
-    # an empty list of starts for lengths that don't fit
-    starts = F.flatten(F.transform(F.sequence(F.lit(least), F.lit(most)), lambda k: F.transform(F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.expr("CAST(array() AS array<int>)")), lambda i: F.struct(i.alias("i"), k.alias("k")))))
-    rows = runs.select("run_id", "task_id", "success", "names", F.explode(starts).alias("g"))
-    return rows.select("run_id", "task_id", "success", F.array_join(F.slice("names", F.col("g.i") + 1, F.col("g.k")), " → ").alias("pattern"), (F.col("g.i") / F.greatest(n - 1, F.lit(1))).alias("position"))
+
+    def of_length(k: int) -> Column:
+        starts = F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.expr("CAST(array() AS array<int>)"))
+        return F.transform(starts, lambda i: F.array_join(F.slice("names", i + 1, k), " → "))
+
+    rows = runs.withColumn("__all", F.array(*map(of_length, range(least, most + 1))))
+    firsts = F.flatten(F.transform("__all", lambda ps: F.transform(F.array_distinct(ps), lambda p: F.struct(p.alias("pattern"), (F.array_position(ps, p) - 1).alias("i")))))
+    rows = rows.withColumn("__g", F.explode(firsts))
+    return rows.select(*(c for c in runs.columns if c != "steps"), F.col("__g.pattern").alias("pattern"), (F.col("__g.i") / F.greatest(n - 1, F.lit(1))).alias("position"))
 
 
 def _tested(found: DataFrame, totals: DataFrame, by: tuple[str, ...], min_count: int, q: float) -> DataFrame:
@@ -32,34 +43,64 @@ def _totals(runs: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 def find_motifs(runs: DataFrame, least: int = 3, most: int = 5, min_count: int = 3, q: float = 0.05, by: tuple[str, ...] = ()) -> DataFrame:
     """Patterns whose presence goes with outcome. Presence counts once a run; avg_position is of first
-    occurrences, over all runs. ``by`` stratifies the counts and the adjustment."""
-    first = grams(runs, least, most).groupBy(*by, "run_id", "success", "pattern").agg(F.min("position").alias("position"))
-    found = first.groupBy(*by, "pattern").agg(F.count("success").alias("n_with"), F.count_if(F.col("success")).alias("n_pass"), F.avg("position").alias("avg_position"))
+    occurrences, over all runs. ``by`` stratifies the counts and the adjustment. One shuffle, by pattern."""
+    found = grams(runs, least, most).groupBy(*by, "pattern").agg(F.count("success").alias("n_with"), F.count_if(F.col("success")).alias("n_pass"), _exact_mean(F.col("position")).alias("avg_position"))
     return _tested(found, _totals(runs, by), by, min_count, q)
 
 
-def frequent_labels(runs: DataFrame, min_count: int = 3, share: float = 0.05) -> DataFrame:
-    """Labels that at least ``min_count`` runs and ``share`` of all runs hold."""
-    n = runs.agg(F.count(F.lit(1)).alias("n_runs"))
-    held = runs.select("run_id", F.explode(F.array_distinct("names")).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    return held.crossJoin(F.broadcast(n)).where(F.col("n") >= F.greatest(F.lit(min_count), F.ceil(share * F.col("n_runs")))).select("label")  # one row
+def best_strata(found: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Of each pattern the row of its least adjusted p, where a p of exactly 0 counts as 1; ties by stratum."""
+    q = F.when(F.col("q_value") == 0, 1.0).otherwise(F.coalesce("q_value", F.lit(1.0)))
+    others = [c for c in found.columns if c != "pattern"]
+    return found.groupBy("pattern").agg(F.min_by(F.struct(*others), F.struct(F.round(q, 9), *by)).alias("b")).select("pattern", "b.*")
 
 
-def find_gapped(runs: DataFrame, length: int = 2, min_count: int = 3, q: float = 0.05) -> DataFrame:
+def frequent_labels(runs: DataFrame, min_count: int = 3, share: float = 0.05, by: tuple[str, ...] = ()) -> DataFrame:
+    """Labels that at least ``min_count`` runs and ``share`` of all runs hold, by stratum: at most 1 / share each."""
+    n = runs.groupBy(*by).agg(F.count(F.lit(1)).alias("n_runs"))
+    held = runs.select(*by, F.explode(F.array_distinct("names")).alias("label")).groupBy(*by, "label").agg(F.count(F.lit(1)).alias("n"))
+    both = held.join(F.broadcast(n), list(by)) if by else held.crossJoin(F.broadcast(n))  # one row a stratum
+    return both.where(F.col("n") >= F.greatest(F.lit(min_count), F.ceil(share * F.col("n_runs")))).select(*by, "label")
+
+
+def find_gapped(runs: DataFrame, length: int = 2, min_count: int = 3, q: float = 0.05, by: tuple[str, ...] = ()) -> DataFrame:
     """Ordered pairs or triples of frequent labels with anything between, over runs of known outcome.
 
-    Each run is enumerated by itself (greedy: a pattern is complete at its earliest possible end), so there
-    is no self-join of steps."""
+    Each run lists its patterns within its row (greedy: a pattern is complete at its earliest possible end);
+    only (pattern, outcome, position) is shuffled, once."""
     known = runs.where("success IS NOT NULL")
-    labels = frequent_labels(runs, min_count).agg(F.collect_set("label").alias("frequent"))  # at most 1 / share labels
-    seq = known.crossJoin(F.broadcast(labels)).select("run_id", "success", F.size("names").alias("n"), F.filter(F.transform("names", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda z: F.array_contains("frequent", z["x"])).alias("s"))
-    # earliest position of each label, then of each pair, then of each triple
-    rows = seq.select("run_id", "success", "n", "s", F.explode("s").alias("z")).groupBy("run_id", "success", "n", F.col("z.x").alias("pattern")).agg(F.min("z.i").alias("at"), F.first("s").alias("s"))
+    labels = frequent_labels(known, min_count, by=by).groupBy(*by).agg(F.collect_set("label").alias("frequent"))
+    met = known.join(F.broadcast(labels), list(by)) if by else known.crossJoin(F.broadcast(labels))  # one row a stratum
+    held = F.filter(F.transform("names", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda z: F.array_contains("frequent", z["x"]))
+
+    def onwards(rest: Column) -> Column:
+        """Each label of ``rest`` and its first place there."""
+        return F.transform(F.array_distinct(F.transform(rest, lambda z: z["x"])), lambda x: F.filter(rest, lambda z: z["x"] == x)[0])
+
+    first = lambda: F.transform(onwards(F.col("s")), lambda z: F.struct(z["x"].alias("p"), z["i"].alias("at")))
+    rows = met.select(*by, "success", F.size("names").alias("n"), held.alias("s")).where(F.size("s") > 0).withColumn("f", first())
     for _ in range(length - 1):
-        rows = rows.select("run_id", "success", "n", "s", "pattern", F.explode(F.filter("s", lambda z: z["i"] > F.col("at"))).alias("z"))
-        rows = rows.groupBy("run_id", "success", "n", F.concat("pattern", F.lit(" → ... → "), "z.x").alias("pattern")).agg(F.min("z.i").alias("at"), F.first("s").alias("s"))
-    found = rows.groupBy("pattern").agg(F.count("success").alias("n_with"), F.count_if(F.col("success")).alias("n_pass"), F.avg(F.col("at") / F.greatest(F.col("n") - 1, F.lit(1))).alias("avg_position"))
-    return _tested(found, _totals(known, ()), (), min_count, q)
+        longer = F.flatten(F.transform("f", lambda f: F.transform(onwards(F.filter("s", lambda z: z["i"] > f["at"])), lambda z: F.struct(F.concat(f["p"], F.lit(" → ... → "), z["x"]).alias("p"), z["i"].alias("at")))))
+        rows = rows.withColumn("f", longer)
+    rows = rows.select(*by, "success", "n", F.explode("f").alias("f"))
+    found = rows.groupBy(*by, F.col("f.p").alias("pattern")).agg(F.count("success").alias("n_with"), F.count_if(F.col("success")).alias("n_pass"), _exact_mean(F.col("f.at") / F.greatest(F.col("n") - 1, F.lit(1))).alias("avg_position"))
+    return _tested(found, _totals(known, by), by, min_count, q)
+
+
+def pruned_pairs(pairs: DataFrame, triples: DataFrame) -> DataFrame:
+    """``pairs`` without those that a triple holds in order, with as many runs at least and no greater adjusted p.
+    A triple holds three pairs at most, so the anti-join's right side is linear in triples."""
+    gap = " → ... → "
+    x = F.split("pattern", gap, -1)
+    inside = triples.select(F.explode(F.array(*(F.concat_ws(gap, x[a], x[b]) for a, b in ((0, 1), (0, 2), (1, 2))))).alias("pattern"), F.col("n_with").alias("t_with"), F.col("q_value").alias("t_q"))
+    a, b = pairs.alias("a"), inside.alias("b")
+    return a.join(b, (F.col("a.pattern") == F.col("b.pattern")) & (F.col("b.t_with") >= F.col("a.n_with")) & (F.col("b.t_q") <= F.col("a.q_value")), "left_anti")
+
+
+def all_motifs(contiguous: DataFrame, gapped: DataFrame, base_rate: float) -> DataFrame:
+    """Both kinds in one order: least adjusted p first, then the success rate farthest from ``base_rate``."""
+    both = contiguous.withColumn("kind", F.lit("contiguous")).unionByName(gapped.withColumn("kind", F.lit("gapped")))
+    return both.orderBy("q_value", F.desc(F.abs(F.col("success_rate") - base_rate)), "pattern")
 
 
 def transition_signals(runs: DataFrame, least_raw: int = 10, k: int = 5) -> DataFrame:

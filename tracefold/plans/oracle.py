@@ -66,11 +66,11 @@ sh AS (SELECT feature, b AS baseline, c AS current, c - b AS shift, CASE WHEN fe
   FROM (SELECT feature, max(value) FILTER (WHERE variant = 'a') AS b, max(value) FILTER (WHERE variant = 'b') AS c, max(nr) FILTER (WHERE variant = 'a') AS nb, max(nr) FILTER (WHERE variant = 'b') AS nc FROM beh GROUP BY feature))"""
 
 
-def _motif_rows(found: str, totals: str, by: str = "") -> str:
+def _motif_rows(found: str, totals: str, by: str = "", digits: int = 6) -> str:
     on = f"USING ({by})" if by else "ON true"
     p = _fisher("n_pass", "(n_with - n_pass)", "(ap - n_pass)", "(ak - ap - n_with + n_pass)")
     rows = f"(SELECT {by + ', ' if by else ''}pattern, n_with, n_pass, avg_position, n_pass::DOUBLE / n_with AS success_rate, (n_pass::DOUBLE / n_with) / (ap::DOUBLE / ak) AS lift, {p} AS p_value FROM {found} JOIN {totals} {on} WHERE n_with >= 3 AND ap > 0 AND ap < ak)"
-    return f"SELECT {by + ', ' if by else ''}pattern, n_with, n_pass, round(avg_position, 6) AS avg_position, round(success_rate, 6) AS success_rate, round(lift, 6) AS lift, round(p_value, 6) AS p_value, round(q_value, 6) AS q_value FROM {_adjust(rows, by)}"
+    return f"SELECT {by + ', ' if by else ''}pattern, n_with, n_pass, round(avg_position, {digits}) AS avg_position, round(success_rate, {digits}) AS success_rate, round(lift, {digits}) AS lift, round(p_value, {digits}) AS p_value, round(q_value, {digits}) AS q_value FROM {_adjust(rows, by)}"
 
 
 def _gram(n: int) -> str:
@@ -78,8 +78,9 @@ def _gram(n: int) -> str:
     return f"SELECT g.run_id, r.success, {cols} AS pattern, g.pos::DOUBLE / greatest(r.n - 1, 1) AS p FROM nx g JOIN runs r USING (run_id) WHERE l{n} IS NOT NULL"
 
 
+_MEAN = "round(sum(round({p}, 12)::DECIMAL(28, 12))::DOUBLE / count(*), 9) AS avg_position"
 _NX = "nx AS (SELECT run_id, pos, label, lead(label) OVER w AS l2, lead(label, 2) OVER w AS l3 FROM lab WINDOW w AS (PARTITION BY run_id ORDER BY pos))"
-_FOUND = "(SELECT pattern, count(success) AS n_with, count_if(success) AS n_pass, avg(p) AS avg_position FROM (SELECT run_id, success, pattern, min(p) AS p FROM g GROUP BY ALL) GROUP BY pattern)"
+_FOUND = "(SELECT pattern, count(success) AS n_with, count_if(success) AS n_pass, " + _MEAN.format(p="p") + " FROM (SELECT run_id, success, pattern, min(p) AS p FROM g GROUP BY ALL) GROUP BY pattern)"
 _TOTALS = "(SELECT count(success) AS ak, count_if(success) AS ap FROM runs)"
 _GAPPED = """
 freq AS (SELECT label FROM (SELECT label, count(DISTINCT run_id) AS c FROM lab JOIN runs USING (run_id) WHERE success IS NOT NULL GROUP BY label) WHERE c >= greatest(3, ceil(0.05 * (SELECT count(success) FROM runs)))),
@@ -87,29 +88,88 @@ kn AS (SELECT l.run_id, l.pos, l.label, r.n, r.success FROM lab l JOIN runs r US
 f1 AS (SELECT run_id, n, success, label AS a, min(pos) AS p FROM kn GROUP BY ALL),
 f2 AS (SELECT f1.run_id, f1.n, f1.success, a || ' → ... → ' || label AS a, min(pos) AS p FROM f1 JOIN kn ON f1.run_id = kn.run_id AND kn.pos > f1.p GROUP BY ALL),
 f3 AS (SELECT f2.run_id, f2.n, f2.success, a || ' → ... → ' || label AS a, min(pos) AS p FROM f2 JOIN kn ON f2.run_id = kn.run_id AND kn.pos > f2.p GROUP BY ALL)"""
+_GAPPED_BY = """
+kv AS (SELECT l.run_id, l.pos, l.label, v.variant, v.n, v.success FROM lab l JOIN vars v USING (run_id) WHERE v.success IS NOT NULL),
+freq AS (SELECT variant, label FROM (SELECT variant, label, count(DISTINCT run_id) AS c FROM kv GROUP BY ALL) JOIN (SELECT variant, count(success) AS t FROM vars GROUP BY variant) USING (variant) WHERE c >= greatest(3, ceil(0.05 * t))),
+kn AS (SELECT kv.* FROM kv JOIN freq USING (variant, label)),
+f1 AS (SELECT variant, run_id, n, success, label AS a, min(pos) AS p FROM kn GROUP BY ALL),
+f2 AS (SELECT f1.variant, f1.run_id, f1.n, f1.success, a || ' → ... → ' || label AS a, min(pos) AS p FROM f1 JOIN kn ON f1.run_id = kn.run_id AND kn.pos > f1.p GROUP BY ALL)"""
 _CELLS = "cells AS (SELECT task_id AS group_id, run_id, success, pos AS col, label AS value FROM lab JOIN (SELECT run_id, success FROM runs) USING (run_id))"
 
 
 def _gapped(n: int) -> str:
-    found = f"(SELECT a AS pattern, count(*) AS n_with, count_if(success) AS n_pass, avg(p::DOUBLE / greatest(n - 1, 1)) AS avg_position FROM f{n} GROUP BY a)"
+    found = f"(SELECT a AS pattern, count(*) AS n_with, count_if(success) AS n_pass, {_MEAN.format(p='p::DOUBLE / greatest(n - 1, 1)')} FROM f{n} GROUP BY a)"
     return _with(_motif_rows(found, _TOTALS), _GAPPED)
 
 
-def _divergence() -> str:
-    p = _fisher("p1", "f1", "p2", "f2")
-    more = f"""{_CELLS}, bv AS (SELECT group_id, col, value, count(*) AS n, count_if(success) AS np, count_if(NOT success) AS nf FROM cells GROUP BY ALL),
-cl AS (SELECT group_id, col, count(*) AS n_values, min(n) AS min_branch, -sum(0) AS z, sum(np) AS np, sum(nf) AS nf, count_if(np + nf > 0) AS nk,
-  arg_min(np, value) FILTER (WHERE np + nf > 0) AS p1, arg_min(nf, value) FILTER (WHERE np + nf > 0) AS f1, arg_max(np, value) FILTER (WHERE np + nf > 0) AS p2, arg_max(nf, value) FILTER (WHERE np + nf > 0) AS f2 FROM bv GROUP BY ALL HAVING count(*) >= 2 AND min(n) >= 2),
+def _best(rows: str) -> str:
+    """Of each pattern the row of least q, in which 0 counts as 1; ties by stratum."""
+    cut = ", ".join(f"round({c}, 6) AS {c}" for c in ("avg_position", "success_rate", "lift", "p_value", "q_value"))
+    return f"SELECT variant, pattern, n_with, n_pass, {cut} FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY round(CASE WHEN q_value = 0 THEN 1 ELSE coalesce(q_value, 1) END, 9), variant) AS best FROM ({rows})) WHERE best = 1"
+
+
+def _pruned() -> str:
+    found = lambda n: f"(SELECT a AS pattern, count(*) AS n_with, count_if(success) AS n_pass, 0 AS avg_position FROM f{n} GROUP BY a)"
+    more = f"{_GAPPED}, p2 AS ({_motif_rows(found(2), _TOTALS, digits=9)}), p3 AS (SELECT *, string_split(pattern, ' → ... → ') AS x FROM ({_motif_rows(found(3), _TOTALS, digits=9)}))"
+    return _with("SELECT pattern, n_with, n_pass, round(p_value, 6) AS p_value, round(q_value, 6) AS q_value FROM p2 WHERE NOT EXISTS (SELECT 1 FROM p3 WHERE p3.n_with >= p2.n_with AND p3.q_value <= p2.q_value AND p2.pattern IN (x[1] || ' → ... → ' || x[2], x[1] || ' → ... → ' || x[3], x[2] || ' → ... → ' || x[3]))", more)
+
+
+_ROOT_PI = "sqrt(pi())"
+
+
+def _erfc(a: str) -> str:
+    """For a of 0 or more: the series within 3, the continued fraction beyond."""
+    series = f"1 - 2 / {_ROOT_PI} * list_sum(list_transform(range(0, 61), lambda n: power(-1, n) * power({a}, 2 * n + 1) / (gamma(n + 1) * (2 * n + 1))))"
+    tail = f"list_reduce(list_concat([{a}::DOUBLE], list_transform(range(60, 0, -1), lambda k: k::DOUBLE)), lambda f, k: {a} + k / 2 / f)"
+    return f"CASE WHEN {a} < 3 THEN {series} ELSE exp(-{a} * {a}) / {_ROOT_PI} / ({tail}) END"
+
+
+_POINTS = f"""{_CELLS}, bv AS (SELECT group_id, col, value, count(*) AS n, count_if(success) AS np, count_if(NOT success) AS nf FROM cells GROUP BY ALL),
+cl AS (SELECT group_id, col, count(*) AS n_values, min(n) AS min_branch, sum(np) AS np, sum(nf) AS nf, count_if(np + nf > 0) AS nk, arg_min(np, value) AS p1, arg_min(nf, value) AS f1, arg_max(np, value) AS p2, arg_max(nf, value) AS f2 FROM bv GROUP BY ALL HAVING count(*) >= 2 AND min(n) >= 2),
+ch AS (SELECT group_id, col, sum(CASE WHEN tp > 0 THEN power(np - n1 * tp / (tp + tf), 2) / (n1 * tp / (tp + tf)) ELSE 0 END + CASE WHEN tf > 0 THEN power(nf - n1 * tf / (tp + tf), 2) / (n1 * tf / (tp + tf)) ELSE 0 END) AS chi
+  FROM (SELECT bv.*, (bv.np + bv.nf)::DOUBLE AS n1, cl.np::DOUBLE AS tp, cl.nf::DOUBLE AS tf FROM bv JOIN cl USING (group_id, col)) WHERE np + nf > 0 GROUP BY ALL),
+zs AS (SELECT *, (power(chi / df, 1.0::DOUBLE / 3) - 1 + 2 / (9 * df)) / sqrt(2 / (9 * df)) / sqrt(2) AS z FROM (SELECT cl.*, coalesce(chi, 0)::DOUBLE AS chi, (nk - 1)::DOUBLE AS df FROM cl LEFT JOIN ch USING (group_id, col))),
+tl AS (SELECT group_id, col, CASE WHEN df <= 0 OR chi <= 0 THEN 1.0 WHEN z < 0 THEN 0.5 * (2 - ({_erfc("(-z)")})) ELSE 0.5 * ({_erfc("z")}) END AS p_chi FROM zs),
 en AS (SELECT group_id, col, -sum(n / t * log2(n / t)) AS entropy FROM (SELECT group_id, col, n, sum(n) OVER (PARTITION BY group_id, col) AS t FROM bv) GROUP BY ALL)"""
-    rows = f"(SELECT group_id, col, n_values, min_branch, entropy, CASE WHEN np + nf >= 4 AND np > 0 AND nf > 0 AND nk = 2 THEN {p} END AS p_value FROM cl JOIN en USING (group_id, col))"
-    return _with(f"SELECT group_id, col, n_values, min_branch, round(entropy, 6) AS entropy, round(p_value, 6) AS p_value, round(q_value, 6) AS q_value FROM {_adjust(rows, 'group_id')}", more)
+_TESTED = f"(SELECT group_id, col, n_values, min_branch, entropy, CASE WHEN np + nf >= 4 AND np > 0 AND nf > 0 THEN CASE WHEN n_values = 2 THEN {_fisher('p1', 'f1', 'p2', 'f2')} ELSE p_chi END END AS p_value FROM cl JOIN en USING (group_id, col) JOIN tl USING (group_id, col))"
+
+
+def _divergence() -> str:
+    return _with(f"SELECT group_id, col, n_values, min_branch, round(entropy, 6) AS entropy, round(p_value, 6) AS p_value, round(q_value, 6) AS q_value FROM {_adjust(_TESTED, 'group_id')}", _POINTS)
+
+
+def _population() -> str:
+    more = f"""{_POINTS}, pt AS (SELECT group_id, col, p_value, q_value FROM {_adjust(_TESTED, 'group_id')} WHERE q_value IS NOT NULL),
+br AS (SELECT group_id, col, value, avg(success::INT) AS rate, count(*) AS n, min(run_id) FILTER (WHERE success) AS pr, min(run_id) FILTER (WHERE NOT success) AS fr FROM cells JOIN pt USING (group_id, col) GROUP BY ALL HAVING count(success) > 0),
+rk AS (SELECT *, row_number() OVER (PARTITION BY group_id, col ORDER BY rate DESC, value) AS best, row_number() OVER (PARTITION BY group_id, col ORDER BY rate, value) AS worst FROM br),
+pp AS (SELECT b.group_id, b.col, b.pr AS pass_run, w.fr AS fail_run, b.value AS preferred, w.value AS dispreferred, b.rate AS preferred_rate, w.rate AS dispreferred_rate, b.n AS n_preferred, w.n AS n_dispreferred FROM rk b JOIN rk w ON b.group_id = w.group_id AND b.col = w.col AND b.best = 1 AND w.worst = 1 WHERE b.rate - w.rate >= 0.15 AND b.pr IS NOT NULL AND w.fr IS NOT NULL),
+cx AS (SELECT pp.group_id, pp.col, string_agg(c.value, ' → ' ORDER BY c.col) AS context FROM pp JOIN cells c ON c.group_id = pp.group_id AND c.run_id = pp.pass_run AND c.col < pp.col AND c.col >= pp.col - 5 GROUP BY ALL)"""
+    return _with("SELECT pp.group_id, pp.col, pass_run, fail_run, preferred, dispreferred, round(preferred_rate, 6) AS preferred_rate, round(dispreferred_rate, 6) AS dispreferred_rate, n_preferred, n_dispreferred, round(p_value, 6) AS p_value, round(q_value, 6) AS q_value, coalesce(context, '') AS context FROM pp JOIN pt USING (group_id, col) LEFT JOIN cx USING (group_id, col)", more)
+
+
+#: The definitions' own patterns.
+_KINDS = {
+    "uncertainty_density": r"(?i)\bmaybe\b|\bmight\b|\bpossibly\b|\bactually,|\blet me (?:try|step back|reconsider)\b|\banother approach\b",
+    "causal_density": r"(?i)\bbecause\b|\bsince\b|\btherefore\b|\bthus\b|\bcaused by\b|\bdue to\b|\bresult of\b",
+    "diagnosis_density": r"(?i)\bthe issue is\b|\bthe problem is\b|\broot cause\b|\bthis happens when\b|\bfails? because\b|\berror.{0,20}because\b",
+    "code_ref_density": r"\.py\b|line \d+|def \w+|class \w+|import \w+",
+}
+_HYPOTHESIS = (
+    r"\bi think (?:the|this|it)\b|\bthe (?:root )?cause (?:is|might be|could be|seems)\b|\bthis (?:fails?|errors?|breaks?) because\b"
+    r"|\bthe (?:issue|problem|bug|error) (?:is|seems|appears|might be)\b|\bmy (?:hypothesis|theory|guess)\b|\bi (?:suspect|believe|hypothesize)\b"
+    r"|\bthis (?:is likely|is probably|seems to be|appears to be)\b|\bthe reason (?:is|for)\b|\bwhat(?:'s| is) happening (?:is|here)\b|\bthis (?:suggests?|indicates?|means?)\b"
+)
+
+
+def _hits(pattern: str, text: str = "text") -> str:
+    return f"len(regexp_extract_all({text}, '{pattern.replace(chr(39), chr(39) * 2)}'))"
 
 
 def _activity() -> str:
     p = _fisher("ap", "af", "gp", "gf")
     more = f"{_CELLS}, ac AS (SELECT group_id, col, count_if(success) AS ap, count_if(NOT success) AS af FROM cells GROUP BY ALL), tt AS (SELECT task_id AS group_id, count_if(success) AS np, count_if(NOT success) AS nf FROM runs GROUP BY ALL), x AS (SELECT group_id, col, ap, af, np - ap AS gp, nf - af AS gf FROM ac JOIN tt USING (group_id))"
     rows = f"(SELECT *, {p} AS p_value FROM x WHERE ap + af > 0 AND gp + gf > 0)"
-    return _with(f"SELECT group_id, col, ap, af, gp, gf, round(ap::DOUBLE / (ap + af) - gp::DOUBLE / (gp + gf), 6) AS direction, round(p_value, 6) AS p_value, round(q_value, 6) AS q_value FROM {_adjust(rows, 'group_id')}", more)
+    return _with(f"SELECT group_id, col, ap, af, gp, gf, round(CASE WHEN ap + gp > 0 THEN ap::DOUBLE / (ap + gp) ELSE 0 END - CASE WHEN af + gf > 0 THEN af::DOUBLE / (af + gf) ELSE 0 END, 6) AS direction, round(p_value, 6) AS p_value, round(q_value, 6) AS q_value FROM {_adjust(rows, 'group_id')}", more)
 
 
 def _ranked() -> str:
@@ -153,9 +213,23 @@ UNION ALL SELECT 'tool_trouble', 0.3, (SELECT sum(CASE WHEN shift > 0 THEN abs(e
 UNION ALL SELECT '_unknown', 1.0 / 3, (SELECT coalesce(sum(abs(effect_size)), 0) FROM sh WHERE feature NOT IN ('TEST_AFTER_EDIT_RATE', 'ITERATIVE_FIX_RATE', 'TOOL_TIMEOUT_ERROR_RATE', 'STEP_FAILURE_RATE') AND abs(effect_size) > 0.1)))""", _NEXT + ", " + _SHIFTS),
     "exclusive_signatures": _with("SELECT signature, max(c) AS n, max(variant) AS side FROM (SELECT signature, variant, count(*) AS c FROM sig JOIN vars USING (run_id) GROUP BY ALL) GROUP BY signature HAVING count(*) = 1", _SIG),
     "contiguous_motifs": _with(_motif_rows(_FOUND, _TOTALS), f"{_NX}, g AS ({_gram(2)} UNION ALL {_gram(3)})"),
-    "stratified_motifs": _with(_motif_rows(
-        "(SELECT task_id, pattern, count(success) AS n_with, count_if(success) AS n_pass, avg(p) AS avg_position FROM (SELECT g.run_id, v.variant AS task_id, g.success, pattern, min(p) AS p FROM g JOIN vars v USING (run_id) GROUP BY ALL) GROUP BY ALL)",
-        "(SELECT variant AS task_id, count(success) AS ak, count_if(success) AS ap FROM vars GROUP BY variant)", "task_id"), f"{_NX}, g AS ({_gram(2)})"),
+    "stratified_motifs": _with(_best(_motif_rows(
+        f"(SELECT variant, pattern, count(success) AS n_with, count_if(success) AS n_pass, {_MEAN.format(p='p')} FROM (SELECT g.run_id, v.variant, g.success, pattern, min(p) AS p FROM g JOIN vars v USING (run_id) GROUP BY ALL) GROUP BY ALL)",
+        "(SELECT variant, count(success) AS ak, count_if(success) AS ap FROM vars GROUP BY variant)", "variant", 12)), f"{_NX}, g AS ({_gram(2)})"),
+    "stratified_gapped": _with(_best(_motif_rows(
+        f"(SELECT variant, a AS pattern, count(*) AS n_with, count_if(success) AS n_pass, {_MEAN.format(p='p::DOUBLE / greatest(n - 1, 1)')} FROM f2 GROUP BY ALL)",
+        "(SELECT variant, count(success) AS ak, count_if(success) AS ap FROM vars GROUP BY variant)", "variant", 12)), _GAPPED_BY),
+    "pruned_gapped_pairs": _pruned(),
+    "effect_magnitudes": _with("SELECT feature, CASE WHEN abs(effect_size) < 0.2 THEN 'negligible' WHEN abs(effect_size) < 0.5 THEN 'small' WHEN abs(effect_size) < 0.8 THEN 'medium' ELSE 'large' END AS magnitude FROM sh", _NEXT + ", " + _SHIFTS),
+    "available_values": _with("SELECT 'variant' AS field, variant AS value, count(*) AS n FROM vars GROUP BY ALL UNION ALL SELECT 'task_id', task_id, count(*) FROM vars GROUP BY ALL"),
+    "tagged_runs": _with("SELECT run_id, n AS n_steps FROM vars WHERE task_id = '3' AND variant = 'a' AND n >= 3"),
+    "phase_summaries": _with("SELECT variant, sum(n)::BIGINT AS n_steps, string_agg(phase || ' ' || round(100.0::DOUBLE * n / t)::INT || '%', ', ' ORDER BY n DESC, phase) AS summary FROM (SELECT variant, phase, count(*) AS n, sum(count(*)) OVER (PARTITION BY variant) AS t FROM lab JOIN vars USING (run_id) GROUP BY variant, phase) GROUP BY variant"),
+    "signature_stats": _with("""SELECT task_id, sum(c)::BIGINT AS n_runs, round(sum(p) / sum(k), 6) AS success_rate, round(sum(s) / sum(c), 6) AS avg_steps, arg_min(signature, (-c, signature)) AS prototype
+FROM (SELECT task_id, signature, count(*) AS c, count(success) AS k, count_if(success) AS p, sum(n) AS s FROM vars JOIN sig USING (run_id) GROUP BY ALL) GROUP BY task_id""", _SIG),
+    "test_centroids": _with("SELECT run_id, round(v, 6) AS centroid FROM runs LEFT JOIN (SELECT run_id, avg(pos::DOUBLE / greatest(n - 1, 1)) AS v FROM lab JOIN (SELECT run_id, n FROM runs) USING (run_id) WHERE label LIKE 'test(%' GROUP BY run_id) USING (run_id)"),
+    "reasoning_metrics": f"SELECT {', '.join(f'round(sum({_hits(p)}) FILTER (WHERE said)::DOUBLE / count_if(said), 6) AS {k}' for k, p in _KINDS.items())}, round((sum(length(text)) FILTER (WHERE said))::DOUBLE / count(*), 6) AS reasoning_per_step, count_if(said) AS n_reasoning_steps FROM (SELECT text, role = 'assistant' AND coalesce(text, '') <> '' AS said FROM conversations) HAVING count_if(said) > 0",
+    "reasoning_features": f"SELECT conv_id::VARCHAR AS run_id, round(sum(({_hits(_KINDS['uncertainty_density'])} > 0)::INT) FILTER (WHERE said)::DOUBLE / count_if(said), 6) AS uncertainty_density, round(sum({_hits(_HYPOTHESIS, 'lower(text)')}) FILTER (WHERE said)::DOUBLE / count_if(said), 6) AS reasoning_hypothesis_formation FROM (SELECT conv_id, text, role = 'assistant' AND coalesce(text, '') <> '' AS said FROM conversations) GROUP BY conv_id",
+    "population_pairs": _population(),
     "gapped_pairs": _gapped(2),
     "gapped_triples": _gapped(3),
     "transition_signals": _with("""SELECT pair, n_raw, round(a, 6) AS pass_rate, round(b, 6) AS fail_rate, round(a - b, 6) AS delta FROM (SELECT pair, sum(c)::BIGINT AS n_raw, coalesce(avg(c / greatest(1, n - 1)) FILTER (WHERE success), 0) AS a, coalesce(avg(c / greatest(1, n - 1)) FILTER (WHERE NOT success), 0) AS b FROM

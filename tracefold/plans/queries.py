@@ -109,7 +109,7 @@ def cohort_behaviours(spark, d):
 
 
 def variant_shifts(spark, d):
-    return _round(cohorts.variant_shifts(_variants(spark, d), "variant", "a", "b"), "baseline", "current", "shift", "effect_size", "ci_low", "ci_high")
+    return _round(cohorts.variant_shifts(_variants(spark, d), "variant", "a", "b").drop("magnitude"), "baseline", "current", "shift", "effect_size", "ci_low", "ci_high")
 
 
 def task_breakdown(spark, d):
@@ -120,6 +120,47 @@ def cause_scores(spark, d):
     return _round(cohorts.score_causes(cohorts.variant_shifts(_variants(spark, d), "variant", "a", "b"), CAUSES), "evidence", "score")
 
 
+def cause_intervals(spark, d):
+    return _round(cohorts.bootstrap_confidence(_variants(spark, d), "variant", "a", "b", CAUSES), "evidence", "score", "ci_lower", "ci_upper")
+
+
+def effect_magnitudes(spark, d):
+    return cohorts.variant_shifts(_variants(spark, d), "variant", "a", "b").select("feature", "magnitude")
+
+
+def available_values(spark, d):
+    return cohorts.available_values(_variants(spark, d), ("variant", "task_id", "model"))
+
+
+def tagged_runs(spark, d):
+    """Runs by key=value: a field, and a boolean tag that reads as text."""
+    tag = F.create_map(F.lit("long"), (F.size("steps") >= 3).cast("string"), F.lit("cohort"), F.col("variant"))
+    runs = cohorts.apply_filters(_variants(spark, d).withColumn("tags", tag).drop("variant"), ["task_id=1", "task_id=3", "long=True", "cohort=a", "name_unset="])
+    return runs.select("run_id", F.size("steps").cast("long").alias("n_steps"))
+
+
+def phase_summaries(spark, d):
+    return cohorts.phase_summary(_variants(spark, d), ("variant",)).select("variant", F.col("n_steps").cast("long").alias("n_steps"), "summary")
+
+
+def signature_stats(spark, d):
+    return _round(cohorts.cluster_stats(_variants(spark, d), "task_id"), "success_rate", "avg_steps")
+
+
+def test_centroids(spark, d):
+    return _round(_runs(spark, d).select("run_id", features.test_centroid().alias("centroid")), "centroid")
+
+
+def reasoning_metrics(spark, d):
+    runs = conversations_as_runs(spark.read.parquet(f"{d}/conversations.parquet"))
+    return _round(features.reasoning_metrics(runs, ()), "uncertainty_density", "causal_density", "diagnosis_density", "code_ref_density", "reasoning_per_step")
+
+
+def reasoning_features(spark, d):
+    runs = conversations_as_runs(spark.read.parquet(f"{d}/conversations.parquet"))
+    return _round(runs.select("run_id", features.uncertainty_density().alias("uncertainty_density"), features.hypothesis_formation().alias("reasoning_hypothesis_formation")), "uncertainty_density", "reasoning_hypothesis_formation")
+
+
 def exclusive_signatures(spark, d):
     v = _variants(spark, d)
     return cohorts.exclusive_signatures(v.where("variant = 'a'"), v.where("variant = 'b'"))
@@ -130,14 +171,25 @@ def contiguous_motifs(spark, d):
 
 
 def stratified_motifs(spark, d):
-    by_variant = motifs.find_motifs(_variants(spark, d).withColumn("task_id", F.col("variant")), 2, 2, q=1.0, by=("task_id",))
-    return _round(by_variant, "avg_position", "success_rate", "lift", "p_value", "q_value")
+    by_variant = motifs.find_motifs(_variants(spark, d), 2, 2, q=1.0, by=("variant",))
+    return _round(motifs.best_strata(by_variant, ("variant",)), "avg_position", "success_rate", "lift", "p_value", "q_value")
 
 
 def gapped_pairs(spark, d):
     return _round(motifs.find_gapped(_runs(spark, d), 2, q=1.0), "avg_position", "success_rate", "lift", "p_value", "q_value")
 
 
+def stratified_gapped(spark, d):
+    by_variant = motifs.find_gapped(_variants(spark, d), 2, q=1.0, by=("variant",))
+    return _round(motifs.best_strata(by_variant, ("variant",)), "avg_position", "success_rate", "lift", "p_value", "q_value")
+
+
+def pruned_gapped_pairs(spark, d):
+    runs = _runs(spark, d)
+    kept = motifs.pruned_pairs(motifs.find_gapped(runs, 2, q=1.0), motifs.find_gapped(runs, 3, q=1.0))
+    return _round(kept.select("pattern", "n_with", "n_pass", "p_value", "q_value"), "p_value", "q_value")
+
+
 def gapped_triples(spark, d):
     return _round(motifs.find_gapped(_runs(spark, d), 3, q=1.0), "avg_position", "success_rate", "lift", "p_value", "q_value")
 
@@ -150,6 +202,11 @@ def divergence_points(spark, d):
     return _round(divergence.divergence_points(divergence.position_cells(_runs(spark, d)), q=1.0), "entropy", "p_value", "q_value").select(F.col("group_id"), F.col("col").cast("long").alias("col"), F.col("n_values").cast("long").alias("n_values"), "min_branch", "entropy", "p_value", "q_value")
 
 
+def population_pairs(spark, d):
+    cells = divergence.position_cells(_runs(spark, d))
+    return _round(divergence.population_pairs(cells, q=1.0), "preferred_rate", "dispreferred_rate", "p_value", "q_value").withColumn("col", F.col("col").cast("long"))
+
+
 def position_consensus(spark, d):
     return divergence.consensus(divergence.position_cells(_runs(spark, d))).select("group_id", F.col("col").cast("long").alias("col"), "value")
 
@@ -177,15 +234,15 @@ def preference_candidates(spark, d):
 
 
 def preference_pairs(spark, d):
-    return _round(preferences.preference_pairs(_runs(spark, d)), "position")
+    return _round(preferences.preference_pairs(_runs(spark, d), min_content=0), "position")
 
 
 def preference_jsonl(spark, d):
-    return preferences.as_dpo(preferences.preference_pairs(_runs(spark, d)))
+    return preferences.as_dpo(preferences.preference_pairs(_runs(spark, d), min_content=0))
 
 
 def preference_topics(spark, d):
-    return preferences.cluster_pairs(preferences.preference_pairs(_runs(spark, d))).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+    return preferences.cluster_pairs(preferences.preference_pairs(_runs(spark, d), min_content=0)).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
 
 
 def alignment_distances(spark, d):
@@ -218,7 +275,8 @@ def motif_permutation_fdr(spark, d):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     rank_features, enriched_steps, compressed_runs, run_signatures, run_summary, top_signatures, phase_counts, task_groups, mixed_tasks_unknown_fails, filtered_runs, first_runs,
-    run_features, experiment_features, exemplar_tasks, feature_deltas, cohort_behaviours, variant_shifts, task_breakdown, cause_scores, exclusive_signatures, contiguous_motifs, stratified_motifs, gapped_pairs,
+    run_features, experiment_features, exemplar_tasks, feature_deltas, cohort_behaviours, variant_shifts, task_breakdown, cause_scores, cause_intervals, effect_magnitudes, available_values, tagged_runs, phase_summaries, signature_stats, test_centroids, reasoning_metrics, reasoning_features,
+    exclusive_signatures, contiguous_motifs, stratified_motifs, stratified_gapped, gapped_pairs, pruned_gapped_pairs, population_pairs,
     gapped_triples, transition_signals, divergence_points, position_consensus, column_activity, adjusted_p, reasoning_density, preference_candidates, preference_pairs,
     preference_jsonl, preference_topics, alignment_distances, multiple_alignment, aligned_divergence, run_clusters, cluster_splits, run_concordance, motif_permutation_fdr,
 )}

@@ -1,7 +1,7 @@
 """Runs from JSON files and from event tables.
 
 The canonical form is one row a run: run_id, task_id, success (three-valued) and ``steps``, an array of
-structs in order (pos, type, name, status, file_path, pattern, command, reasoning). A run's steps stay in
+structs in order (pos, type, name, status, file_path, pattern, command, reasoning, action, result). A run's steps stay in
 one row, so every per-run operator is a narrow expression and only grouping by task shuffles.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-STEP = "pos int, type string, name string, status string, file_path string, pattern string, command string, reasoning string"
+STEP = "pos int, type string, name string, status string, file_path string, pattern string, command string, reasoning string, action string, result string"
 #: Known step types and their aliases.
 KNOWN_TYPES = ("llm", "tool", "system", "memory", "compaction", "judge", "error", "handoff")
 TYPE_ALIASES = {"assistant": "llm", "completion": "llm", "function_call": "tool", "retrieval": "tool", "compress": "compaction", "critic": "judge"}
@@ -36,7 +36,8 @@ def events_as_runs(events: DataFrame, grain: str = "day") -> DataFrame:
     last = F.element_at("e", -1)["value"]
     steps = F.transform("e", lambda e, i: F.struct(
         i.cast("int").alias("pos"), F.lit("tool").alias("type"), e["name"].alias("name"), e["status"].alias("status"),
-        e["file_path"].alias("file_path"), e["pattern"].alias("pattern"), e["command"].alias("command"), F.lit(None).cast("string").alias("reasoning"),
+        e["file_path"].alias("file_path"), e["pattern"].alias("pattern"), e["command"].alias("command"),
+        *(F.lit(None).cast("string").alias(c) for c in ("reasoning", "action", "result")),
     ))
     return ordered.select("run_id", "task_id", F.when(last >= 10, last < 60).alias("success"), steps.alias("steps"))
 
@@ -49,6 +50,7 @@ def conversations_as_runs(conversations: DataFrame) -> DataFrame:
     steps = F.transform("t", lambda t, i: F.struct(
         i.cast("int").alias("pos"), t["type"].alias("type"), t["role"].alias("name"), F.lit("ok").alias("status"),
         *(F.lit(None).cast("string").alias(c) for c in ("file_path", "pattern", "command")), F.when(t["role"] == "assistant", t["text"]).alias("reasoning"),
+        *(F.lit(None).cast("string").alias(c) for c in ("action", "result")),
     ))
     return grouped.select(F.col("conv_id").cast("string").alias("run_id"), F.lit("all").alias("task_id"), F.lit(None).cast("boolean").alias("success"), steps.alias("steps"))
 
@@ -78,11 +80,13 @@ def load_runs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         F.coalesce(F.try_variant_get(v, "$.idx", "int"), i).cast("int").alias("idx"), i.cast("int").alias("at"),
         normal_type(F.coalesce(step(v, "$.type"), F.lit("other"))).alias("type"), F.coalesce(step(v, "$.name"), F.lit("unnamed")).alias("name"),
         F.coalesce(step(v, "$.status"), F.lit("ok")).alias("status"), *(step(v, f"$.attrs.{c}").alias(c) for c in ("file_path", "pattern", "command")),
-        step(v, "$.output.reasoning").alias("reasoning"),
+        step(v, "$.output.reasoning").alias("reasoning"), step(v, "$.output.action").alias("action"),
+        F.coalesce(F.nullif(step(v, "$.output.result"), F.lit("")), step(v, "$.output.observation")).alias("result"),
     ))
-    ordered = F.transform(F.array_sort(steps), lambda s, i: F.struct(i.cast("int").alias("pos"), *(s[c].alias(c) for c in ("type", "name", "status", "file_path", "pattern", "command", "reasoning"))))
+    ordered = F.transform(F.array_sort(steps), lambda s, i: F.struct(i.cast("int").alias("pos"), *(s[c].alias(c) for c in ("type", "name", "status", "file_path", "pattern", "command", "reasoning", "action", "result"))))
     runs = good.select(
         get("$.run_id").alias("run_id"), get("$.task_id").alias("task_id"), *(get(f"$.{c}").alias(c) for c in ("task_family", "agent", "model", "harness", "timestamp")),
+        get("$.tags", "map<string,string>").alias("tags"),
         get("$.result.success", "boolean").alias("success"), get("$.result.score", "double").alias("score"), get("$.result.error_type").alias("error_type"),
         ordered.alias("steps"), F.split("path", "/").alias("order"),
     )

@@ -45,7 +45,8 @@ def transcripts_as_runs(rows: DataFrame, insert_is: str = "edit") -> DataFrame:
         name = step_name(x["c"]["name"], sub, insert_is)
         return F.struct(
             i.cast("int").alias("pos"), F.when(name == "reason", "llm").otherwise("tool").alias("type"), name.alias("name"), result_status(result).alias("status"), path.alias("file_path"),
-            F.get_json_object(said, "$.pattern").alias("pattern"), F.when(name == "bash", sub).alias("command"), F.when(F.trim(x["why"]) != "", F.substring(x["why"], 1, KEEP_CHARS)).alias("reasoning"))
+            F.get_json_object(said, "$.pattern").alias("pattern"), F.when(name == "bash", sub).alias("command"), F.when(F.trim(x["why"]) != "", F.substring(x["why"], 1, KEEP_CHARS)).alias("reasoning"),
+            said.alias("action"), F.substring(result, 1, KEEP_CHARS).alias("result"))
 
     return found.select("run_id", "task_id", "success", F.transform(calls, step).alias("steps"))
 
