@@ -234,3 +234,24 @@ def test_bootstrap_encloses_the_score(spark):
     got = {x.cause_id: x for x in cohorts.bootstrap_confidence(runs, "variant", "a", "b", causes, rounds=60).collect()}
     assert all(x.ci_lower <= x.score <= x.ci_upper for x in got.values()) and got["x"].ci_lower > got["y"].ci_upper and got["x"].ci_upper - got["x"].ci_lower > 0.01
     assert all(x.ci_lower is None for x in cohorts.bootstrap_confidence(runs, "variant", "a", "b", causes, rounds=10).collect())
+
+
+def test_logs_and_transcripts(spark):
+    from tracefold.sources.tool_logs import compliance, trials_as_runs
+
+    block = lambda kind, **x: json.dumps({"type": kind[0], "message": {"content": [{"type": kind[1], **x}]}})
+    ai, user = "assistant", "user"
+    transcript = "\n".join([
+        block((ai, "text"), text="look"), block((ai, "tool_use"), name="Read", id="1", input={"file_path": "a.py"}), block((user, "tool_result"), tool_use_id="1", content="x = 1"),
+        block((ai, "text"), text="said"), block((ai, "thinking"), thinking="thought"), block((ai, "tool_use"), name="Bash", id="2", input={}), "not json",
+        block((ai, "tool_use"), name="Edit", id="3", input={}), block((user, "tool_result"), tool_use_id="3", content="never merged"),
+    ])
+    log = "start\n[tool] Read a.py\n  [tool] Bash: cd x && pytest -q\n[tool] Write test_b.py\n[tool] Custom Thing here\n[tool] TodoWrite\n[tool] Edit b.py\n[tool] Bash: go test\n[tool] Edit c.py\n[result] 9 turns"
+    frame = spark.createDataFrame([("r", "django-12", True, log, transcript), ("s", "plain", None, None, None)], "run_id string, task_id string, success boolean, log string, transcript string")
+    got = {r.run_id: r for r in trials_as_runs(frame).collect()}
+    steps = got["r"].steps
+    assert [(s.type, s.name) for s in steps] == [("tool", "read"), ("tool", "test"), ("tool", "write"), ("tool", "custom_thing_here"), ("system", "plan"), ("tool", "edit"), ("tool", "test"), ("tool", "edit"), ("system", "result")]
+    assert (steps[0].file_path, steps[0].reasoning, steps[0].result) == ("a.py", "look", "x = 1") and steps[1].reasoning == "thought" and steps[2].result is None and steps[8].result == "9 turns"
+    assert got["r"].task_family == "django" and got["s"].task_family == "plain" and got["s"].steps == []
+    measured = {r.run_id: (r.source_edits, r.tested_edits, r.compliance_rate) for r in compliance(frame.withColumn("log", F.coalesce("log", F.lit("")))).collect()}
+    assert measured == {"r": (2, 1, 0.5), "s": (0, 0, None)}

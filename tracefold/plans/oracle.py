@@ -119,8 +119,8 @@ _ROOT_PI = "sqrt(pi())"
 
 def _erfc(a: str) -> str:
     """For a of 0 or more: the series within 3, the continued fraction beyond."""
-    series = f"1 - 2 / {_ROOT_PI} * list_sum(list_transform(range(0, 61), lambda n: power(-1, n) * power({a}, 2 * n + 1) / (gamma(n + 1) * (2 * n + 1))))"
-    tail = f"list_reduce(list_concat([{a}::DOUBLE], list_transform(range(60, 0, -1), lambda k: k::DOUBLE)), lambda f, k: {a} + k / 2 / f)"
+    series = f"1 - 2 / {_ROOT_PI} * list_sum(list_transform(range(0, 61), lambda i_: power(-1, i_) * power({a}, 2 * i_ + 1) / (gamma(i_ + 1) * (2 * i_ + 1))))"
+    tail = f"list_reduce(list_concat([{a}::DOUBLE], list_transform(range(60, 0, -1), lambda i_: i_::DOUBLE)), lambda f_, i_: {a} + i_ / 2 / f_)"
     return f"CASE WHEN {a} < 3 THEN {series} ELSE exp(-{a} * {a}) / {_ROOT_PI} / ({tail}) END"
 
 
@@ -188,6 +188,11 @@ ef AS (SELECT l.run_id, any_value(r.task_id) AS task_id, any_value(r.success) AS
 seg AS (SELECT run_id, label, sum((label LIKE 'edit%')::INT) OVER (PARTITION BY run_id ORDER BY pos) AS g FROM lab),
 lp AS (SELECT run_id, max(c) >= 3 AS test_fail_loop FROM (SELECT run_id, g, count_if(label = 'test(fail)') AS c FROM seg GROUP BY ALL) GROUP BY run_id)"""
 
+_FILES = "fs AS (SELECT *, CASE k % 4 WHEN 0 THEN 'mod_' || k || '.py' WHEN 1 THEN 'test_' || k || '.py' WHEN 2 THEN k || '.md' ELSE 'cfg.json' END AS file FROM steps)"
+_COMPLY = """
+nl AS (SELECT run_id, name, k, lead(name = 'test' OR (name = 'bash' AND k % 5 = 3)) OVER (PARTITION BY run_id ORDER BY pos) AS nt FROM steps),
+cm AS (SELECT run_id, count_if(name = 'edit' AND k % 4 <> 1) AS e, count_if(name = 'edit' AND k % 4 <> 1 AND coalesce(nt, false)) AS t FROM nl GROUP BY run_id)"""
+
 ORACLE: dict[str, str] = {
     "experiment_features": _with("SELECT run_id, n_labels, round(exploration_ratio, 6) AS exploration_ratio, round(edit_density, 6) AS edit_density, round(bash_ratio, 6) AS bash_ratio, round(late_test_ratio, 6) AS late_test_ratio, test_fail_loop, files_read, files_edited FROM ef JOIN lp USING (run_id)", _EXPERIMENT),
     "exemplar_tasks": _with("SELECT task_id, round(a, 6) AS pass_mean, round(b, 6) AS fail_mean, n_pass, n_fail, round(abs(a - b), 6) AS gap FROM (SELECT task_id, avg(exploration_ratio) FILTER (WHERE success) AS a, avg(exploration_ratio) FILTER (WHERE NOT success) AS b, count_if(success) AS n_pass, count_if(NOT success) AS n_fail FROM ef GROUP BY task_id) WHERE n_pass >= 3 AND n_fail >= 3 AND abs(a - b) >= 0.05 ORDER BY abs(a - b) DESC, task_id LIMIT 10", _EXPERIMENT),
@@ -230,6 +235,14 @@ FROM (SELECT task_id, signature, count(*) AS c, count(success) AS k, count_if(su
     "reasoning_metrics": f"SELECT {', '.join(f'round(sum({_hits(p)}) FILTER (WHERE said)::DOUBLE / count_if(said), 6) AS {k}' for k, p in _KINDS.items())}, round((sum(length(text)) FILTER (WHERE said))::DOUBLE / count(*), 6) AS reasoning_per_step, count_if(said) AS n_reasoning_steps FROM (SELECT text, role = 'assistant' AND coalesce(text, '') <> '' AS said FROM conversations) HAVING count_if(said) > 0",
     "reasoning_features": f"SELECT conv_id::VARCHAR AS run_id, round(sum(({_hits(_KINDS['uncertainty_density'])} > 0)::INT) FILTER (WHERE said)::DOUBLE / count_if(said), 6) AS uncertainty_density, round(sum({_hits(_HYPOTHESIS, 'lower(text)')}) FILTER (WHERE said)::DOUBLE / count_if(said), 6) AS reasoning_hypothesis_formation FROM (SELECT conv_id, text, role = 'assistant' AND coalesce(text, '') <> '' AS said FROM conversations) GROUP BY conv_id",
     "population_pairs": _population(),
+    "converted_logs": _with("""SELECT run_id, 'family' AS task_family, pos::BIGINT AS pos, 'tool' AS type, CASE WHEN name = 'bash' AND k % 5 = 3 THEN 'test' ELSE name END AS name, CASE WHEN name IN ('read', 'edit') THEN file END AS file_path, CASE WHEN name = 'search' THEN CASE WHEN k % 2 = 0 THEN '*.py' ELSE 'needle' END END AS pattern,
+CASE name WHEN 'test' THEN 'npm test' WHEN 'bash' THEN ['grep -r x .', 'python run.py', 'cat notes.txt', 'pytest -q', 'cd /srv && git status'][k % 5 + 1] END AS command, NULL AS result FROM fs UNION ALL SELECT run_id, 'family', n, 'system', 'result', NULL, NULL, NULL, 'done' FROM runs""", _FILES),
+    "log_compliance": _with("SELECT run_id, e AS source_edits, t AS tested_edits, round(CASE WHEN e > 0 THEN t::DOUBLE / e END, 6) AS compliance_rate FROM cm", _COMPLY),
+    "compliance_outcomes": _with("SELECT count_if(h AND success) AS high_pass, count_if(h AND NOT success) AS high_fail, count_if(NOT h AND success) AS low_pass, count_if(NOT h AND NOT success) AS low_fail FROM (SELECT success, t::DOUBLE / e >= 0.5 AS h FROM cm JOIN (SELECT run_id, success FROM runs) USING (run_id) WHERE e > 0 AND success IS NOT NULL)", _COMPLY),
+    "step_histogram": _with("SELECT variant, least(3, floor(n * 4 / 6.0))::BIGINT AS bin, count(*) AS n FROM vars GROUP BY ALL"),
+    "centred_correlation": _with(f"SELECT n, round(r, 6) AS r, round({_erfc('(abs(r) * sqrt(n) / sqrt(2))')}, 6) AS p_value FROM (SELECT count(*) AS n, corr(x, y) AS r FROM (SELECT n - avg(n) OVER (PARTITION BY task_id) AS x, success::INT - avg(success::INT) OVER (PARTITION BY task_id) AS y FROM runs WHERE success IS NOT NULL))"),
+    "step_rank_test": _with(f"""SELECT n1, n2, u, round(2 * u / (n1 * n2) - 1, 6) AS rank_biserial, round(least(1.0, CASE WHEN z < 0 THEN 2 - ({_erfc('(-z)')}) ELSE {_erfc('z')} END), 6) AS p_value FROM (SELECT *, (abs(u - n1 * n2 / 2) - 0.5) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) / sqrt(2) AS z FROM
+(SELECT count_if(success)::DOUBLE AS n1, count_if(NOT success)::DOUBLE AS n2, sum(rk) FILTER (WHERE success) - count_if(success) * (count_if(success) + 1) / 2 AS u, sum(t * t - 1)::DOUBLE AS ties FROM (SELECT success, rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2 AS rk, count(*) OVER (PARTITION BY n) AS t FROM runs WHERE success IS NOT NULL)))"""),
     "gapped_pairs": _gapped(2),
     "gapped_triples": _gapped(3),
     "transition_signals": _with("""SELECT pair, n_raw, round(a, 6) AS pass_rate, round(b, 6) AS fail_rate, round(a - b, 6) AS delta FROM (SELECT pair, sum(c)::BIGINT AS n_raw, coalesce(avg(c / greatest(1, n - 1)) FILTER (WHERE success), 0) AS a, coalesce(avg(c / greatest(1, n - 1)) FILTER (WHERE NOT success), 0) AS b FROM

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tracefold.functions.labels import compressed, phase, signature, step_label, with_sequences
 from tracefold.functions.stats import adjusted
-from tracefold.operators import align, cohorts, divergence, features, motifs, preferences
+from tracefold.operators import align, cohorts, divergence, experiments, features, motifs, preferences
+from tracefold.sources import tool_logs
 from tracefold.sources.trajectories import conversations_as_runs, first_by, read_events
 
 CAUSES = [
@@ -161,6 +162,43 @@ def reasoning_features(spark, d):
     return _round(runs.select("run_id", features.uncertainty_density().alias("uncertainty_density"), features.hypothesis_formation().alias("reasoning_hypothesis_formation")), "uncertainty_density", "reasoning_hypothesis_formation")
 
 
+def _logs(spark, d):
+    """A log of tool calls for each run."""
+    said = lambda s: F.when(s["name"] == "read", F.concat(F.lit("Read "), s["file_path"])).when(s["name"] == "edit", F.concat(F.lit("Edit "), s["file_path"])).when(s["pattern"] == "*.py", "Glob: *.py").when(
+        s["name"] == "search", F.concat(F.lit("Grep: "), s["pattern"])).when(s["name"] == "test", "Bash: npm test").otherwise(F.concat(F.lit("Bash: "), s["command"]))
+    log = F.concat(F.array_join(F.transform("steps", lambda s: F.concat(F.lit("noise\n[tool] "), said(s))), "\n"), F.lit("\n[result] done"))
+    return read_events(spark, d).select("run_id", F.concat(F.lit("family-"), "task_id").alias("task_id"), "success", log.alias("log"))
+
+
+def converted_logs(spark, d):
+    runs = tool_logs.trials_as_runs(_logs(spark, d))
+    return runs.select("run_id", "task_family", F.explode("steps").alias("s")).select("run_id", "task_family", F.col("s.pos").cast("long").alias("pos"), "s.type", "s.name", "s.file_path", "s.pattern", "s.command", "s.result")
+
+
+def log_compliance(spark, d):
+    return _round(tool_logs.compliance(_logs(spark, d)).select("run_id", "source_edits", "tested_edits", "compliance_rate"), "compliance_rate")
+
+
+def compliance_outcomes(spark, d):
+    return tool_logs.compliance_outcomes(tool_logs.compliance(_logs(spark, d)))
+
+
+def step_histogram(spark, d):
+    return experiments.histogram(_variants(spark, d).select("variant", F.size("steps").alias("n_steps")), "n_steps", 0, 6, 4, ("variant",))
+
+
+def centred_correlation(spark, d):
+    return _round(experiments.centred_correlation(_runs(spark, d).select("task_id", "success", F.size("steps").alias("n_steps")), "n_steps"), "r", "p_value")
+
+
+def step_rank_test(spark, d):
+    return _round(experiments.rank_test(_runs(spark, d).select("success", F.size("steps").alias("n_steps")), "n_steps"), "rank_biserial", "p_value")
+
+
+def rate_delta_interval(spark, d):
+    return _round(experiments.rate_delta_interval(_variants(spark, d), F.col("variant") == "b"), "delta", "ci_lower", "ci_upper")
+
+
 def exclusive_signatures(spark, d):
     v = _variants(spark, d)
     return cohorts.exclusive_signatures(v.where("variant = 'a'"), v.where("variant = 'b'"))
@@ -276,6 +314,7 @@ def motif_permutation_fdr(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     rank_features, enriched_steps, compressed_runs, run_signatures, run_summary, top_signatures, phase_counts, task_groups, mixed_tasks_unknown_fails, filtered_runs, first_runs,
     run_features, experiment_features, exemplar_tasks, feature_deltas, cohort_behaviours, variant_shifts, task_breakdown, cause_scores, cause_intervals, effect_magnitudes, available_values, tagged_runs, phase_summaries, signature_stats, test_centroids, reasoning_metrics, reasoning_features,
+    converted_logs, log_compliance, compliance_outcomes, step_histogram, centred_correlation, step_rank_test, rate_delta_interval,
     exclusive_signatures, contiguous_motifs, stratified_motifs, stratified_gapped, gapped_pairs, pruned_gapped_pairs, population_pairs,
     gapped_triples, transition_signals, divergence_points, position_consensus, column_activity, adjusted_p, reasoning_density, preference_candidates, preference_pairs,
     preference_jsonl, preference_topics, alignment_distances, multiple_alignment, aligned_divergence, run_clusters, cluster_splits, run_concordance, motif_permutation_fdr,
