@@ -251,6 +251,5 @@ CASE name WHEN 'test' THEN 'npm test' WHEN 'bash' THEN ['grep -r x .', 'python r
     "position_consensus": _with("SELECT group_id, col, arg_min(value, (-n, value)) AS value FROM (SELECT group_id, col, value, count(*) AS n FROM cells GROUP BY ALL) GROUP BY ALL", _CELLS),
     "column_activity": _activity(),
     "adjusted_p": f"SELECT user_id, round(p_value, 6) AS p_value, round(q_value, 6) AS q_value FROM {_adjust('(SELECT user_id, CASE WHEN avg(value) < 70 THEN avg(value) / 100 END AS p_value FROM events GROUP BY user_id)')}",
-    "reasoning_density": r"SELECT conv_id::VARCHAR AS run_id, count(*) AS n_steps, count_if(role = 'assistant' AND text <> '') AS n_reasoning, round(CASE WHEN count_if(role = 'assistant' AND text <> '') > 0 THEN count_if(role = 'assistant' AND regexp_matches(lower(text), '\bthe\b|\bthat\b'))::DOUBLE / count_if(role = 'assistant' AND text <> '') END, 6) AS density FROM conversations GROUP BY conv_id",
     "preference_candidates": _with("SELECT a.task_id, a.run_id AS pass_run, b.run_id AS fail_run FROM c a JOIN c b ON a.task_id = b.task_id AND a.success AND NOT b.success", "c AS (SELECT * FROM (SELECT task_id, run_id, success, row_number() OVER (PARTITION BY task_id, success ORDER BY run_id) AS r FROM runs WHERE success IS NOT NULL) WHERE r <= 5)"),
 }

@@ -17,7 +17,6 @@ CAUSES = [
     {"id": "less_testing", "expected_shifts": {"TEST_AFTER_EDIT_RATE": "decrease", "ITERATIVE_FIX_RATE": "decrease"}},
     {"id": "tool_trouble", "expected_shifts": {"TOOL_TIMEOUT_ERROR_RATE": "increase", "STEP_FAILURE_RATE": "increase"}, "prior": 0.3},
 ]
-WORDS = r"\bthe\b|\bthat\b"
 
 
 def _round(df: DataFrame, *names: str) -> DataFrame:
@@ -259,13 +258,6 @@ def adjusted_p(spark, d):
     return _round(adjusted(events.groupBy("user_id").agg(F.avg("value").alias("v")).select("user_id", F.when(F.col("v") < 70, F.col("v") / 100).alias("p_value"))), "p_value", "q_value")
 
 
-def reasoning_density(spark, d):
-    runs = conversations_as_runs(spark.read.parquet(f"{d}/conversations.parquet"))
-    r = runs.select("run_id", F.size("steps").cast("long").alias("n_steps"), F.filter(F.transform("steps", lambda s: s["reasoning"]), lambda x: F.coalesce(x, F.lit("")) != "").alias("r"))
-    hits = F.size(F.filter("r", lambda x: F.lower(x).rlike(WORDS)))
-    return r.select("run_id", "n_steps", F.size("r").cast("long").alias("n_reasoning"), F.round(F.try_divide(hits.cast("double"), F.size("r").cast("double")), 6).alias("density"))
-
-
 def preference_candidates(spark, d):
     pairs = preferences.run_pairs(preferences.capped_sides(_runs(spark, d)))
     return pairs.select("task_id", "pass_run", "fail_run")
@@ -316,6 +308,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     run_features, experiment_features, exemplar_tasks, feature_deltas, cohort_behaviours, variant_shifts, task_breakdown, cause_scores, cause_intervals, effect_magnitudes, available_values, tagged_runs, phase_summaries, signature_stats, test_centroids, reasoning_metrics, reasoning_features,
     converted_logs, log_compliance, compliance_outcomes, step_histogram, centred_correlation, step_rank_test, rate_delta_interval,
     exclusive_signatures, contiguous_motifs, stratified_motifs, stratified_gapped, gapped_pairs, pruned_gapped_pairs, population_pairs,
-    gapped_triples, transition_signals, divergence_points, position_consensus, column_activity, adjusted_p, reasoning_density, preference_candidates, preference_pairs,
+    gapped_triples, transition_signals, divergence_points, position_consensus, column_activity, adjusted_p, preference_candidates, preference_pairs,
     preference_jsonl, preference_topics, alignment_distances, multiple_alignment, aligned_divergence, run_clusters, cluster_splits, run_concordance, motif_permutation_fdr,
 )}
