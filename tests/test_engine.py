@@ -79,6 +79,25 @@ def test_alignment_is_optimal(a, b):
     assert score == best(len(a), len(b)) and 0 <= align.distance(a, b) <= 1 and align.distance(a, a) == 0
 
 
+def by_path(a, b):
+    left, right = align.align_pair(a, b)
+    return sum(x != y for x, y in zip(left, right, strict=True)) / len(left) if left else 0.0
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.sampled_from("abc"), max_size=8), st.lists(st.sampled_from("abc"), max_size=8)), max_size=12))
+def test_batches_of_distances_follow_the_paths(pairs):
+    assert list(align.pair_distances([a for a, _ in pairs], [b for _, b in pairs])) == [by_path(a, b) for a, b in pairs]
+
+
+def test_distances_by_blocks_are_of_all_pairs(spark):
+    rng = random.Random(5)
+    runs = {f"r{k}": [rng.choice("abcd") for _ in range(rng.randint(0, 6))] for k in range(150)}
+    rows = spark.createDataFrame([("g", k, v) for k, v in runs.items()] + [("h", "only", ["a"])], "task_id string, run_id string, names array<string>")
+    got = {(r.group_id, r.run_a, r.run_b): r.distance for r in align.pairwise_distances(rows).collect()}
+    assert got == {("g", a, b): by_path(runs[a], runs[b]) for a, b in itertools.combinations(sorted(runs), 2)}
+
+
 def test_multiple_alignment_and_clusters(spark):
     rows = align.align_group([list("abcd"), list("abd"), list("abcd"), list("xbcd")])
     assert len({len(r) for r in rows if r}) == 1 and ["".join(x or "" for x in r) for r in rows] == ["abcd", "abd", "abcd", "xbcd"]

@@ -10,7 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GAP = None
@@ -45,28 +45,112 @@ def align_pair(a: list, b: list) -> tuple[list, list]:
     return left[::-1], right[::-1]
 
 
+#: Cells of the score matrices that one batch of alignments holds at a time; steers memory only.
+BATCH_CELLS = 4_000_000
+
+
+def _padded(codes: list[np.ndarray], width: int, fill: int) -> np.ndarray:
+    out = np.full((len(codes), width), fill, np.int32)
+    for row, c in zip(out, codes, strict=True):
+        row[: len(c)] = c
+    return out
+
+
+def _batch(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Distances of a batch of pairs: rows of all score matrices at once, then all paths a step at a time."""
+    n, m = (np.array([len(s) for s in side]) for side in (xs, ys))
+    count, height, width = len(xs), int(n.max()), int(m.max())
+    left, right = _padded(xs, height, -1), _padded(ys, width, -2)
+    score = np.empty((count, height + 1, width + 1), np.int32)
+    slope = np.arange(width + 1, dtype=np.int32)
+    score[:, 0] = -slope
+    best = np.empty((count, width + 1), np.int32)
+    for i in range(1, height + 1):
+        step = np.where(left[:, i - 1, None] == right, np.int32(1), np.int32(-1))
+        best[:, 0] = -i
+        np.maximum(score[:, i - 1, :-1] + step, score[:, i - 1, 1:] - 1, out=best[:, 1:])
+        score[:, i] = np.maximum.accumulate(best + slope, axis=1) - slope
+    row, i, j = np.arange(count), n.copy(), m.copy()
+    columns, differing = np.zeros(count), np.zeros(count)
+    while len(row):
+        now, inner = score[row, i, j], (i > 0) & (j > 0)
+        up, back = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+        equal = inner & (left[row, up] == right[row, back]) if height and width else inner
+        both = inner & (now == score[row, up, back] + np.where(equal, 1, -1))
+        down = ~both & (i > 0) & (now == score[row, up, j] - 1)
+        live = (i > 0) | (j > 0)
+        columns[row] += live
+        differing[row] += live & ~(both & equal)
+        i, j = i - (both | down), j - (live & ~down)
+        go = (i > 0) | (j > 0)
+        row, i, j = row[go], i[go], j[go]
+    return differing / np.maximum(columns, 1)
+
+
+def pair_distances(xs: list, ys: list) -> np.ndarray:
+    """Per pair the share of aligned columns that differ, 0 for two empty runs; the paths are ``align_pair``'s."""
+    code: dict = {}
+    coded: dict = {}  # by identity: the lists hold the sequences meanwhile
+
+    def codes(s) -> np.ndarray:
+        if id(s) not in coded:
+            coded[id(s)] = np.array([code.setdefault(v, len(code)) for v in s], np.int32)
+        return coded[id(s)]
+
+    left, right = [codes(s) for s in xs], [codes(s) for s in ys]
+    out, at = np.zeros(len(left)), 0
+    order = sorted(range(len(left)), key=lambda k: (max(len(left[k]), len(right[k])), len(left[k])), reverse=True)
+    while at < len(order):
+        cells = (max(len(left[order[at]]), len(right[order[at]])) + 1) ** 2
+        part = order[at : at + max(1, BATCH_CELLS // cells)]
+        out[part] = _batch([left[k] for k in part], [right[k] for k in part])
+        at += len(part)
+    return out
+
+
 def distance(a: list, b: list) -> float:
     """Share of aligned columns that differ; 0 for two empty runs."""
-    left, right = align_pair(a, b)
-    return sum(x != y for x, y in zip(left, right, strict=True)) / len(left) if left else 0.0
+    return float(pair_distances([a], [b])[0])
+
 
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Dealt by key over a stated number of partitions, which AQE leaves alone: rows are few here and work a row is much."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
-def distance_column(a: Column, b: Column) -> Column:
-    @F.pandas_udf("double")
-    def distances(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([distance(list(p), list(q)) for p, q in zip(x, y, strict=True)])
 
-    return distances(a, b)
+#: Runs of a group that one task compares with as many others.
+BLOCK = 64
 
 
 def pairwise_distances(runs: DataFrame, group: str = "task_id") -> DataFrame:
-    """(group_id, run_a, run_b, distance) of all pairs within each group; equal sequences are aligned once."""
+    """(group_id, run_a, run_b, distance) of all pairs within each group.
+
+    A group's runs are dealt to blocks of some ``BLOCK``, and each pair of blocks is a task's unit: a run is shuffled
+    once for each block of its group, no pair carries its sequences. Equal sequences of a unit are aligned once.
+    """
     few = runs.select(F.col(group).alias("group_id"), "run_id", "names")
-    pairs = few.alias("a").join(few.alias("b"), "group_id").where("a.run_id < b.run_id").select("group_id", F.col("a.run_id").alias("run_a"), F.col("b.run_id").alias("run_b"), F.col("a.names").alias("x"), F.col("b.names").alias("y"))
-    # distance is symmetric: one order for each pair of sequences
-    ordered = pairs.withColumn("p", F.when(F.col("x") <= F.col("y"), F.col("x")).otherwise(F.col("y"))).withColumn("q", F.when(F.col("x") <= F.col("y"), F.col("y")).otherwise(F.col("x")))
-    seen = ordered.select("p", "q").distinct().withColumn("distance", F.when(F.col("p") == F.col("q"), 0.0).otherwise(distance_column(F.col("p"), F.col("q"))))
-    return ordered.join(seen, ["p", "q"]).select("group_id", "run_a", "run_b", "distance")
+    sizes = few.groupBy("group_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    dealt = few.join(sizes, "group_id").withColumn("block", F.pmod(F.xxhash64("run_id"), F.col("blocks")))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        "group_id", "run_id", "names", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        unique: dict = {}
+        which = np.array([unique.setdefault(tuple(s), len(unique)) for s in rows["names"]])
+        distinct, run, lo = list(unique), rows["run_id"].to_numpy(), (rows["block"] == rows["lo"]).to_numpy()
+        if rows["lo"][0] == rows["hi"][0]:
+            i, j = np.triu_indices(len(rows), 1)
+        else:
+            i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(lo), np.flatnonzero(~lo), indexing="ij"))
+        i, j = (np.where(run[i] < run[j], *p) for p in ((i, j), (j, i)))
+        i, j = (x[run[i] != run[j]] for x in (i, j))
+        if not len(i):
+            return pd.DataFrame({"group_id": [], "run_a": [], "run_b": [], "distance": []})
+        pairs, back = np.unique(np.sort(np.stack([which[i], which[j]]), axis=0), axis=1, return_inverse=True)
+        d = pair_distances([distinct[u] for u in pairs[0]], [distinct[u] for u in pairs[1]])
+        return pd.DataFrame({"group_id": rows["group_id"][0], "run_a": run[i], "run_b": run[j], "distance": d[back.ravel()]})
+
+    return _spread(met, "group_id", "lo", "hi").groupBy("group_id", "lo", "hi").applyInPandas(compare, "group_id string, run_a string, run_b string, distance double")
 
 
 def consensus_of(rows: list[list]) -> list:
@@ -86,21 +170,28 @@ def align_group(sequences: list[list]) -> list[list]:
     n = len(sequences)
     if n < 2:
         return [list(s) for s in sequences]
+    unique: dict = {}
+    which = np.array([unique.setdefault(tuple(s), len(unique)) for s in sequences])
+    distinct = list(unique)
+    square = _square(sequences)
+    square[np.tril_indices(n)] = np.inf
+    i, j = divmod(int(square.argmin()), n)
     kept: dict = {}
 
-    def far(a, b):
-        key = (tuple(a), tuple(b))
-        if key not in kept:
-            kept[key] = distance(a, b)
-        return kept[key]
+    def nearest(model: list, left: list) -> int:
+        """The first of ``left`` that is nearest to the model; each model meets each sequence once."""
+        known = kept.setdefault(tuple(model), np.full(len(distinct), np.nan))
+        new = [u for u in np.unique(which[left]) if np.isnan(known[u])]
+        if new:
+            known[new] = pair_distances([model] * len(new), [distinct[u] for u in new])
+        return left[int(known[which[left]].argmin())]
 
-    i, j = min(((i, j) for i in range(n) for j in range(i + 1, n)), key=lambda p: far(sequences[p[0]], sequences[p[1]]))
     rows = dict(zip((i, j), align_pair(sequences[i], sequences[j]), strict=True))
     left = [k for k in range(n) if k not in rows]
     while left:
         agreed = consensus_of(list(rows.values()))
         model = [v for v in agreed if v is not GAP]
-        k = min(left, key=lambda k: far(model, sequences[k]))
+        k = nearest(model, left)
         left.remove(k)
         base, new = align_pair(model, sequences[k])
         # where the model gets a gap, all rows do; columns that are all gaps stay where they were
@@ -161,9 +252,11 @@ def _square(sequences: list[list]) -> np.ndarray:
     index = [unique.setdefault(tuple(s), len(unique)) for s in sequences]
     keys = list(unique)
     d = np.zeros((len(keys), len(keys)))
-    for i in range(len(keys)):
-        for j in range(i):
-            d[i, j] = d[j, i] = distance(list(keys[i]), list(keys[j]))
+    pairs, most = len(keys) * (len(keys) - 1) // 2, 1 << 14
+    rows, columns = np.tril_indices(len(keys), -1)
+    for at in range(0, pairs, most):
+        i, j = rows[at : at + most], columns[at : at + most]
+        d[i, j] = d[j, i] = pair_distances([keys[k] for k in i], [keys[k] for k in j])
     return d[np.ix_(index, index)]
 
 
@@ -174,7 +267,7 @@ def _by_group(runs: DataFrame, group: str, work, schema: str) -> DataFrame:
         rows = rows.sort_values("run_id", ignore_index=True)
         return work(rows, [list(s) for s in rows["names"]])
 
-    return rows.groupBy("group_id").applyInPandas(apply, schema)
+    return _spread(rows, "group_id").groupBy("group_id").applyInPandas(apply, schema)
 
 
 def aligned_cells(runs: DataFrame, group: str = "task_id") -> DataFrame:
