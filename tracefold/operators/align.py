@@ -144,11 +144,10 @@ def pairwise_distances(runs: DataFrame, group: str = "task_id") -> DataFrame:
             i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(lo), np.flatnonzero(~lo), indexing="ij"))
         i, j = (np.where(run[i] < run[j], *p) for p in ((i, j), (j, i)))
         i, j = (x[run[i] != run[j]] for x in (i, j))
-        if not len(i):
-            return pd.DataFrame({"group_id": [], "run_a": [], "run_b": [], "distance": []})
+        group_id = np.full(len(i), rows["group_id"][0], object)
         pairs, back = np.unique(np.sort(np.stack([which[i], which[j]]), axis=0), axis=1, return_inverse=True)
         d = pair_distances([distinct[u] for u in pairs[0]], [distinct[u] for u in pairs[1]])
-        return pd.DataFrame({"group_id": rows["group_id"][0], "run_a": run[i], "run_b": run[j], "distance": d[back.ravel()]})
+        return pd.DataFrame({"group_id": group_id, "run_a": run[i].astype(object), "run_b": run[j].astype(object), "distance": d[back.ravel()]})
 
     return _spread(met, "group_id", "lo", "hi").groupBy("group_id", "lo", "hi").applyInPandas(compare, "group_id string, run_a string, run_b string, distance double")
 
