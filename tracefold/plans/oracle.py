@@ -237,6 +237,9 @@ FROM (SELECT task_id, signature, count(*) AS c, count(success) AS k, count_if(su
     "population_pairs": _population(),
     "converted_logs": _with("""SELECT run_id, 'family' AS task_family, pos::BIGINT AS pos, 'tool' AS type, CASE WHEN name = 'bash' AND k % 5 = 3 THEN 'test' ELSE name END AS name, CASE WHEN name IN ('read', 'edit') THEN file END AS file_path, CASE WHEN name = 'search' THEN CASE WHEN k % 2 = 0 THEN '*.py' ELSE 'needle' END END AS pattern,
 CASE name WHEN 'test' THEN 'npm test' WHEN 'bash' THEN ['grep -r x .', 'python run.py', 'cat notes.txt', 'pytest -q', 'cd /srv && git status'][k % 5 + 1] END AS command, NULL AS result FROM fs UNION ALL SELECT run_id, 'family', n, 'system', 'result', NULL, NULL, NULL, 'done' FROM runs""", _FILES),
+    "converted_dialogues": _with("""SELECT run_id, 'o__n' AS task_family, pos::BIGINT AS pos, 'tool' AS type, CASE WHEN name <> 'bash' THEN name ELSE ['search', 'bash', 'search', 'test', 'bash'][k % 5 + 1] END AS name,
+CASE WHEN name = 'read' THEN file END AS file_path, 'Now' || chr(10) || '```' || chr(10) || said AS reasoning, said AS action, status AS result FROM (SELECT *,
+CASE name WHEN 'read' THEN 'open ' || file || ' 10' WHEN 'edit' THEN 'edit 1:2' WHEN 'search' THEN 'search_dir needle' WHEN 'test' THEN 'pytest -q' ELSE ['grep -r x .', 'python run.py', 'cat notes.txt', 'pytest -q', 'cd /srv && git status'][k % 5 + 1] END AS said FROM fs)""", _FILES),
     "log_compliance": _with("SELECT run_id, e AS source_edits, t AS tested_edits, round(CASE WHEN e > 0 THEN t::DOUBLE / e END, 6) AS compliance_rate FROM cm", _COMPLY),
     "compliance_outcomes": _with("SELECT count_if(h AND success) AS high_pass, count_if(h AND NOT success) AS high_fail, count_if(NOT h AND success) AS low_pass, count_if(NOT h AND NOT success) AS low_fail FROM (SELECT success, t::DOUBLE / e >= 0.5 AS h FROM cm JOIN (SELECT run_id, success FROM runs) USING (run_id) WHERE e > 0 AND success IS NOT NULL)", _COMPLY),
     "step_histogram": _with("SELECT variant, least(3, floor(n * 4 / 6.0))::BIGINT AS bin, count(*) AS n FROM vars GROUP BY ALL"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracefold.functions.labels import compressed, phase, signature, step_label, with_sequences
 from tracefold.functions.stats import adjusted
 from tracefold.operators import align, cohorts, divergence, experiments, features, motifs, preferences
-from tracefold.sources import tool_logs
+from tracefold.sources import fenced_dialogues, tool_logs
 from tracefold.sources.trajectories import conversations_as_runs, first_by, read_events
 
 CAUSES = [
@@ -174,6 +174,16 @@ def converted_logs(spark, d):
     return runs.select("run_id", "task_family", F.explode("steps").alias("s")).select("run_id", "task_family", F.col("s.pos").cast("long").alias("pos"), "s.type", "s.name", "s.file_path", "s.pattern", "s.command", "s.result")
 
 
+def converted_dialogues(spark, d):
+    """Each run as a dialogue: a reply with a command in a fence, and what came of it."""
+    typed = lambda s: F.coalesce(s["command"], F.when(s["name"] == "read", F.concat(F.lit("open "), s["file_path"], F.lit(" 10"))).when(s["name"] == "edit", "edit 1:2").when(s["name"] == "search", "search_dir needle").otherwise("pytest -q"))
+    said = F.flatten(F.transform("steps", lambda s: F.array(
+        F.struct(F.lit("ai").alias("role"), F.concat(F.lit("Now\n```\n"), typed(s), F.lit("\n```")).alias("text")), F.struct(F.lit("user").alias("role"), s["status"].alias("text")))))
+    rows = read_events(spark, d).select("run_id", F.concat(F.lit("o__n-"), "task_id").alias("task_id"), "success", said.alias("messages"))
+    runs = fenced_dialogues.dialogues_as_runs(rows).select("run_id", "task_family", F.explode("steps").alias("s"))
+    return runs.select("run_id", "task_family", F.col("s.pos").cast("long").alias("pos"), "s.type", "s.name", "s.file_path", "s.reasoning", "s.action", "s.result")
+
+
 def log_compliance(spark, d):
     return _round(tool_logs.compliance(_logs(spark, d)).select("run_id", "source_edits", "tested_edits", "compliance_rate"), "compliance_rate")
 
@@ -306,7 +316,7 @@ def motif_permutation_fdr(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     rank_features, enriched_steps, compressed_runs, run_signatures, run_summary, top_signatures, phase_counts, task_groups, mixed_tasks_unknown_fails, filtered_runs, first_runs,
     run_features, experiment_features, exemplar_tasks, feature_deltas, cohort_behaviours, variant_shifts, task_breakdown, cause_scores, cause_intervals, effect_magnitudes, available_values, tagged_runs, phase_summaries, signature_stats, test_centroids, reasoning_metrics, reasoning_features,
-    converted_logs, log_compliance, compliance_outcomes, step_histogram, centred_correlation, step_rank_test, rate_delta_interval,
+    converted_logs, converted_dialogues, log_compliance, compliance_outcomes, step_histogram, centred_correlation, step_rank_test, rate_delta_interval,
     exclusive_signatures, contiguous_motifs, stratified_motifs, stratified_gapped, gapped_pairs, pruned_gapped_pairs, population_pairs,
     gapped_triples, transition_signals, divergence_points, position_consensus, column_activity, adjusted_p, preference_candidates, preference_pairs,
     preference_jsonl, preference_topics, alignment_distances, multiple_alignment, aligned_divergence, run_clusters, cluster_splits, run_concordance, motif_permutation_fdr,
