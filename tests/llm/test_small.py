@@ -175,3 +175,21 @@ def test_targets_and_flow():
     assert target_sizes({}) == {} and min_cost_flow({}, {}) == {}
 
 
+
+
+def test_a_worker_keeps_one_operators_caches():
+    import weakref
+
+    from tracefold.llm.jaccard_join import _scan
+    from tracefold.llm.piece_codec import codec
+    from tracefold.llm.token_binary import encoder
+    from tracefold.llm.token_count import counter
+
+    piece, byte = str(tokenizers.path("piece_bpe_32k.model")), str(tokenizers.path("byte_bpe_50k.json"))
+    for one in (lambda: codec(piece), lambda: encoder(byte), lambda: counter(piece)):
+        assert one() is one()
+    first = weakref.ref(codec(piece))
+    second = weakref.ref(counter(piece))
+    assert first() is None and second() is not None
+    list(_scan(iter([])))
+    assert second() is None

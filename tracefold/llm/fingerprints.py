@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import small_batches, text_or_empty
+from tracefold.llm.common import release, small_batches, text_or_empty
 from tracefold.llm.shingles import mix, shingles, word_hashes
 
 SAMPLES = 64
@@ -141,6 +141,7 @@ def _answer(ids: list, texts: list[str]) -> pa.RecordBatch:
 
 def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by (bucket, head, order); a bucket's own rows end with the successor of its last one."""
+    release()
     bucket, ids, texts, size, done = None, [], [], 0, False
     for batch in batches:
         for own, head, doc, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "head", "doc_id", "text")), strict=True):

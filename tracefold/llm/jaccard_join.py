@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import Scratch, small_batches, text_or_empty, unused
+from tracefold.llm.common import Scratch, release, small_batches, text_or_empty, unused
 from tracefold.llm.shingles import distinct, mix, shingles, word_hashes
 
 WIDTH = 5
@@ -180,6 +180,7 @@ def entries(s: np.ndarray, o: np.ndarray, sizes: np.ndarray, common: np.ndarray)
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document its size and node; and shingles that are common within this task, with their counts."""
+    release()
     seen, docs = [], 0
     for batch in batches:
         texts = batch.column("text").to_pylist()
@@ -206,6 +207,7 @@ def _heavy(seen: list, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _emit(common_sent, buckets: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         common = common_sent.value
         met: set[int] = set()
         held, nodes, sizes, musts, n_docs, n_held = [], [], [], [], 0, 0
@@ -275,6 +277,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each bucket's entries, those whose signature another set has too, where one side probes and the other is indexed."""
+    release()
     low, shift = np.uint64((1 << DOC_BITS) - 1), np.uint64(DOC_BITS)
     for b, rows in _buckets(batches):
         keys, flags, node, size, must = [], [], [], [], []
@@ -314,6 +317,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingles of each wanted node, once: other texts may stand under the same doc_id."""
+    release()
     met: set[int] = set()
     for batch in batches:
         s, o, _, names = text_sets(batch.column("text").to_pylist())
@@ -494,6 +498,7 @@ class _Found:
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by pair of blocks (a, b), left block first. Out come rows (node, links) and edges (node, other, 0)."""
+    release()
     found, own, sides = _Found(), None, ([], [])
     for batch in batches:
         a, b, side, node, copies = (batch.column(c).to_pylist() for c in ("a", "b", "side", "node", "copies"))

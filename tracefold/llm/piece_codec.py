@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import small_batches
+from tracefold.llm.common import resident, small_batches
 from tracefold.llm.piece_model import META, PieceModel
 
 KEEP_CHARS, KEEP_WORDS, KEEP_PAIRS = 32, 500_000, 1_000_000
@@ -121,13 +121,8 @@ class PieceCodec:
         return list(chain.from_iterable(codes))
 
 
-_codecs: dict[str, PieceCodec] = {}
-
-
 def codec(path: str) -> PieceCodec:
-    if path not in _codecs:
-        _codecs[path] = PieceCodec(path)
-    return _codecs[path]
+    return resident(("piece_codec", path), lambda: PieceCodec(path))
 
 
 def encode_column(text: Column, path: str) -> Column:

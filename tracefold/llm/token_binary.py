@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import small_batches, text_or_empty
+from tracefold.llm.common import resident, small_batches, text_or_empty
 
 #: Units longer than this are not kept, and the cache starts anew beyond so many units.
 KEEP_CHARS, KEEP_UNITS, SEEN = 32, 600_000, 1 << 23
@@ -142,13 +142,8 @@ class UnitEncoder:
         return out
 
 
-_encoders: dict[str, UnitEncoder] = {}
-
-
 def encoder(path: str) -> UnitEncoder:
-    if path not in _encoders:
-        _encoders[path] = UnitEncoder(path)
-    return _encoders[path]
+    return resident(("token_binary", path), lambda: UnitEncoder(path))
 
 
 def bounded(texts: list[str]) -> Iterator[list[str]]:

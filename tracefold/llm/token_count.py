@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import small_batches
+from tracefold.llm.common import resident, small_batches
 from tracefold.llm.piece_model import PieceModel
 
 UNKNOWN_PENALTY = 10.0
@@ -71,13 +71,8 @@ class UnigramCounter:
         return tokens, score
 
 
-_counters: dict[str, UnigramCounter] = {}
-
-
 def counter(path: str) -> UnigramCounter:
-    if path not in _counters:
-        _counters[path] = UnigramCounter(path)
-    return _counters[path]
+    return resident(("token_count", path), lambda: UnigramCounter(path))
 
 
 def token_count(text: Column, path: str) -> Column:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import small_batches
+from tracefold.llm.common import resident, small_batches
 
 #: At most so many labelled documents, and characters of them, of each label are trained on.
 MAX_LABELLED, MAX_CHARS = 2000, 12_000_000
@@ -390,9 +390,6 @@ def fit(docs: DataFrame, labels: DataFrame, train_where: Column | None = None) -
     return pickle.loads(rows.mapInArrow(_train_once, "model binary").first().model)
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def score_documents(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFrame:
     """``docs`` with the probability of label 1."""
     spark = docs.sparkSession
@@ -402,10 +399,8 @@ def score_documents(docs: DataFrame, model: ToxicityModel, name: str = "score")
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         key = sent.id if hasattr(sent, "id") else id(sent.value)
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(sent.value)
-        return pd.Series(_scorers[key].scores([t or "" for t in texts]))
+        scorer = resident(("toxicity", key), lambda: Scorer(sent.value))
+        return pd.Series(scorer.scores([t or "" for t in texts]))
 
     return docs.select(*(c for c in docs.columns if c != name), score(F.col("text")).alias(name))
 
