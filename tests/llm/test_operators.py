@@ -311,3 +311,19 @@ def test_personal_data(spark, none):
         assert set(names) <= set(got[i].spans.split(",")) | {""}
     assert "phone_local" in got[len(table) - 2].spans
     assert pii.find_personal_data(none).count() == 0
+
+
+def test_shuffle_files_go_with_their_table(spark):
+    import time
+
+    from tracefold.llm.common import Scratch
+
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in str(blocks.getAllFiles().mkString("\n")).split("\n") if "shuffle_" in f}
+    before, scratch = files(), Scratch(spark, "test")
+    rows = scratch.table(spark.range(10_000).repartition(3, "id"), "rows")
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before and rows.count() == 10_000
+    scratch.drop("rows")

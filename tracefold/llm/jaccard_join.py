@@ -205,6 +205,15 @@ def _heavy(seen: list, least: int) -> tuple[np.ndarray, np.ndarray]:
     return s[at][c >= least], c[c >= least]
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """64-bit numbers, all their first bytes first: what neighbours share compresses in the shuffle."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
 def _emit(common_sent, buckets: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -221,14 +230,14 @@ def _emit(common_sent, buckets: int):
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             rows = {"bucket": [], "entries": [], "nodes": []}
             for b in range(buckets):
-                own = packed[order[cuts[b] : cuts[b + 1]]]
+                own = np.sort(packed[order[cuts[b] : cuts[b + 1]]])
                 if len(own):
                     low = np.uint64((1 << DOC_BITS) - 1)
                     used, local = np.unique(own & low, return_inverse=True)
                     rows["bucket"].append(b)
-                    rows["entries"].append(((own & ~low) | local.astype(np.uint64)).tobytes())
+                    rows["entries"].append(_planes((own & ~low) | local.astype(np.uint64)))
                     used = used.astype(np.int64)
-                    rows["nodes"].append(np.stack([node[used], size[used].astype(np.uint64), must[0, used] | (must[1, used] << np.uint64(32))]).tobytes())
+                    rows["nodes"].append(_planes(np.concatenate([node[used], size[used].astype(np.uint64), must[0, used] | (must[1, used] << np.uint64(32))])))
             return pa.RecordBatch.from_pydict({"bucket": pa.array(rows["bucket"], pa.int64()), "entries": pa.array(rows["entries"], pa.binary()), "nodes": pa.array(rows["nodes"], pa.binary())})
 
         for batch in batches:
@@ -282,7 +291,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b, rows in _buckets(batches):
         keys, flags, node, size, must = [], [], [], [], []
         for e, t in rows:
-            e, t = np.frombuffer(e, np.uint64), np.frombuffer(t, np.uint64).reshape(3, -1)
+            e, t = _numbers(e), _numbers(t).reshape(3, -1)
             at = (e & low).astype(np.int64)
             keys.append(e & ~np.uint64(0xFFFFFF))
             flag = ((e >> shift) & np.uint64(15)).astype(np.uint8)
