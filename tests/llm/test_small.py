@@ -209,3 +209,20 @@ def test_entries_compress_in_the_shuffle():
     for name, most in (("entries", 0.85), ("nodes", 0.55)):
         raw = b"".join(x for b in got for x in b.column(name).to_pylist())
         assert len(pa.compress(raw, "lz4", asbytes=True)) < most * len(raw)
+
+
+def test_new_units_share_library_calls():
+    code = UnitEncoder(str(tokenizers.path("byte_bpe_50k.json")))
+    r = random.Random(8)
+    rows = [" ".join("".join(r.choice("abcdeé語.;\n") for _ in range(9)).strip() or "x" for _ in range(100)) for _ in range(20)]
+    want = [np.array(e.ids, code.dtype).tobytes() for e in code.lib.encode_batch(rows, add_special_tokens=False)]
+    given, lib = [], code.lib
+
+    class Counted:
+        def encode_batch_fast(self, texts, **kw):
+            given.extend(texts)
+            return lib.encode_batch_fast(texts, **kw)
+
+    code.lib = Counted()
+    assert code.encode(rows) == want
+    assert len(given) < 50

@@ -11,8 +11,8 @@ in the manifest and they are read back as null; repeated rows and equal doc_ids
 of the text; very long texts are encoded whole, one at a time; an empty table gives an empty manifest and
 no rows; other columns are ignored.
 
-A text's units are encoded by the tokenizers library, distinct ones of a batch in one call, and looked up
-if met before: this vocabulary's pre-tokenizer never joins what stands before a single space or line feed
+A text's units are encoded by the tokenizers library, each distinct one of a batch once, many in a row as one text,
+and looked up if met before: this vocabulary's pre-tokenizer never joins what stands before a single space or line feed
 between two visible characters with what follows, so such units encode alike in any text.
 """
 
@@ -35,6 +35,8 @@ from tracefold.llm.common import resident, small_batches, text_or_empty
 
 #: Units longer than this are not kept, and the cache starts anew beyond so many units.
 KEEP_CHARS, KEEP_UNITS, SEEN = 32, 600_000, 1 << 23
+#: Units that go to the library as one text.
+JOINED = 512
 #: Texts whose distinct units are encoded together, unless their characters come to more first.
 BATCH_TEXTS, BATCH_CHARS = 400, 1 << 22
 
@@ -55,6 +57,10 @@ class UnitEncoder:
         self.vocab_size = self.lib.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.vocab_size <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        #: Bytes of each token: a byte-level token has a character for each.
+        self.n_bytes = np.zeros(max(self.lib.get_vocab().values(), default=0) + 1, np.int64)
+        for token, i in self.lib.get_vocab().items():
+            self.n_bytes[i] = len(token)
         self.cache: dict[str, bytes] = {}
         #: Marks of what has been missed once: only what comes again is kept.
         self.missed = bytearray(SEEN)
@@ -70,6 +76,27 @@ class UnitEncoder:
         code = "H" if self.dtype.itemsize == 2 else "I"
         return [array(code, e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _apart(self, names: list[str]) -> list[bytes]:
+        """Ids of units by their names, JOINED in a call: as in a text, each follows a space or line feed, and the
+        tokens' bytes tell where it ends."""
+        out: list[bytes] = []
+        width = self.dtype.itemsize
+        for low in range(0, len(names), JOINED):
+            part = names[low : low + JOINED]
+            first = [n[0] == " " for n in part]
+            spelled = ["\n" + n[1:] if f else " " + n for n, f in zip(part, first, strict=True)]
+            ids = np.array(self.lib.encode_batch_fast(["".join(spelled)], add_special_tokens=False)[0].ids, np.int64)
+            stops = np.cumsum(self.n_bytes[ids])
+            ends = np.cumsum([len(w.encode()) for w in spelled])
+            cuts = np.searchsorted(stops, ends, side="right")
+            if not len(ids) or stops[-1] != ends[-1] or (stops[cuts - 1] != ends).any():
+                out += self._lib([w[f:] for w, f in zip(spelled, first, strict=True)])
+                continue
+            data = ids.astype(self.dtype).tobytes()
+            starts = np.concatenate([[0], cuts[:-1]]) + np.array(first)  # without the line feed's token
+            out += [data[a:b] for a, b in zip((starts * width).tolist(), (cuts * width).tolist(), strict=True)]
+        return out
+
     @staticmethod
     def units(parts: list[str]) -> list[str]:
         """Parts of a text split at spaces, rejoined wherever white space meets white space."""
@@ -109,36 +136,47 @@ class UnitEncoder:
             else:
                 first, *rest = text.split(" ")
                 plans.append([" " + first, *rest])
-        missing = set().union(*filter(None, plans)).difference(cache)
+        met = [names and list(map(cache.get, names)) for names in plans]
+        lacking = [k for k, codes in enumerate(met) if codes and None in codes]
+        missing = set().union(*([n for n, c in zip(plans[k], met[k], strict=True) if c is None] for k in lacking))
         odd = {n for n in missing if self._odd(n)}
         missing -= odd
         lines = {n: parts for n in missing if "\n" in n and (parts := self._lines(n))}
         missing.difference_update(lines)
         for parts in lines.values():
             missing.update(p for p in parts if p not in cache)
-        spell = {n: n[1:] if n[0] == " " else " " + n for n in missing}
-        for k, names in enumerate(plans):
-            if names and odd and not odd.isdisjoint(names):
-                units = self.units([names[0][1:], *names[1:]])
-                plans[k] = ["  " + u for u in units]  # two spaces: never the name of a kept unit
-                spell.update((n, u) for n, u in zip(plans[k], units, strict=True) if n not in spell)
-        cache.update(zip(spell, self._lib(list(spell.values())), strict=True))
+        fresh = dict(zip(missing, self._apart(list(missing)), strict=True))
         if lines:
             feed = self._lib(["\n"])[0]
-            cache.update([(n, feed.join([cache[p] for p in parts])) for n, parts in lines.items()])
+            joined = {n: feed.join([cache[p] if p in cache else fresh[p] for p in parts]) for n, parts in lines.items()}
+        else:
+            joined = {}
+        known = fresh | joined
+        whole: dict[str, bytes] = {}
+        if odd:
+            uneven = [k for k in lacking if not odd.isdisjoint(plans[k])]
+            for k in uneven:
+                plans[k] = self.units([plans[k][0][1:], *plans[k][1:]])
+            units = list(set().union(*(plans[k] for k in uneven)))
+            whole = dict(zip(units, self._lib(units), strict=True))
+            for k in uneven:
+                met[k] = [whole[u] for u in plans[k]]
         own = iter(self._lib([t for t, names in zip(texts, plans, strict=True) if names is None]))
-        get = cache.__getitem__
-        out = [next(own) if names is None else b"".join(map(get, names)) for names in plans]
-        for n in lines:
-            del cache[n]
+        out = []
+        for names, codes in zip(plans, met, strict=True):
+            if codes is None:
+                out.append(next(own))
+            elif None in codes:
+                out.append(b"".join([known[n] if c is None else c for n, c in zip(names, codes, strict=True)]))
+            else:
+                out.append(b"".join(codes))
         missed = self.missed
-        for n in spell:  # only what is missed a second time stays, so that units met once don't crowd the cache
+        for n, code in fresh.items():  # only what is missed a second time is kept, so that units met once don't crowd the cache
             at = hash(n) & (SEEN - 1)
             if not missed[at]:
                 missed[at] = 1
-                del cache[n]
-            elif len(n) > KEEP_CHARS or n[:2] == "  " or "\n" in n:
-                del cache[n]
+            elif len(n) <= KEEP_CHARS and "\n" not in n:
+                cache[n] = code
         return out
 
 
