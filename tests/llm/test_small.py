@@ -226,3 +226,35 @@ def test_new_units_share_library_calls():
     code.lib = Counted()
     assert code.encode(rows) == want
     assert len(given) < 50
+
+
+def test_training_starts_in_a_worker_without_earlier_caches():
+    import weakref
+
+    from tracefold.llm.piece_codec import codec
+    from tracefold.llm.toxicity import _train_once
+
+    left = weakref.ref(codec(str(tokenizers.path("piece_bpe_32k.model"))))
+    assert len(list(_train_once(iter([])))) == 1
+    assert left() is None
+
+
+def test_words_met_once_are_not_kept():
+    from tracefold.llm.toxicity import Sentences
+
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(3000)]
+    text = " ".join(words)
+    code = PieceCodec(str(tokenizers.path("piece_bpe_32k.model")))
+    first = code.encode(text)
+    assert len(code.kept) < 30
+    assert code.encode(text) == first == code.lib.encode(text) and len(code.kept) > 2900
+    assert code.encode(text) == first
+
+    sentences = Sentences(["blockhead", "numbskull"])
+    one = sentences.rows([text + " blockheads x"])
+    assert sentences.kept["blockheads"] and len(sentences.kept) < 300
+    for _ in range(2):  # from the second time on out of the cache
+        again = sentences.rows([text + " blockheads x"])
+        assert (again[0] == one[0]).all() and (again[1] == one[1]).all()
+    assert len(sentences.kept) > 2900

@@ -218,21 +218,22 @@ def _emit(common_sent, buckets: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         common = common_sent.value
+        low, inner = np.uint64((1 << DOC_BITS) - 1), np.uint64(0xFFFFFF)
         met: set[int] = set()
         held, nodes, sizes, musts, n_docs, n_held = [], [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            sig, doc, flags = (np.concatenate([h[k] for h in held]) for k in range(3))
+            packed, bucket = (np.concatenate([h[k] for h in held]) for k in range(2))
+            held.clear()
             node, size, must = np.concatenate(nodes), np.concatenate(sizes), np.concatenate(musts, axis=1).astype(np.uint64)
-            bucket = ((sig & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int64)
-            packed = (sig & ~np.uint64(0xFFFFFF)) | (flags.astype(np.uint64) << np.uint64(DOC_BITS)) | doc.astype(np.uint64)
             order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            cuts = np.searchsorted(bucket, np.arange(buckets + 1), sorter=order)
+            packed = packed[order]
+            del bucket, order
             rows = {"bucket": [], "entries": [], "nodes": []}
             for b in range(buckets):
-                own = np.sort(packed[order[cuts[b] : cuts[b + 1]]])
+                own = np.sort(packed[cuts[b] : cuts[b + 1]])
                 if len(own):
-                    low = np.uint64((1 << DOC_BITS) - 1)
                     used, local = np.unique(own & low, return_inverse=True)
                     rows["bucket"].append(b)
                     rows["entries"].append(_planes((own & ~low) | local.astype(np.uint64)))
@@ -256,7 +257,8 @@ def _emit(common_sent, buckets: int):
             inside = fresh[o]
             sig, doc, flags, must = entries(s[inside], number[o[inside]], n[fresh], common)
             musts.append(must)
-            held.append((sig, doc + n_docs, flags))
+            packed = (sig & ~inner) | (flags.astype(np.uint64) << np.uint64(DOC_BITS)) | (doc + n_docs).astype(np.uint64)
+            held.append((packed, ((sig & inner) % np.uint64(buckets)).astype(np.int32)))
             nodes.append(names[fresh])
             sizes.append(n[fresh])
             n_docs += int(fresh.sum())

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from tracefold.llm.common import resident, small_batches
 from tracefold.llm.piece_model import META, PieceModel
 
-KEEP_CHARS, KEEP_WORDS, KEEP_PAIRS = 32, 500_000, 1_000_000
+#: Longer words are not kept, each cache starts anew beyond its number, and so many marks are of words met once.
+KEEP_CHARS, KEEP_WORDS, KEEP_PAIRS, SEEN = 32, 200_000, 500_000, 1 << 23
 
 
 class PieceCodec:
@@ -33,6 +34,8 @@ class PieceCodec:
         self.lib, self.ids, self.score = self.model.lib, self.model.ids, self.model.score
         self.found = self.model.automaton(lambda p: (len(p), p))
         self.kept: dict[str, tuple[int, ...]] = {}
+        #: Only words that come again are kept: most that differ are met once.
+        self.met = bytearray(SEEN)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.text_of = [str(i) for i in range(self.lib.get_piece_size())]
         self.cut = "\n" if "\n" not in self.model.joining else None
@@ -105,13 +108,17 @@ class PieceCodec:
         code = self.kept.get(word)
         if code is None:
             code = self._split(word)
-            if len(word) <= KEEP_CHARS and "\n" not in word:
+            mark = hash(word) & (SEEN - 1)
+            if not self.met[mark]:
+                self.met[mark] = 1
+            elif len(word) <= KEEP_CHARS and "\n" not in word:
                 self.kept[word] = code
         return code
 
     def encode(self, text: str) -> list[int]:
         if len(self.kept) > KEEP_WORDS:
             self.kept.clear()
+            self.met = bytearray(SEEN)
         if len(self.pairs) > KEEP_PAIRS:
             self.pairs.clear()
         words = self.model.words(self.lib.normalize(text)) if text else []

@@ -32,7 +32,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import combinations
+from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import resident, small_batches
+from tracefold.llm.common import release, resident, small_batches, trim
 
 #: At most so many labelled documents, and characters of them, of each label are trained on.
 MAX_LABELLED, MAX_CHARS = 2000, 12_000_000
@@ -53,7 +53,8 @@ LEAST_DOCS, LEAST_ODDS = 3, 3.0
 #: Times that the sentences of toxic documents are chosen anew, and words whose kernel is taken at once.
 ROUNDS, CHUNK = 4, 20_000
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|@+-_=/\\~`…«»¡¿„“”‚‘’"
-KEEP_WORDS = 700_000
+#: Words that are kept, and marks of those met once.
+KEEP_WORDS, SEEN = 250_000, 1 << 23
 #: Sentences end at their marks and at line ends, but not after a single letter.
 SENTENCE = re.compile(r"(?<=\S\S[.!?…])\s+|[\r\n]+")
 
@@ -192,7 +193,8 @@ def tokens_of(text: str) -> list[str]:
 
 
 class Sentences:
-    """Kernel rows of sentences. Each word's row is computed once, and kept if it has any likeness."""
+    """Kernel rows of sentences. A word's row is kept if it has any likeness; that it has none is kept once the word
+    comes again, so that words met once, most of all that differ, don't fill the worker's memory."""
 
     def __init__(self, landmarks: list[str]):
         self.marks = Landmarks(landmarks)
@@ -200,6 +202,7 @@ class Sentences:
 
     def _forget(self) -> None:
         self.kept: dict[str, int] = {}
+        self.met = bytearray(SEEN)
         self.store, self.used = np.zeros((1024, len(self.marks.words)), np.float32), 1
 
     def _learn(self, fresh: list[str]) -> None:
@@ -213,7 +216,12 @@ class Sentences:
                 self.store = np.concatenate([self.store, np.zeros_like(self.store)])
             self.store[self.used : end] = rows[alike]
             self.used = end
-            self.kept.update(zip(part, at.tolist(), strict=True))
+            for word, k in zip(part, at.tolist(), strict=True):
+                mark = hash(word) & (SEEN - 1)
+                if k or self.met[mark]:
+                    self.kept[word] = k
+                else:
+                    self.met[mark] = 1
 
     def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """[sentence, landmark] of the sentences with any likeness; the number of each one's text."""
@@ -227,7 +235,7 @@ class Sentences:
                     ends.append(len(tokens))
                     text.append(k)
         self._learn(list(set(tokens).difference(self.kept)))
-        at = np.fromiter(map(self.kept.__getitem__, tokens), np.int64, len(tokens))
+        at = np.fromiter(map(self.kept.get, tokens, repeat(0)), np.int64, len(tokens))
         hit = np.flatnonzero(at)
         if not len(hit):
             return np.zeros((0, len(self.marks.words)), np.float32), np.zeros(0, np.int64)
@@ -359,6 +367,7 @@ def train(texts: list[str], toxic: list[int]) -> ToxicityModel:
 
 
 def _train_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     texts, toxic, size = [], [], Counter()
     for batch in batches:
         for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
@@ -366,7 +375,10 @@ def _train_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size[label] <= MAX_CHARS:
                 texts.append(text)
                 toxic.append(label)
-    yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(train(texts, toxic))], pa.binary())})
+    model = pickle.dumps(train(texts, toxic))
+    del texts
+    trim()
+    yield pa.RecordBatch.from_pydict({"model": pa.array([model], pa.binary())})
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_where: Column | None = None) -> ToxicityModel:
