@@ -258,3 +258,28 @@ def test_words_met_once_are_not_kept():
         again = sentences.rows([text + " blockheads x"])
         assert (again[0] == one[0]).all() and (again[1] == one[1]).all()
     assert len(sentences.kept) > 2900
+
+
+def test_a_unit_that_comes_again_soon_is_not_encoded_again(monkeypatch):
+    from tracefold.llm import token_binary
+
+    r = random.Random(9)
+    rows = [" ".join("".join(r.choice("abcdeé語.;") for _ in range(9)) for _ in range(100)) for _ in range(20)]
+    code = UnitEncoder(str(tokenizers.path("byte_bpe_50k.json")))
+    want = [np.array(e.ids, code.dtype).tobytes() for e in code.lib.encode_batch(rows, add_special_tokens=False)]
+    given, apart = [], code._apart
+    code._apart = lambda names: given.append(len(names)) or apart(names)
+    for _ in range(3):
+        assert code.encode(rows) == want
+    assert given[0] > 1900 and given[1:] == [0, 0]
+
+    monkeypatch.setattr(token_binary, "YOUNG", 0)  # units that have gone are encoded and then kept
+    code = UnitEncoder(str(tokenizers.path("byte_bpe_50k.json")))
+    for _ in range(2):
+        for row, ids in zip(rows, want, strict=True):
+            assert code.encode([row]) == [ids]
+
+
+def test_white_space_at_an_end_is_odd():
+    for name, odd in (("", 1), (" ", 1), ("  ", 1), ("w", 0), (" w", 0), ("  w", 1), ("w ", 1), (" w ", 1), ("\nw", 1), (" \nw", 1), ("w\n", 1), ("\u3000w", 1), ("w\nw", 0)):
+        assert UnitEncoder._odd([name]) == ({name} if odd else set())

@@ -22,7 +22,7 @@ import json
 import os
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,8 @@ from tracefold.llm.common import resident, small_batches, text_or_empty
 
 #: Units longer than this are not kept, and the cache starts anew beyond so many units.
 KEEP_CHARS, KEEP_UNITS, SEEN = 32, 600_000, 1 << 23
+#: Units met once lately whose ids are at hand should they come again.
+YOUNG = 400_000
 #: Units that go to the library as one text.
 JOINED = 512
 #: Texts whose distinct units are encoded together, unless their characters come to more first.
@@ -64,6 +66,7 @@ class UnitEncoder:
         self.cache: dict[str, bytes] = {}
         #: Marks of what has been missed once: only what comes again is kept.
         self.missed = bytearray(SEEN)
+        self.young: dict[str, bytes] = {}
         self.spaced = self._checks_out()
 
     def _checks_out(self) -> bool:
@@ -87,7 +90,7 @@ class UnitEncoder:
             spelled = ["\n" + n[1:] if f else " " + n for n, f in zip(part, first, strict=True)]
             ids = np.array(self.lib.encode_batch_fast(["".join(spelled)], add_special_tokens=False)[0].ids, np.int64)
             stops = np.cumsum(self.n_bytes[ids])
-            ends = np.cumsum([len(w.encode()) for w in spelled])
+            ends = np.cumsum(list(map(len, map(str.encode, spelled))))
             cuts = np.searchsorted(stops, ends, side="right")
             if not len(ids) or stops[-1] != ends[-1] or (stops[cuts - 1] != ends).any():
                 out += self._lib([w[f:] for w, f in zip(spelled, first, strict=True)])
@@ -97,6 +100,17 @@ class UnitEncoder:
             out += [data[a:b] for a, b in zip((starts * width).tolist(), (cuts * width).tolist(), strict=True)]
         return out
 
+    @staticmethod
+    def _gaps(codes: list[bytes | None]) -> list[int]:
+        """Places without a code."""
+        out, at = [], -1
+        try:
+            while True:
+                at = codes.index(None, at + 1)
+                out.append(at)
+        except ValueError:
+            return out
+
     @staticmethod
     def units(parts: list[str]) -> list[str]:
         """Parts of a text split at spaces, rejoined wherever white space meets white space."""
@@ -112,14 +126,14 @@ class UnitEncoder:
         return out
 
     @staticmethod
-    def _odd(name: str) -> bool:
-        return name == "" or name == " " or name[-1].isspace() or name[name[0] == " "].isspace()
+    def _odd(names: Collection[str]) -> set[str]:
+        """Names that are empty or have white space at an end, besides the one space in front that marks a start."""
+        return {n for n, bare in zip(names, map(str.strip, names), strict=True) if n != bare and (n[0] != " " or len(bare) != len(n) - 1) or not bare}
 
     def _lines(self, name: str) -> list[str] | None:
         """Names of what stands between single line feeds of a unit, if nothing else but they is white space there."""
-        first, *rest = name.split("\n")
-        names = [first, *(" " + r for r in rest)]
-        return None if any(map(self._odd, names)) else names
+        names = name.replace("\n", "\n ").split("\n")
+        return None if self._odd(names) else names
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian bytes of ``dtype``."""
@@ -137,46 +151,56 @@ class UnitEncoder:
                 first, *rest = text.split(" ")
                 plans.append([" " + first, *rest])
         met = [names and list(map(cache.get, names)) for names in plans]
-        lacking = [k for k, codes in enumerate(met) if codes and None in codes]
-        missing = set().union(*([n for n, c in zip(plans[k], met[k], strict=True) if c is None] for k in lacking))
-        odd = {n for n in missing if self._odd(n)}
+        gaps = {k: at for k, codes in enumerate(met) if codes and (at := self._gaps(codes))}
+        missing = set().union(*(map(plans[k].__getitem__, at) for k, at in gaps.items()))
+        odd = self._odd(missing)
         missing -= odd
         lines = {n: parts for n in missing if "\n" in n and (parts := self._lines(n))}
         missing.difference_update(lines)
         for parts in lines.values():
             missing.update(p for p in parts if p not in cache)
+        young = self.young
+        again = {n: young.pop(n) for n in missing if n in young}
+        cache.update(again)
+        missing.difference_update(again)
         fresh = dict(zip(missing, self._apart(list(missing)), strict=True))
         if lines:
             feed = self._lib(["\n"])[0]
             joined = {n: feed.join([cache[p] if p in cache else fresh[p] for p in parts]) for n, parts in lines.items()}
         else:
             joined = {}
-        known = fresh | joined
+        known = fresh | again | joined
         whole: dict[str, bytes] = {}
         if odd:
-            uneven = [k for k in lacking if not odd.isdisjoint(plans[k])]
+            uneven = [k for k, at in gaps.items() if not odd.isdisjoint(map(plans[k].__getitem__, at))]
             for k in uneven:
                 plans[k] = self.units([plans[k][0][1:], *plans[k][1:]])
             units = list(set().union(*(plans[k] for k in uneven)))
             whole = dict(zip(units, self._lib(units), strict=True))
             for k in uneven:
                 met[k] = [whole[u] for u in plans[k]]
+                del gaps[k]
         own = iter(self._lib([t for t, names in zip(texts, plans, strict=True) if names is None]))
         out = []
-        for names, codes in zip(plans, met, strict=True):
+        for k, codes in enumerate(met):
             if codes is None:
                 out.append(next(own))
-            elif None in codes:
-                out.append(b"".join([known[n] if c is None else c for n, c in zip(names, codes, strict=True)]))
-            else:
-                out.append(b"".join(codes))
+                continue
+            for at in gaps.get(k, ()):
+                codes[at] = known[plans[k][at]]
+            out.append(b"".join(codes))
         missed = self.missed
+        if len(young) > YOUNG:
+            young.clear()
         for n, code in fresh.items():  # only what is missed a second time is kept, so that units met once don't crowd the cache
+            if len(n) > KEEP_CHARS or "\n" in n:
+                continue
             at = hash(n) & (SEEN - 1)
-            if not missed[at]:
-                missed[at] = 1
-            elif len(n) <= KEEP_CHARS and "\n" not in n:
+            if missed[at]:
                 cache[n] = code
+            else:
+                missed[at] = 1
+                young[n] = code
         return out
 
 
