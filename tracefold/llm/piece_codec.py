@@ -25,7 +25,7 @@ from tracefold.llm.common import resident, small_batches
 from tracefold.llm.piece_model import META, PieceModel
 
 #: Longer words are not kept, each cache starts anew beyond its number, and so many marks are of words met once.
-KEEP_CHARS, KEEP_WORDS, KEEP_PAIRS, SEEN = 32, 200_000, 500_000, 1 << 23
+KEEP_CHARS, KEEP_WORDS, KEEP_PAIRS, SEEN = 32, 500_000, 1_000_000, 1 << 23
 
 
 class PieceCodec:
