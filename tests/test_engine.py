@@ -274,3 +274,8 @@ def test_logs_and_transcripts(spark):
     assert got["r"].task_family == "django" and got["s"].task_family == "plain" and got["s"].steps == []
     measured = {r.run_id: (r.source_edits, r.tested_edits, r.compliance_rate) for r in compliance(frame.withColumn("log", F.coalesce("log", F.lit("")))).collect()}
     assert measured == {"r": (2, 1, 0.5), "s": (0, 0, None)}
+
+
+def test_concordance_leaves_out_groups_of_one_outcome(spark):
+    rows = spark.createDataFrame([(g, f"r{i}", i % 2 == 0 if g == "mixed" else True, list("abc")[: i % 3 + 1]) for g in ("mixed", "passing") for i in range(6)], "task_id string, run_id string, success boolean, names array<string>")
+    assert [(r.group_id, r.n_runs) for r in align.concordance(rows).collect()] == [("mixed", 6)]
