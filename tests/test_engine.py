@@ -279,3 +279,52 @@ def test_logs_and_transcripts(spark):
 def test_concordance_leaves_out_groups_of_one_outcome(spark):
     rows = spark.createDataFrame([(g, f"r{i}", i % 2 == 0 if g == "mixed" else True, list("abc")[: i % 3 + 1]) for g in ("mixed", "passing") for i in range(6)], "task_id string, run_id string, success boolean, names array<string>")
     assert [(r.group_id, r.n_runs) for r in align.concordance(rows).collect()] == [("mixed", 6)]
+
+
+def test_linkage_takes_the_first_of_the_closest_and_folds_copies():
+    rng = np.random.default_rng(3)
+    for few in (8, 40):
+        table = ["".join(rng.choice(list("abc"), rng.integers(0, 6))) for _ in range(few)]
+        sequences = [list(table[k]) for k in rng.integers(0, few, 60)]
+        keys = list(dict.fromkeys(map(tuple, sequences)))
+        which = np.array([keys.index(tuple(s)) for s in sequences])
+        small = np.zeros((len(keys), len(keys)))
+        for i in range(len(keys)):
+            for j in range(i):
+                small[i, j] = small[j, i] = by_path(keys[i], keys[j])
+        d = small[np.ix_(which, which)].copy()
+        np.fill_diagonal(d, np.inf)
+        live, ids, sizes, want = list(range(60)), list(range(60)), [1] * 60, []
+        for step in range(59):
+            sub = d[np.ix_(live, live)]
+            x, y = (live[k] for k in divmod(int(sub.argmin()), len(live)))
+            want.append((*sorted((ids[x], ids[y])), d[x, y], sizes[x] + sizes[y]))
+            d[x] = d[:, x] = (d[x] * sizes[x] + d[y] * sizes[y]) / (sizes[x] + sizes[y])
+            d[x, x], sizes[x], ids[x] = np.inf, sizes[x] + sizes[y], 60 + step
+            live.remove(y)
+        assert align.linkage(small[np.ix_(which, which)]) == want and align.linked(which, small) == want
+
+
+def test_groups_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(align, "BLOCK", 16)
+    monkeypatch.setattr(align, "SMALL_BLOCK", 4)
+    rng = np.random.default_rng(4)
+    table = [(None if k < 9 else "t", f"r{(k * 37) % 101:03}", [True, False, None][k % 3], ["x"] * 3 if k % 3 == 0 else list("".join(rng.choice(list("abc"), rng.integers(0, 7))))) for k in range(101)]
+    runs = spark.createDataFrame(table, "task_id string, run_id string, success boolean, names array<string>")
+    got = {(r.group_id, r.run_a, r.run_b): r.distance for r in align.pairwise_distances(runs).collect()}
+    want = {(a[0], a[1], b[1]): by_path(a[3], b[3]) for a in table for b in table if a[0] == b[0] and a[1] < b[1]}
+    assert got == want
+    cut_at = {(r.group_id, r.run_id): r.cluster_id for r in align.clusters(runs, threshold=0.5).collect()}
+    heights = sorted((r.group_id or "", r.step, r.height, r.n_left, r.n_right, r.left_rate, r.right_rate) for r in align.splits(runs).collect())
+    for group in (None, "t"):
+        mine = sorted((r for r in table if r[0] == group), key=lambda r: r[1])
+        keys = list(dict.fromkeys(tuple(r[3]) for r in mine))
+        d = np.array([[by_path(keys[max(i, j)], keys[min(i, j)]) for j in range(len(keys))] for i in range(len(keys))])
+        merges = align.linked(np.array([keys.index(tuple(r[3])) for r in mine]), d)
+        assert [cut_at[group, r[1]] for r in mine] == align.cut(merges, len(mine), 0.5)
+        members, rows = {k: [k] for k in range(len(mine))}, []
+        for step, (a, b, height, _) in enumerate(merges):
+            said = [[mine[k][2] for k in members[x] if mine[k][2] is not None] for x in (a, b)]
+            rows.append((group or "", step, height, len(members[a]), len(members[b]), *(sum(s) / len(s) if s else None for s in said)))
+            members[len(mine) + step] = members[a] + members[b]
+        assert rows == [r for r in heights if r[0] == (group or "")]
