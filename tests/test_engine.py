@@ -328,3 +328,14 @@ def test_groups_of_several_blocks(spark, monkeypatch):
             rows.append((group or "", step, height, len(members[a]), len(members[b]), *(sum(s) / len(s) if s else None for s in said)))
             members[len(mine) + step] = members[a] + members[b]
         assert rows == [r for r in heights if r[0] == (group or "")]
+
+
+def test_fisher_keeps_its_digits_on_large_tables(spark):
+    tables = [(577, 349, 1252834, 720428), (119_611, 80_212, 1_133_900, 640_465), (40, 60, 20_000, 29_000), (3, 1, 1, 3), (0, 5, 5, 0)]
+    got = [r.p for r in spark.createDataFrame(tables, "a long, b long, c long, d long").select(stats.fisher_exact(*map(F.col, "abcd")).alias("p")).collect()]
+    for (a, b, c, d), p in zip(tables, got, strict=True):
+        row, col, n, f = a + b, a + c, a + b + c + d, lambda x: math.lgamma(x + 1)
+        one = lambda x: math.exp(math.fsum((f(col), -f(x), -f(col - x), f(n - col), -f(row - x), -f(n - col - row + x), -f(n), f(row), f(n - row))))  # noqa: E731, B023
+        want = min(1.0, math.fsum(v for v in map(one, range(max(0, row + col - n), min(row, col) + 1)) if v <= one(a) + 1e-10))
+        assert p == pytest.approx(want, rel=1e-8), (a, b, c, d)
+        assert round(p, 6) == round(want, 6)
