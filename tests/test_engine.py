@@ -339,3 +339,16 @@ def test_fisher_keeps_its_digits_on_large_tables(spark):
         want = min(1.0, math.fsum(v for v in map(one, range(max(0, row + col - n), min(row, col) + 1)) if v <= one(a) + 1e-10))
         assert p == pytest.approx(want, rel=1e-8), (a, b, c, d)
         assert round(p, 6) == round(want, 6)
+
+
+def test_pairs_are_made_once_for_their_topics(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def said(x):
+        made.add(1)
+        return x
+
+    rows = spark.createDataFrame([(f"{k % 3} then", "edit", "test") for k in range(40)], "context string, preferred string, dispreferred string")
+    got = preferences.cluster_pairs(rows.withColumn("context", said("context")))
+    assert got.count() <= 40 and made.value == 40
